@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, token_counts
+from graphloom.llm import bpe, mixing, pii, secrets, token_counts
+from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -19,14 +20,34 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(docs, RANKS, PATTERN))
 
 
+def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
+    taken = F.col("mix_size") * F.col("mix_copies")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _counts(spans: str, kinds: tuple[str, ...]) -> list:
+    return [F.size(F.filter(F.transform(spans, lambda s: s["kind"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", *_counts("pii_base", pii.KINDS[:4]), F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii_spans")).alias("spans"))
+
+
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", *_counts("secret_base", secrets.KINDS[:3]), F.sha2(written(F.col("secret_base")), 256).alias("base_sha256"), written(F.col("secret_spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op4_mix_sources, op7_bpe_codec, op8_pii, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
