@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, pii, secrets, token_counts
+from graphloom.llm import bpe, mixing, pii, quality, secrets, token_counts, topk
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -20,12 +20,24 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(docs, RANKS, PATTERN))
 
 
+def op2_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    found = topk.top_k(table.filter(F.col("vec_id") % 50 == 0), table, k=5, scale=256.0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
     taken = F.col("mix_size") * F.col("mix_copies")
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    counts = {"n_words": "qr_words", "word_chars": "qr_word_chars", "n_symbols": "qr_symbols", "n_dup_lines": "qr_dup_lines", "n_repeat_words": "qr_repeat_words", "base_failed": "qr_base_failed", "kept": "qr_kept", "posterior": "qr_posterior"}
+    return judged.select("doc_id", *[F.col(c).alias(n) for n, c in counts.items()])
+
+
 def op7_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
@@ -47,7 +59,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_mix_sources, op7_bpe_codec, op8_pii, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op4_mix_sources, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
