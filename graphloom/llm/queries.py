@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, pii, quality, secrets, token_counts, topk
+from graphloom.llm import bpe, html, mixing, pii, quality, secrets, token_counts, topk
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -32,6 +32,11 @@ def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    found = html.extract(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     counts = {"n_words": "qr_words", "word_chars": "qr_word_chars", "n_symbols": "qr_symbols", "n_dup_lines": "qr_dup_lines", "n_repeat_words": "qr_repeat_words", "base_failed": "qr_base_failed", "kept": "qr_kept", "posterior": "qr_posterior"}
@@ -59,7 +64,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op4_mix_sources, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
