@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html, mixing, pii, quality, secrets, token_counts, topk
+from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, token_counts, topk
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -26,6 +26,10 @@ def op2_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op3_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), words=2, hundredths=80)
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
     taken = F.col("mix_size") * F.col("mix_copies")
@@ -64,7 +68,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
