@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, token_counts, topk
+from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, substrings, token_counts, topk
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -67,8 +67,13 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *_counts("secret_base", secrets.KINDS[:3]), F.sha2(written(F.col("secret_base")), 256).alias("base_sha256"), written(F.col("secret_spans")).alias("spans"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
