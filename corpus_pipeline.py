@@ -1,0 +1,60 @@
+"""A corpus from raw documents to token ids: five stages, each written as Parquet before the next one reads it.
+
+All stages but the last return the columns of ``documents``. Rows equal in doc_id are one document and one of them stays
+after the second stage; a null doc_id stays. An empty table gives an empty result of the same columns.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, mixing, neardup, pii, quality
+from graphloom.llm.common import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules keep."""
+    return quality.judge(docs).filter("qr_kept").select(*_names(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
+    kept = stored(neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct(), "pipeline-kept")
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: one exchange
+    return stay.select(*_names(docs)).union(docs.filter("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind, disclosing terms generalised or removed; n_chars follows the text."""
+    clean = pii.sanitised(pii.find(docs))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*_names(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.copies(mixing.mix(docs))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """token_ids (little-endian unsigned 32-bit integers) and n_tokens in place of the text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality rules", quality_rules), ("minhash near-dedup", near_dedup), ("pii", personal_data), ("mixing sources", mix_sources), ("byte-level bpe", byte_bpe)]
+
+#: Expectation-maximisation, byte-pair merges and components have no SQL form; tests hold the stages against plain Python.
+ORACLE_SQL = None
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, substrings, token_counts, topk
 from graphloom.llm.spans import written
 
@@ -73,8 +74,9 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup)}
+    operators = (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
