@@ -287,7 +287,8 @@ class Solutions:
 
     def _as(self, name: str, target: Var) -> Solutions:
         v = self.vars[name]
-        if v.shape == target.shape and v.columns == target.columns:
+        alike = v.shape == target.shape or v.shape.template and target.shape.template and v.shape.template.parts == target.shape.template.parts
+        if alike and v.columns == target.columns:
             return self
         if target.shape.kind == "any" and v.shape.kind != "any":
             rest = [F.col(f"`{c}`") for n, x in self.vars.items() if n != name for c in x.columns]

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from dataclasses import replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.terms import GEOMETRY, RDF_TYPE, Const, Ref, Template, TermType, compatible, constant, shape_of, typed
+from graphloom.functions.terms import GEOMETRY, Const, Ref, Template, TermType, compatible, constant, dynamic, shape_of, typed
 from graphloom.operators.closure import closure
 from graphloom.operators.solutions import Solutions, Var
 from graphloom.plans import rules as selection
@@ -26,6 +25,10 @@ from graphloom.sources.mapping import Parent, Rule, TriplesMap, rules_of
 from graphloom.sources.paths import iterate, value
 
 
+def _typed(shape: TermType, x: Column) -> Column:
+    return typed(x, shape)
+
+
 class VirtualGraph:
     """maps: the mapping. order: ``static`` (by score), or ``random`` with a seed. push: constants reach the scans."""
 
@@ -154,7 +157,7 @@ class VirtualGraph:
                 shape = shape_of(term)
                 if repeated:
                     name = f"many.{len(many)}"
-                    cast = F.transform(column, lambda x, s=shape: typed(x, s))
+                    cast = F.transform(column, partial(_typed, shape))
                     many.append((name, F.array_distinct(cast) if shape.datatype not in GEOMETRY else cast))
                     meet(o, term, shape, [F.col(f"`{name}`")])
                 else:
@@ -223,7 +226,7 @@ class VirtualGraph:
             return self._ends(o, path.path, s)
         if isinstance(path, Seq):
             inner = [s, *[self._name() for _ in path.paths[1:]], o]
-            steps = [self._ends(a, p, b) for a, p, b in zip(inner, path.paths, inner[1:], strict=True)]
+            steps = [self._ends(a, p, b) for a, p, b in zip(inner[:-1], path.paths, inner[1:], strict=True)]
             return reduce(Solutions.join, steps).select(s[1:], o[1:])
         if isinstance(path, Alt):
             return reduce(Solutions.union, [self._ends(s, p, o).select(s[1:], o[1:]) for p in path.paths])
@@ -240,8 +243,6 @@ class VirtualGraph:
 
 def construct(solutions: Solutions, template: Sequence[tuple]) -> DataFrame:
     """The set of triples that the template gives with the solutions; what has an unbound part is left out."""
-    from graphloom.functions.terms import dynamic
-
     def term(x) -> Column:
         if is_var(x):
             v = solutions.vars[x[1:]]
@@ -252,5 +253,3 @@ def construct(solutions: Solutions, template: Sequence[tuple]) -> DataFrame:
     frames = [solutions.df.select(*[term(x).alias(n) for x, n in zip(t, "spo", strict=True)]) for t in template]
     return reduce(DataFrame.union, frames).na.drop().distinct()
 
-
-__all__ = ["VirtualGraph", "construct", "RDF_TYPE", "replace"]

@@ -31,31 +31,30 @@ def is_many(path: str) -> bool:
     return any(kind == "star" for kind, _, _ in steps(path))
 
 
-def _walk(start: Column, rest: list[tuple[str, str, str]]) -> tuple[Column, bool]:
-    now, many = start, False
-    for i, (kind, name, value) in enumerate(rest):
-        if kind == "name":
-            now = now[name] if not many else F.transform(now, lambda x, n=name: x[n])
-        elif kind == "where":
-            inner = name.split(".")
+def _first(path: str, wanted: str):
+    """The first element of an array whose field is the wanted value."""
+
+    def fits(x: Column) -> Column:
+        for name in path.split("."):
+            x = x[name]
+        return x.cast("string") == F.lit(wanted)
 
-            def fits(x: Column, inner=inner, value=value) -> Column:
-                for n in inner:
-                    x = x[n]
-                return x.cast("string") == F.lit(value)
+    return lambda array: F.get(F.filter(array, fits), F.lit(0))
 
-            hit = lambda x, fits=fits: F.get(F.filter(x, fits), F.lit(0))  # noqa: E731  the first that fits
-            now = hit(now) if not many else F.transform(now, hit)
+
+def _walk(now: Column, rest: list[tuple[str, str, str]]) -> tuple[Column, bool]:
+    for i, (kind, name, wanted) in enumerate(rest):
+        if kind == "name":
+            now = now[name]
+        elif kind == "where":
+            now = _first(name, wanted)(now)
         else:
-            if many:
-                now = F.flatten(now)
-            many = True
-            tail, inner_many = rest[i + 1 :], any(k == "star" for k, _, _ in rest[i + 1 :])
+            tail = rest[i + 1 :]
             if tail:
-                now = F.transform(now, lambda x, t=tail: _walk(x, t)[0])
-                now = F.flatten(now) if inner_many else now
+                now = F.transform(now, lambda x: _walk(x, tail)[0])
+                now = F.flatten(now) if any(k == "star" for k, _, _ in tail) else now
             return now, True
-    return now, many
+    return now, False
 
 
 def value(path: str) -> tuple[Column, bool]:
