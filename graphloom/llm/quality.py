@@ -97,7 +97,7 @@ def rules() -> dict[str, Column]:
     """Votes by name. Every rule is a ratio of two counts, so length alone says little."""
     n, chars, lines = F.col("qr_words"), F.col("qr_word_chars"), F.col("qr_lines")
     some = n > 0
-    mean = chars / n
+    mean = F.try_divide(chars, n)  # null without words, for which the other conditions decide
     return {
         "length": _vote(n < 50, n >= 80),
         "word_length": _vote(~some | (mean < 2.5) | (mean > 15), some & mean.between(3, 12)),

@@ -42,7 +42,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(cache.get(base, ())) < n:
+    if len(cache.get(base, ())) < max(n, 1):
         p = np.full(max(n, 1 << 14), base, np.uint64)
         p[0] = 1
         cache[base] = np.multiply.accumulate(p)
