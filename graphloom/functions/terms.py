@@ -25,16 +25,22 @@ DYNAMIC = "struct<kind:string,value:string,datatype:string,lang:string>"
 _SPARK_TYPE = {XSD + k: v for k, v in {"integer": "bigint", "long": "bigint", "int": "bigint", "nonNegativeInteger": "bigint", "decimal": "decimal(38,18)", "float": "double", "double": "double", "boolean": "boolean", "string": "string", "dateTime": "timestamp", "date": "date", "gYear": "int"}.items()}
 
 
-class Namespace(str):
-    """EX = Namespace("http://ex/"); EX.name or EX["name"] is the IRI."""
+class Namespace:
+    """EX = Namespace("http://ex/"); EX.name or EX["name"] is the IRI, EX + "name" its text."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
 
     def __getattr__(self, name: str) -> Const:
         if name.startswith("__"):
             raise AttributeError(name)
-        return Const(self + name)
+        return Const(self.prefix + name)
+
+    def __getitem__(self, name: str) -> Const:
+        return Const(self.prefix + name)
 
-    def __getitem__(self, name):
-        return Const(self + name) if isinstance(name, str) else super().__getitem__(name)
+    def __add__(self, name: str) -> str:
+        return self.prefix + name
 
 
 @dataclass(frozen=True)
