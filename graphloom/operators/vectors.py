@@ -6,6 +6,7 @@ blocks of terms, and each task keeps its best before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,27 +37,30 @@ def nearest(terms: DataFrame, entities: DataFrame, k: int = TOP_K, threshold: fl
     block: list = []
 
     def scan(rows: list) -> DataFrame:
-        names = [r["t"] for r in rows]
-        table = np.array([r["v"] for r in rows], float)
-        fine = np.isfinite(table).all(axis=1)
-        sent = pool.sparkSession.sparkContext.broadcast((np.array(names, object)[fine], _unit(table[fine])))
+        by_size: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            if all(x is not None and math.isfinite(x) for x in r["v"]):
+                names, table = by_size.setdefault(len(r["v"]), ([], []))
+                names.append(r["t"])
+                table.append(r["v"])
+        sent = pool.sparkSession.sparkContext.broadcast({n: (np.array(names, object), _unit(np.array(table, float).reshape(-1, n))) for n, (names, table) in by_size.items()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, unit = sent.value
             for b in batches:
                 vectors = b.column(1)
-                at = np.flatnonzero(np.asarray(vectors.value_lengths()) == unit.shape[1])
-                these = np.array([x if x is not None else np.nan for x in vectors.take(pa.array(at)).flatten().to_pylist()], float).reshape(len(at), -1)
-                sound = np.isfinite(these).all(axis=1)
-                at, these = at[sound], these[sound]
-                if not len(at):
-                    continue
-                scores = _unit(these) @ unit.T
-                keep = scores > threshold
-                if len(at) > k:  # as many as tie with the k-th
-                    keep &= scores >= np.partition(scores, -k, axis=0)[-k] - 1e-4
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(own[j].tolist()), b.column(0).take(pa.array(at[i])), pa.array(scores[i, j])], ["t", "e", "score"])
+                lengths = np.asarray(vectors.value_lengths())
+                for size, (own, unit) in sent.value.items():
+                    at = np.flatnonzero(lengths == size)
+                    these = np.array([np.nan if x is None else x for x in vectors.take(pa.array(at)).flatten().to_pylist()], float).reshape(len(at), size)
+                    sound = np.isfinite(these).all(axis=1)
+                    at, these = at[sound], these[sound]
+                    scores = _unit(these) @ unit.T
+                    keep = scores > threshold
+                    if len(at) > k:  # as many as tie with the k-th
+                        keep &= scores >= np.partition(scores, -k, axis=0)[-k] - 1e-4
+                    i, j = np.nonzero(keep)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(own[j].tolist()), b.column(0).take(pa.array(at[i])), pa.array(scores[i, j], pa.float64())], ["t", "e", "score"])
 
         return pool.mapInArrow(run, f"t {kind_t}, e {kind_e}, score double")
 
