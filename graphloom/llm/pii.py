@@ -4,8 +4,8 @@ Base kinds are email, ip, card and phone; each distinct match is a protected ent
 near an entity whose pointwise mutual information with it comes close to the entity's own information content, as
 estimated from all documents. With N documents, PMI(t; e) = log2(N * n(e, t) / (n(e) * n(t))) and
 IC(e) = log2(N / n(e)); a term is sanitised when PMI >= DISCLOSE * IC and the pair stands in at least SUPPORT
-different contexts, so that copies of one text prove nothing. At PMI >= REMOVE * IC the term is removed, below it is
-generalised to its class.
+different contexts of different documents, so that one text and its copies prove nothing. At PMI >= REMOVE * IC the term is
+removed, below it is generalised to its class.
 
 Counting is by pre-aggregated shuffles over (entity, term) pairs near entities, and over the words of all documents.
 
@@ -69,8 +69,8 @@ def _near(text: Column, span: Column) -> Column:
 def disclosing(documents: DataFrame, near: DataFrame) -> DataFrame:
     """From documents (text) and near (row, entity, context, term): entity, term, disclosure of the pairs to sanitise."""
     total = documents.agg(F.count(F.lit(1)).alias("n"))
-    pairs = near.groupBy("entity", "term", "context", "row").agg(F.lit(1).alias("one"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row"))
+    pairs = near.groupBy("entity", "term", "row").agg(F.min("context").alias("context"))  # one vote a document
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("rows"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT)
     pairs = stored(pairs, "pii-pairs")
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
