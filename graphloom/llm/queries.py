@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, substrings, token_counts, topk
+from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, sql, substrings, token_counts, topk
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -79,4 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op2_exact_topk": sql.OP2, "op10_substring_dedup": sql.OP10, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in found.items() if text}

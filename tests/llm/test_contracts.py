@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from graphloom.llm import queries as q
+from tests import duck
 from tests.llm import brute
 
 
@@ -103,3 +104,14 @@ def test_op9(spark, small, docs):
 def test_op10(spark, small, docs):
     rows = q.op10_substring_dedup(spark, small).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == brute.without_repeats(docs) and len(rows) == len(docs)
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_sql(spark, small, name):
+    """The queries that SQL can express give its rows."""
+    with duck.connect(small) as con:
+        wanted = con.execute(q.oracle_sql()[name])
+        names = [d[0] for d in wanted.description]
+        df = q.queries()[name](spark, small)
+        assert sorted(df.columns) == sorted(names)
+        assert duck.rows(df.columns, df.collect()) == duck.rows(names, wanted.fetchall())
