@@ -164,3 +164,18 @@ def listed(titles: Column, most: int = 5) -> Column:
 def query_metadata(text: Column) -> Column:
     """Digest, bytes, and how many spatial functions a query's text calls."""
     return F.struct(F.sha2(text, 256).alias("sha256"), F.octet_length(text).alias("bytes"), F.regexp_count(text, F.lit(r"geof:\w+\s*\(")).alias("spatial_functions"))
+
+
+def log_level(line: Column) -> Column:
+    """info, success, warning or error by a leading mark in brackets; lines without one are info."""
+    level = F.lower(F.regexp_extract(line, r"(?i)^\[(INFO|SUCCESS|WARNING|WARN|ERROR)\]", 1))
+    return F.when(level.isin("warn", "warning"), "warning").when(level.isin("success", "error"), level).otherwise("info")
+
+
+def log_message(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?i)^\[(INFO|SUCCESS|WARNING|WARN|ERROR)\]\s*", "")
+
+
+def compact(kind: Column, value: Column) -> Column:
+    """A cell as a reader wants it: an IRI's local name (marks at its end don't count), other values as they are."""
+    return F.when(kind == "uri", F.coalesce(F.nullif(local_name(F.regexp_replace(value, "[/#]+$", "")), F.lit("")), value)).otherwise(F.coalesce(value, F.lit("")))

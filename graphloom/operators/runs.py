@@ -85,3 +85,30 @@ def duplicate_triples(attempts: DataFrame) -> DataFrame:
     """Attempted additions to a set of triples, distinct ones, and the difference."""
     per = attempts.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.sum("n").alias("attempts"), F.count(F.lit(1)).alias("distinct_triples"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"))
+
+
+def time_breakdown(runs: DataFrame, variant: str = "final") -> DataFrame:
+    """By query: the mean seconds that valid runs of a variant spent on sources and in the engine."""
+    mine = validity(runs).filter(F.col("valid") & (F.col("variant") == variant))
+    return mine.groupBy("query_id").agg(F.avg("api_time_seconds").alias("api_seconds"), F.avg("engine_time_seconds").alias("engine_seconds"))
+
+
+def review_outcomes(reviews: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Reviewed entities that had candidates, and those for which one was accepted (candidates: array, selected: IRI or null)."""
+    return reviews.groupBy(*by).agg(F.count_if(F.size("candidates") > 0).alias("with_candidates"), F.count_if(F.col("selected").isNotNull()).alias("accepted"))
+
+
+def ordered(planned: DataFrame, completed: DataFrame, keys: Sequence[str], seed: int | None = None) -> DataFrame:
+    """Planned runs that are still to be made, numbered on from what has been completed; with a seed in an order of its own.
+
+    A plan has as many rows as an evaluation has runs, so one task numbers them.
+    """
+    last = completed.agg(F.coalesce(F.max("execution_order"), F.lit(0)).alias("last"))
+    order = [F.sha2(F.concat_ws(":", F.lit(str(seed)), *keys), 256)] if seed is not None else list(keys)
+    left = pending(planned, completed, keys).crossJoin(F.broadcast(last))  # one row
+    return left.withColumn("execution_order", F.col("last") + F.row_number().over(Window.orderBy(*order))).drop("last")
+
+
+def append(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """Adds rows to a log of JSON lines, CSV with a header, or Parquet."""
+    rows.write.mode("append").options(header="true").format(kind).save(path)

@@ -274,7 +274,7 @@ class Solutions:
         merged = Solutions(joined, self.vars | {n: replace(v, maybe=True) for n, v in right.vars.items() if n not in self.vars})
         return merged._tidy(list(merged.vars), set())
 
-    # ---- unions
+    # ---- set operations
 
     def _plain(self, name: str) -> Solutions:
         """A template's variable as one text column."""
@@ -316,3 +316,29 @@ class Solutions:
             else:
                 found[n] = replace((left if n in left.vars else right).vars[n], maybe=True)
         return Solutions(left.df.unionByName(right.df, allowMissingColumns=True), found)
+
+    def intersect(self, other: Solutions) -> Solutions:
+        """Distinct solutions of both, over the same variables; unbound is like unbound."""
+        left, right = self._aligned(other)
+        return Solutions(left.df.intersect(right.df), left.vars)
+
+    def subtract(self, other: Solutions) -> Solutions:
+        """Distinct solutions of this and not of the other, over the same variables."""
+        left, right = self._aligned(other)
+        return Solutions(left.df.subtract(right.df), left.vars)
+
+    def _aligned(self, other: Solutions) -> tuple[Solutions, Solutions]:
+        if set(self.vars) != set(other.vars):
+            raise ValueError("both sides need the same variables")
+        left, right = self, other.select(*self.vars)
+        for n in self.vars:
+            target = self._common(n, left.vars[n], right.vars[n])
+            left, right = left._as(n, target), right._as(n, target)
+        names = [c for v in left.vars.values() for c in v.columns]
+        cut = lambda s: Solutions(s.df.select(*[f"`{c}`" for c in names]), left.vars)
+        return cut(left), cut(right)
+
+    def mentioning(self, iri: str) -> Solutions:
+        """Solutions in which any variable has the given text: the rows that go with a selected feature."""
+        text = lambda v: v.value["value"] if v.shape.kind == "any" else v.value.cast("string")
+        return Solutions(self.df.filter(F.exists(F.array(*[text(v) for v in self.vars.values()]), lambda x: x.eqNullSafe(F.lit(iri)))), self.vars)

@@ -244,6 +244,24 @@ def offset(spark, sf):
     return graph(spark, sf).match(("?o", EX.total, "?total")).order_by(F.col("total").asc(), F.col("o").asc()).limit(20, offset=40).frame().withColumn("total", _round("total"))
 
 
+@query("SELECT 'http://ex/nation/' || k AS n FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
+def set_intersect(spark, sf):
+    g = graph(spark, sf, "customer supplier")
+    return g.match(("?c", TYPE, EX.Customer), ("?c", EX.nation, "?n")).select("n").intersect(g.match(("?s", TYPE, EX.Supplier), ("?s", EX.nation, "?n")).select("n")).frame()
+
+
+@query("SELECT 'http://ex/nation/' || k AS n FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+def set_subtract(spark, sf):
+    g = graph(spark, sf, "nation supplier")
+    return g.match(("?n", TYPE, EX.Nation)).subtract(g.match(("?s", TYPE, EX.Supplier), ("?s", EX.nation, "?n")).select("n")).frame()
+
+
+@query("SELECT 'http://ex/customer/' || c_custkey AS c, 'http://ex/nation/' || c_nationkey AS n FROM customer WHERE c_nationkey = 5")
+def feature_rows(spark, sf):
+    """Result rows that mention a selected feature."""
+    return graph(spark, sf, "customer").match(("?c", TYPE, EX.Customer), ("?c", EX.nation, "?n")).mentioning("http://ex/nation/5").frame()
+
+
 # ---- aggregates
 
 
@@ -583,6 +601,20 @@ def result_digest(spark, sf):
     return results.sorted_digest(spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name")))
 
 
+@query(f"WITH u AS (SELECT query_id, result_hash AS usual FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, result_hash) AS r FROM (SELECT query_id, result_hash, count(*) AS n FROM {_RUNS} WHERE status = 'success' GROUP BY ALL)) WHERE r = 1) SELECT query_id, round(avg(total_time_seconds * 0.25), 6) AS api_seconds, round(avg(total_time_seconds * 0.75), 6) AS engine_seconds FROM {_RUNS} JOIN u USING (query_id) WHERE variant = 'view' AND status = 'success' AND result_hash = usual GROUP BY ALL")
+def time_breakdown(spark, sf):
+    log = _runs(spark, sf).withColumns({"api_time_seconds": F.col("total_time_seconds") * 0.25, "engine_time_seconds": F.col("total_time_seconds") * 0.75})
+    return runs.time_breakdown(log, "view").select("query_id", _round("api_seconds", 6).alias("api_seconds"), _round("engine_seconds", 6).alias("engine_seconds"))
+
+
+@query(f"SELECT *, CAST(900 + row_number() OVER (ORDER BY query_id, variant) AS BIGINT) AS execution_order FROM (SELECT DISTINCT query_id, variant FROM {_RUNS} WHERE execution_order >= 900 EXCEPT SELECT query_id, variant FROM {_RUNS} WHERE execution_order <= 40)")
+def resume_order(spark, sf):
+    """Runs that a resumed evaluation still has to make, numbered on."""
+    log = _runs(spark, sf)
+    done = log.filter("execution_order <= 40").withColumn("execution_order", F.lit(900).cast("long"))
+    return runs.ordered(log.filter("execution_order >= 900").select("query_id", "variant").distinct(), done, ["query_id", "variant"])
+
+
 @query("SELECT count(*) AS attempts, count(DISTINCT (l_orderkey, l_linenumber, l_returnflag)) AS distinct_triples, count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_returnflag)) AS duplicates FROM lineitem")
 def duplicate_adds(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
@@ -628,6 +660,26 @@ def property_rollup(spark, sf):
     return align.occurrences(rows).select("property", "sources", "occurrences")
 
 
+@query("SELECT lang AS kind, count(*) FILTER (s = 0) AS baseline, count(*) FILTER (s = 1) AS local, count(*) FILTER (s = 2) AS external, count(*) FILTER (s = 3) AS proposal FROM (SELECT lang, doc_id % 4 AS s FROM documents) GROUP BY ALL")
+def alignment_by_source(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = F.array(*map(F.lit, align.CASCADE))
+    return align.by_source(docs.select(F.col("lang").alias("kind"), F.get(names, (F.col("doc_id") % 4).cast("int")).alias("source")))
+
+
+@query("SELECT lang, count(*) FILTER (n_chars > 500) AS with_candidates, count(quality) AS accepted FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def review_outcomes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
+    reviews = docs.select("lang", F.filter(F.array("n_chars"), lambda n: n > 500).alias("candidates"), F.col("quality").cast("string").alias("selected"))
+    return runs.review_outcomes(reviews, ["lang"])
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'warning' ELSE 'info' END AS level, role AS message FROM conversations")
+def log_lines(spark, sf):
+    line = F.concat(F.when(F.col("turn") % 2 == 0, "[WARN] ").otherwise(""), "role")
+    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", scalars.log_level(line).alias("level"), scalars.log_message(line).alias("message"))
+
+
 @query("SELECT 'class' AS kind, 1 AS total, 1 AS aligned, 100.0 AS coverage_pct UNION ALL SELECT 'property', 5, 2, 40.0")
 def alignment_coverage(spark, sf):
     rows = generate.schema_rows(spark.read.parquet(f"{sf}/customer.parquet"), "customer")
