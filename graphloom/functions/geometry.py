@@ -1,7 +1,8 @@
 """Geometries: parsing once for each column, envelopes as native columns, exact predicates in Arrow batches.
 
 A parsed geometry is a struct: kind (point, line or area; collections of one dimension), its parts as lists of
-coordinates, its envelope, its centroid and the spatial reference. What has no valid text is null.
+coordinates, its envelope, its centroid and the spatial reference. plain says that the envelope is all there is to it: a
+single point, or a box with sides along the axes. What has no valid text is null.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 #: rings: for areas, closed; a ring's first number is which polygon it belongs to. flat: x, y, x, y ...
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax", "cx", "cy")
-GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("owner", T.ArrayType(T.IntegerType())), T.StructField("rings", T.ArrayType(T.ArrayType(T.DoubleType()))), *(T.StructField(c, T.DoubleType()) for c in _BOUNDS), T.StructField("srid", T.IntegerType())])
+GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("owner", T.ArrayType(T.IntegerType())), T.StructField("rings", T.ArrayType(T.ArrayType(T.DoubleType()))), *(T.StructField(c, T.DoubleType()) for c in _BOUNDS), T.StructField("srid", T.IntegerType()), T.StructField("plain", T.StringType())])
 KINDS = ("point", "line", "area")
 _TOKEN = re.compile(r"\(|\)|,|[-+0-9.eE]+")
 
@@ -77,11 +78,24 @@ def parse(text: str | None) -> dict | None:
             return None
         cx, cy = _centroid(shape, owner, rings)
         low, high = whole.min(axis=0), whole.max(axis=0)
-        return {"kind": shape, "owner": owner, "rings": [r.ravel().tolist() for r in rings], "xmin": low[0], "ymin": low[1], "xmax": high[0], "ymax": high[1], "cx": cx, "cy": cy, "srid": srid}
+        return {"kind": shape, "owner": owner, "rings": [r.ravel().tolist() for r in rings], "xmin": low[0], "ymin": low[1], "xmax": high[0], "ymax": high[1], "cx": cx, "cy": cy, "srid": srid, "plain": _plain(shape, rings, low, high)}
     except (ValueError, KeyError, TypeError, IndexError, AttributeError, StopIteration):
         return None
 
 
+def _plain(kind: str, rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> str | None:
+    if len(rings) > 1:
+        return None
+    if kind == "point":
+        return "dot"
+    r = rings[0]
+    if kind == "area" and len(r) == 5 and (low < high).all():
+        corners = ((r == low) | (r == high)).all() and len({tuple(p) for p in r[:4].tolist()}) == 4
+        turns = ((r[1:] == r[:-1]).sum(axis=1) == 1).all()  # each side changes one coordinate
+        return "box" if corners and turns else None
+    return None
+
+
 def _centroid(kind: str, owner: list[int], rings: list[np.ndarray]) -> tuple[float, float]:
     """Mean of points; of lines by length, of areas by area (holes count against)."""
     if kind == "area":
@@ -117,6 +131,7 @@ def geometry(text: pd.Series) -> pd.DataFrame:
     empty = dict.fromkeys(GEOMETRY.names)
     frame = pd.DataFrame([r or empty for r in rows], columns=list(empty))
     frame["srid"] = frame["srid"].astype("Int32")
+    frame["plain"] = frame["plain"].astype(object)
     return frame
 
 
@@ -170,26 +185,31 @@ class Shape:
         """Midpoints of this shape's segments as the other's segments and points cut them."""
         if not len(self.a):
             return np.empty((0, 2))
-        d = self.b - self.a
-        out = []
-        f = other.b - other.a
-        for a, v in zip(self.a, d, strict=True):
-            cuts = [0.0, 1.0]
-            if len(f):
-                w = other.a - a
-                cross = v[0] * f[:, 1] - v[1] * f[:, 0]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    t = (w[:, 0] * f[:, 1] - w[:, 1] * f[:, 0]) / cross
-                    u = (w[:, 0] * v[1] - w[:, 1] * v[0]) / cross
-                cuts += t[(cross != 0) & (u >= -1e-12) & (u <= 1 + 1e-12) & (t > 0) & (t < 1)].tolist()
-            square = (v**2).sum()
-            if square:
-                along = ((other.points - a) * v).sum(axis=1) / square
-                near = np.abs((other.points - a - along[:, None] * v)).max(axis=1) <= self.scale * 8
-                cuts += along[near & (along > 0) & (along < 1)].tolist()
-            t = np.unique(cuts)
+        a, d = self.a, self.b - self.a
+        cuts: dict[int, list[float]] = {}
+        if len(other.a):
+            f = other.b - other.a
+            w = other.a[None] - a[:, None]
+            cross = d[:, None, 0] * f[None, :, 1] - d[:, None, 1] * f[None, :, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = (w[..., 0] * f[None, :, 1] - w[..., 1] * f[None, :, 0]) / cross
+                u = (w[..., 0] * d[:, None, 1] - w[..., 1] * d[:, None, 0]) / cross
+            i, j = np.nonzero((cross != 0) & (u >= -1e-12) & (u <= 1 + 1e-12) & (t > 0) & (t < 1))
+            for k, x in zip(i.tolist(), t[i, j].tolist(), strict=True):
+                cuts.setdefault(k, []).append(x)
+        square = np.maximum((d**2).sum(axis=1), 1e-300)
+        e = other.points[None] - a[:, None]
+        along = (e * d[:, None]).sum(axis=2) / square[:, None]
+        near = np.abs(e - along[..., None] * d[:, None]).max(axis=2) <= self.scale * 8
+        i, j = np.nonzero(near & (along > 0) & (along < 1))
+        for k, x in zip(i.tolist(), along[i, j].tolist(), strict=True):
+            cuts.setdefault(k, []).append(x)
+        whole = [k for k in range(len(a)) if k not in cuts]
+        out = [a[whole] + d[whole] / 2]
+        for k, inner in cuts.items():
+            t = np.unique([0.0, 1.0, *inner])
             t = (t[1:] + t[:-1])[np.diff(t) > 1e-13] / 2
-            out.append(a + t[:, None] * v)
+            out.append(a[k] + t[:, None] * d[k])
         return np.vstack(out)
 
     def inner_points(self) -> np.ndarray:
@@ -266,25 +286,41 @@ def _crossing(one: Shape, two: Shape) -> bool:
     return bool(len(places)) and bool(((one.where(places) == 2) & (two.where(places) == 2)).any())
 
 
+def _plainly(name: str, one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
+    """The predicate for dots and boxes, by their bounds. Two dots are one or none."""
+    a, b = ({c: f[c].to_numpy(float) for c in ("xmin", "ymin", "xmax", "ymax")} for f in (one, two))
+    dot_a, dot_b = one["plain"].to_numpy() == "dot", two["plain"].to_numpy() == "dot"
+    meets = (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+    shares = (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"]) & (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"])
+
+    def holds(p: dict, q: dict, dot_p: np.ndarray, dot_q: np.ndarray) -> np.ndarray:
+        closed = (p["xmin"] <= q["xmin"]) & (p["ymin"] <= q["ymin"]) & (p["xmax"] >= q["xmax"]) & (p["ymax"] >= q["ymax"])
+        return np.where(dot_p, dot_q & meets, np.where(dot_q, shares, closed))
+
+    contains, within = holds(a, b, dot_a, dot_b), holds(b, a, dot_b, dot_a)
+    return {"contains": contains, "within": within, "intersects": meets, "overlaps": shares & ~contains & ~within & ~dot_a & ~dot_b, "crosses": np.zeros(len(one), bool)}[name]
+
+
 def _predicate(name: str):
     @F.pandas_udf(T.BooleanType())
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.Series:
+        known = one["kind"].notna().to_numpy() & two["kind"].notna().to_numpy()
+        out = np.full(len(one), None, object)
+        out[known] = False
+        meet = known & (one["xmin"].to_numpy(float) <= two["xmax"].to_numpy(float)) & (two["xmin"].to_numpy(float) <= one["xmax"].to_numpy(float))
+        meet &= (one["ymin"].to_numpy(float) <= two["ymax"].to_numpy(float)) & (two["ymin"].to_numpy(float) <= one["ymax"].to_numpy(float))
+        plain = meet & one["plain"].notna().to_numpy() & two["plain"].notna().to_numpy()
+        out[plain] = _plainly(name, one[plain], two[plain])
         shapes: dict = {}
-        out = []
-        for g, h in zip(one.to_dict("records"), two.to_dict("records"), strict=True):
-            if g["kind"] is None or h["kind"] is None:
-                out.append(None)
-                continue
-            if g["xmin"] > h["xmax"] or h["xmin"] > g["xmax"] or g["ymin"] > h["ymax"] or h["ymin"] > g["ymax"]:
-                out.append(False)
-                continue
+        at = np.flatnonzero(meet & ~plain)
+        for k, g, h in zip(at, one.iloc[at].to_dict("records"), two.iloc[at].to_dict("records"), strict=True):
             pair = []
             for x in (g, h):
                 key = (x["xmin"], x["ymin"], x["xmax"], x["ymax"], len(x["rings"]), x["kind"], sum(map(len, x["rings"])), x["cx"], x["cy"])
                 if key not in shapes:
                     shapes[key] = Shape(x)
                 pair.append(shapes[key])
-            out.append(relation(*pair)[name])
+            out[k] = relation(*pair)[name]
         return pd.Series(out, dtype="object").astype("boolean")
 
     return run

@@ -98,6 +98,16 @@ def test_laws(points, b):
     assert rel(triangle, triangle) == {"contains", "within", "intersects"}
 
 
+def test_plain_shapes_by_bounds(spark):
+    """Boxes and dots, for which predicates look at bounds only, against the general relation."""
+    texts = [box(0, 0, 4, 4), box(1, 1, 2, 2), box(4, 0, 2, 2), box(2, 2, 6, 1), box(0, 0, 4, 2), "POINT(0 0)", "POINT(1 1)", "POINT(4 1)", "POINT(9 9)", "POLYGON((0 0, 4 0, 0 4, 0 0))"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    made = pairs.select("a", "b", *[geo.PREDICATES[n](geo.geometry("a"), geo.geometry("b")).alias(n) for n in geo.PREDICATES]).collect()
+    assert [parse(t)["plain"] for t in texts] == ["box"] * 5 + ["dot"] * 4 + [None]
+    for r in made:
+        assert {n for n in geo.PREDICATES if r[n]} == rel(r.a, r.b), (r.a, r.b)
+
+
 def test_parsing():
     geojson = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]], "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::25830"}}})
     found = parse(geojson)
