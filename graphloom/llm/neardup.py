@@ -1,12 +1,14 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. A text's set of word shingles gives a fingerprint, and HASHES minima. Texts with equal sets are one node from then on.
-2. Bands of the signature make buckets. Each member of a bucket is paired with the bucket's smallest id (a star).
+2. Bands of the signature make buckets. Each member of a bucket is paired with the bucket's smallest id, its pivot (a star).
 3. A pair's signatures are compared batch by batch. With a uniform prior, m matches of n leave
    P(similarity >= threshold) = P(Binomial(n + 1, threshold) <= m); below the miss probability the pair is pruned.
 4. Survivors are verified on their full sets, and links give components.
-5. In buckets that hold more than one component, the members outside the largest meet all members of other components,
-   with steps 3 and 4 again: no candidate pair between different components stays untested, and none inside one is made.
+5. Where the members that share a pivot are of more than one component, those outside the largest meet all members of other
+   components in blocks of BLOCK rows: signatures, then sets of 32-bit hashes are compared inside a task, and only pairs that
+   withstand both become rows, for step 4. No candidate pair between different components stays untested, and none inside
+   one is made.
 
 Two texts of similarity s meet in a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 1 - 3e-6 at 0.8, more above.
 
@@ -34,6 +36,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature positions compared at a time, and the miss probability of pruning.
 BATCH, MISS = 16, 1e-6
+#: Rows on either side of a block, and of its outer side compared at a time. 32-bit hashes of a set may coincide this often.
+BLOCK, STRIP, SLACK = 512, 16, 2
 
 _random = np.random.Generator(np.random.PCG64(7))
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -147,6 +151,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) ->
     return joined.mapInArrow(run, schema)
 
 
+def _profiles(ids: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id, n, sig and short (the set as sorted 32-bit hashes) of the given ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [np.unique((shingles(x, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in texts(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(short, pa.binary())], ["id", "n", "sig", "short"])
+
+    involved = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(nodes, "id")
+    return involved.select("id", "n", "sig", "text").mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("short", T.BinaryType())]))
+
+
+def _compared(outer: list, inner: list, least: list[int], hundredths: int) -> list[tuple]:
+    """Pairs of a block's sides that are of different components and withstand all tests.
+
+    A row: id, n, component, whether it is of the largest component, signature, set.
+    """
+    found = []
+    n_in, c_in, main_in = np.array([r[1] for r in inner]), np.array([r[2] for r in inner]), np.array([r[3] for r in inner])
+    ids_in = np.array([r[0] for r in inner])
+    sig_in = np.frombuffer(b"".join([r[4] for r in inner]), np.uint32).reshape(-1, HASHES)
+    for at in range(0, len(outer), STRIP):
+        strip = outer[at : at + STRIP]
+        n, c, ids = (np.array([r[k] for r in strip])[:, None] for k in (1, 2, 0))
+        sig = np.frombuffer(b"".join([r[4] for r in strip]), np.uint32).reshape(-1, HASHES)
+        fit = (c != c_in) & (main_in | (ids < ids_in)) & (100 * np.minimum(n, n_in) >= hundredths * np.maximum(n, n_in))
+        i, j = np.nonzero(fit)
+        matches = np.zeros(len(i), np.int64)
+        for k, m in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (sig[i, part] == sig_in[j, part]).sum(axis=1)
+            alive = matches >= m
+            i, j, matches = i[alive], j[alive], matches[alive]
+            if not len(i):
+                break
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            one, two = np.frombuffer(strip[x][5], np.uint32), np.frombuffer(inner[y][5], np.uint32)
+            common = len(np.intersect1d(one, two, assume_unique=True)) + SLACK
+            if 100 * common >= hundredths * (strip[x][1] + inner[y][1] - common):
+                found.append((strip[x][0], inner[y][0]))
+    return found
+
+
+def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, hundredths: int, miss: float) -> DataFrame:
+    """From placed (pivot, id, component): pairs (a, b) of different components that share a pivot and withstand comparison."""
+    least = least_matches(hundredths / 100, miss)
+    sizes = placed.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("pivot").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = stored(mixed.select("pivot", F.col("main.component").alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("n_in"), F.ceil((F.col("total") - F.col("main.size")) / BLOCK).cast("int").alias("n_out")), "near-mixed")
+    rows = placed.join(mixed, "pivot").withColumn("is_main", F.col("component") == F.col("main"))
+    rows = stored(rows.select("pivot", "id", "component", "is_main", "n_in", "n_out"), "near-rows")
+    tile = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.filter(~F.col("is_main")).select("*", F.lit(True).alias("is_outer"), tile("n_out").alias("x")).select("*", every("n_in").alias("y"))
+    inner = rows.select("*", F.lit(False).alias("is_outer"), tile("n_in").alias("y")).select("*", every("n_out").alias("x"))
+    profiles = stored(_profiles(rows.select("id").distinct(), nodes, docs, words), "near-profiles")
+    dealt = outer.unionByName(inner).select("pivot", "x", "y", "is_outer", "id", "component", "is_main").join(profiles, "id")
+    dealt = dealt.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
+    columns = ["pivot", "x", "y", "is_outer", "id", "n", "component", "is_main", "sig", "short"]
+    kind = nodes.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, {True: [], False: []}
+
+        def compare() -> Iterator[pa.RecordBatch]:
+            pairs = _compared(sides[True], sides[False], least, hundredths) if sides[True] and sides[False] else []
+            if pairs:
+                a, b = zip(*[(min(p), max(p)) for p in pairs], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for pivot, x, y, is_outer, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (pivot, x, y) != now:
+                    yield from compare()
+                    now, sides = (pivot, x, y), {True: [], False: []}
+                sides[is_outer].append(row)
+        yield from compare()
+
+    return dealt.select(*columns).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
+
+
 def _close(n: Column, m: Column, hundredths: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * hundredths
 
@@ -166,25 +251,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, hundredths: int = 80, miss:
     nodes = stored(chosen.filter(F.col("n") >= fewest).dropDuplicates(["id"]).select("id", "n", "sig"), "near-nodes")
 
     banded = _banded(nodes)
-    buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(banded.join(buckets, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "near-members")
-    stars = members.filter((F.col("id") != F.col("pivot")) & _close(F.col("n"), F.col("pivot_n"), hundredths)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-
-    def links(pairs: DataFrame) -> DataFrame:
-        survivors = stored(_promising(pairs, nodes, hundredths / 100, miss), "near-survivors")
-        return stored(_verified(survivors, plain, words, hundredths), "near-links")
+    buckets = stored(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "pivot"), "near-buckets")
+    met = banded.join(buckets, "key").filter(F.col("id") != F.col("pivot.id")).select(F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "id", "n")
+    met = stored(met.distinct(), "near-stars")
+    stars = met.filter(_close(F.col("n"), F.col("pivot_n"), hundredths)).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
-    found = links(stars)
+    survivors = stored(_promising(stars, nodes, hundredths / 100, miss), "near-survivors")
+    found = stored(_verified(survivors, plain, words, hundredths), "near-links")
     grouped = components(found)
-    placed = stored(members.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    mixed = placed.filter(F.col("id") != F.col("pivot")).join(main, "key")
-    outer = mixed.filter(F.col("component") != F.col("main")).select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    across = mixed.join(outer, "key").filter((F.col("component") != F.col("x_c")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("id"))) & _close(F.col("n"), F.col("x_n"), hundredths))
-    rest = stored(across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct(), "near-rest")
-    if not rest.isEmpty():
-        grouped = components(found.union(links(rest)))
+    placed = stored(met.select("pivot", "id").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
+    across = stored(_across(placed, nodes, plain, words, hundredths, miss), "near-across")
+    if not across.isEmpty():
+        grouped = components(found.union(_verified(across, plain, words, hundredths)))
 
     own = sets.join(grouped.withColumnRenamed("id", "node"), "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = features.select("id", "n", F.when(sound, F.col("print")).alias("print")).join(own, "print", "left")
