@@ -1,6 +1,7 @@
 """Token counts: an exact histogram of encoded lengths, and what its suffix sums answer.
 
-The histogram has one row for each length that occurs, so it is made by one pre-aggregated shuffle. Suffix sums are
+The histogram has one row for each length that occurs, so it is made by one pre-aggregated shuffle, and written: both
+levels of the suffix sums read it, and documents are encoded once. Suffix sums are
 taken in two levels: inside a bucket of neighbouring lengths, and over the buckets, of which there are at most
 64 * 256 whatever the lengths are.
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import codec
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import small_batches, stored
 
 
 def token_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -44,7 +45,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     total_docs (of all documents); truncated_tokens (the tokens left when all documents are cut to n_tokens).
     """
     n = F.col(f"`{column}`").cast("long")
-    hist = lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = stored(lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "token-lengths")
     hist = hist.withColumn("bucket", _bucket(F.col("n_tokens")))
     tokens = F.col("n_tokens") * F.col("n_docs")
     buckets = hist.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum(tokens).alias("b_tokens"))
