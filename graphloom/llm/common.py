@@ -9,11 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: long texts stay small in a Python worker.
 BATCH_ROWS = 512
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 4 << 20
+#: Bits of a filter of ids, and of each of its parts (the size that bitmap_construct_agg has).
+FILTER_BITS, PART_BITS = 1 << 24, 1 << 15
 
 _MASK = (1 << 64) - 1
 _POWER = 0x9E3779B97F4A7C15
@@ -47,6 +50,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parted_by(df: DataFrame, ids: DataFrame, column: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose id may stand in ids (all that do, and few others), and the rest, without a shuffle of df.
+
+    The ids are hashed into a bitmap of FILTER_BITS bits, 2 MB however many they are, which is broadcast. What follows has
+    to be an exact join: the more ids, the more of df goes on to it. A null id is among the rest.
+    """
+    place = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(FILTER_BITS))
+    at = ids.select(place.alias("at")).select(F.floor(F.col("at") / PART_BITS).alias("filter_part"), (F.col("at") % PART_BITS).alias("bit"))
+    bitmaps = stored(at.groupBy("filter_part").agg(F.bitmap_construct_agg("bit").alias("filter_bits")), "id-bitmap")
+    marked = df.withColumn("filter_at", place).withColumn("filter_part", F.floor(F.col("filter_at") / PART_BITS))
+    bit = F.col("filter_at") % PART_BITS
+    byte = F.conv(F.hex(F.substring("filter_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
+    met = marked.join(F.broadcast(bitmaps), "filter_part", "left").withColumn("filter_hit", F.coalesce(hit & F.col(f"`{column}`").isNotNull(), F.lit(False)))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return met.filter("filter_hit").select(*own), met.filter("NOT filter_hit").select(*own)
+
+
+def perhaps_among(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The first of the two parts of parted_by()."""
+    return parted_by(df, ids, column)[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalises 64-bit hashes (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(32))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import Words, mix, small_batches, stored, texts, windows
+from graphloom.llm.common import Words, mix, perhaps_among, small_batches, stored, texts, windows
 from graphloom.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -143,8 +143,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) ->
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["u", "v"])
 
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    involved = stored(docs.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
+    involved = stored(perhaps_among(docs.select("id", "text"), needed).join(needed, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     text = lambda side: involved.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
     joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     schema = T.StructType([T.StructField("u", pairs.schema["a"].dataType), T.StructField("v", pairs.schema["b"].dataType)])
@@ -159,7 +159,7 @@ def _profiles(ids: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) ->
             short = [np.unique((shingles(x, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in texts(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(short, pa.binary())], ["id", "n", "sig", "short"])
 
-    involved = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(nodes, "id")
+    involved = perhaps_among(docs, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]).join(perhaps_among(nodes, ids), "id")
     return involved.select("id", "n", "sig", "text").mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("short", T.BinaryType())]))
 
 
@@ -206,7 +206,8 @@ def _across(placed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, hu
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = rows.filter(~F.col("is_main")).select("*", F.lit(True).alias("is_outer"), tile("n_out").alias("x")).select("*", every("n_in").alias("y"))
     inner = rows.select("*", F.lit(False).alias("is_outer"), tile("n_in").alias("y")).select("*", every("n_out").alias("x"))
-    profiles = stored(_profiles(rows.select("id").distinct(), nodes, docs, words), "near-profiles")
+    wanted = stored(rows.select("id").distinct(), "near-wanted")
+    profiles = stored(_profiles(wanted, nodes, docs, words), "near-profiles")
     dealt = outer.unionByName(inner).select("pivot", "x", "y", "is_outer", "id", "component", "is_main").join(profiles, "id")
     dealt = dealt.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
     columns = ["pivot", "x", "y", "is_outer", "id", "n", "component", "is_main", "sig", "short"]
@@ -246,14 +247,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, hundredths: int = 80, miss:
     features = stored(_features(plain, words), "near-features")
     sound = F.col("id").isNotNull() & F.col("print").isNotNull()
     sets = stored(features.filter(sound).groupBy("print").agg(F.min("id").alias("node")), "near-sets")
-    chosen = features.filter(sound).join(sets.select(F.col("node").alias("id"), "print"), ["id", "print"], "left_semi")
+    single = sets.groupBy(F.col("node").alias("id")).agg(F.min("print").alias("print"))  # an id of several texts is one node
     fewest = -(-hundredths // max(1, 100 - hundredths))  # smaller sets are linked with equal ones only
-    nodes = stored(chosen.filter(F.col("n") >= fewest).dropDuplicates(["id"]).select("id", "n", "sig"), "near-nodes")
+    chosen = features.filter(sound & (F.col("n") >= fewest)).join(single, ["id", "print"], "left_semi")
+    nodes = stored(chosen.dropDuplicates(["id", "print"]).select("id", "n", "sig"), "near-nodes")
 
     banded = _banded(nodes)
     buckets = stored(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "pivot"), "near-buckets")
     met = banded.join(buckets, "key").filter(F.col("id") != F.col("pivot.id")).select(F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "id", "n")
     met = stored(met.distinct(), "near-stars")
+    busy = met.select("id").union(met.select(F.col("pivot").alias("id")))
+    nodes = stored(perhaps_among(nodes, busy), "near-busy")
     stars = met.filter(_close(F.col("n"), F.col("pivot_n"), hundredths)).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
     survivors = stored(_promising(stars, nodes, hundredths / 100, miss), "near-survivors")

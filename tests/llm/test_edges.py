@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, substrings, token_counts, topk
 from graphloom.llm import queries as q
+from graphloom.llm.common import parted_by, perhaps_among
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -128,6 +129,19 @@ def test_op3_chains_and_stars(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_filter_of_ids(spark):
+    """All rows whose id is among the ids, and few others; null ids and no ids."""
+    ids = spark.range(0, 300_000, 7)
+    df = spark.range(200_000).withColumn("part", F.lit("own")).withColumn("text", F.lit("t"))
+    met = perhaps_among(df, ids)
+    assert met.columns == df.columns and {r.part for r in met.select("part").distinct().collect()} == {"own"} and met.join(ids, "id", "left_semi").count() == len(range(0, 200_000, 7))
+    assert met.count() < 1.02 * len(range(0, 200_000, 7))
+    assert perhaps_among(df, ids.limit(0)).count() == 0
+    null = spark.createDataFrame([(None, "x"), (7, "y")], "id long, bits string")
+    one, other = parted_by(null, ids)
+    assert [r.bits for r in one.collect()] == ["y"] and [r.bits for r in other.collect()] == ["x"]
+
+
 def test_op4(spark, folder, rows):
     got = {r.doc_id: r for r in q.op4_mix_sources(spark, folder).collect()}
     sizes = {i: len(brute.words(t)) for i, t in known(rows)}
