@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import Words, mix, small_batches, stored, texts, windows
+from graphloom.llm.common import Words, mix, parted_by, perhaps_among, small_batches, stored, texts, windows
 
 WINDOW, ANCHOR = 50, 8
 #: Windows in a run, and runs in a passage, at most.
@@ -220,12 +220,14 @@ def _needs(docs: DataFrame, window: int) -> DataFrame:
     opened = firsts.join(several, "anchor", "left_semi").select(F.col("first").alias("id"), F.lit(None).cast("long").alias("settled"), F.col("run").alias("open"))
     owned = firsts.filter("first < last").select(F.col("first").alias("id"), F.col("run").alias("settled"), F.lit(None).cast("long").alias("open"))
     wanted = opened.union(owned).groupBy("id").agg(F.collect_set("settled").alias("settled"), F.collect_set("open").alias("open"))
-    found = stored(_passages(docs.join(wanted, "id"), window), "sub-passages")
+    wanted = stored(wanted, "sub-wanted")
+    found = stored(_passages(perhaps_among(docs, wanted).join(wanted, "id"), window), "sub-passages")
 
     hashed = found.filter("kind = 'window'").select("hash", "id", "no")
-    earliest = hashed.groupBy("hash").agg(F.min(F.struct("id", "no")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi")
+    # written before they are joined: a hash or run that many documents have is then a skewed join side, which adaptive execution splits
+    earliest = stored(hashed.groupBy("hash").agg(F.min(F.struct("id", "no")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"), "sub-earliest")
     by_window = hashed.join(earliest, "hash").filter("id > own.id").select("id", F.col("own.id").alias("owner"), F.col("own.no").alias("no"))
-    places = found.filter("kind = 'run'").groupBy(F.col("hash").alias("run"), F.col("id").alias("owner")).agg(F.min("no").alias("no"))
+    places = stored(found.filter("kind = 'run'").groupBy(F.col("hash").alias("run"), F.col("id").alias("owner")).agg(F.min("no").alias("no")), "sub-places")
     by_run = settled.join(places, ["run", "owner"]).select("id", "owner", "no")
     needed = by_window.union(by_run).distinct()
     passages = found.filter("kind = 'text'").select(F.col("id").alias("owner"), "no", "passage").dropDuplicates(["owner", "no", "passage"])
@@ -238,7 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     needs = stored(_needs(plain.filter("id IS NOT NULL AND text IS NOT NULL"), window), "sub-needs")
-    joined = plain.join(needs, "id", "left")
+    perhaps, others = parted_by(plain, needs)  # most documents need no passage and aren't shuffled
+    joined = perhaps.join(needs, "id", "left").unionByName(others, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[object, SuffixAutomaton | None] = (None, None)
