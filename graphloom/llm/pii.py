@@ -1,13 +1,20 @@
 """Personal data in texts: patterns, and terms that disclose a protected entity (DataFrame functions only).
 
 Base kinds are email, ip, card and phone; each distinct match is a protected entity. The method adds ``term``: words
-near an entity whose pointwise mutual information with it comes close to the entity's own information content, as
-estimated from all documents. With N documents, PMI(t; e) = log2(N * n(e, t) / (n(e) * n(t))) and
-IC(e) = log2(N / n(e)); a term is sanitised when PMI >= DISCLOSE * IC and the pair stands in at least SUPPORT
-different contexts of different documents, so that one text and its copies prove nothing. At PMI >= REMOVE * IC the term is
-removed, below it is generalised to its class.
+whose pointwise mutual information with an entity comes close to the entity's own information content, as estimated
+from all documents. With N documents, n(e) and n(t) that hold an entity and a term, and n(e, t) that hold both, wherever
+they stand, PMI(t; e) = log2(N * n(e, t) / (n(e) * n(t))) and IC(e) = log2(N / n(e)); a term is sanitised when
+PMI >= DISCLOSE * IC for any entity, in every document that holds it, whether the entity stands there or not. At
+PMI >= REMOVE * IC the term is removed, below it is generalised to its class. Words inside spans of the base kinds are
+masked anyway and count nowhere.
 
-Counting is by pre-aggregated shuffles over (entity, term) pairs near entities, and over the words of all documents.
+A pair must stand in SUPPORT documents that aren't copies, so that one text and its changed copies prove nothing: an
+entity's documents with one of SKETCHES minima of hashed three-word runs in common are one component, and a pair needs
+two. Documents that share 0.3 of their runs count as copies 99 times in 100, those that share 0.02 one time in 5; a pair
+is lost by this only if all of its documents are so linked.
+
+Counting is by pre-aggregated shuffles: over (entity, term) pairs of entities that have such documents at all, and over
+the words of all documents. The list of terms meets all texts in a join on (document, term).
 
 Defined results: a null or empty text has no spans; rows equal in id and text are treated alike; no documents
 give no rows; other columns pass through, those named pii_* are replaced.
@@ -19,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
+from graphloom.llm.components import components
 from graphloom.llm.spans import SPAN, replaced, spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -28,9 +36,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9]|[0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<!\p{L})\p{L}[\p{L}'-]{2,}+"
-#: Characters on either side of an entity in which terms are looked for.
-REACH = 80
 DISCLOSE, REMOVE, SUPPORT = 0.8, 0.95, 2
+#: Minima that tell documents from copies, and the words of a hashed run.
+SKETCHES, RUN = 12, 3
 
 
 def _digits(match: Column) -> Column:
@@ -57,32 +65,71 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms within REACH of a span that lie outside it; words cut by the edge are left out."""
-    at = F.greatest(span["start"] - REACH, F.lit(0))
-    context = F.substring(text, at + 1, span["end"] + REACH - at)
-    shifted = lambda s: F.struct((s["start"] + at).cast("int").alias("start"), (s["end"] + at).cast("int").alias("end"), F.lower(s["match"]).alias("term"))
-    whole = lambda s: ((s["start"] > at) | (s["start"] == 0)) & ((s["end"] < span["end"] + REACH) | (s["end"] == F.char_length(text))) & ((s["end"] <= span["start"]) | (s["start"] >= span["end"]))
-    return F.filter(F.transform(spans(context, TERM, "term"), shifted), whole)
-
-
-def disclosing(documents: DataFrame, near: DataFrame) -> DataFrame:
-    """From documents (text) and near (row, entity, context, term): entity, term, disclosure of the pairs to sanitise."""
-    total = documents.agg(F.count(F.lit(1)).alias("n"))
-    pairs = near.groupBy("entity", "term", "row").agg(F.min("context").alias("context"))  # one vote a document
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT)
-    pairs = stored(pairs, "pii-pairs")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    terms = terms.join(pairs.select("term").distinct(), "term")
+def _masked(text: Column, found: Column) -> Column:
+    """text with spaces in place of the spans (sorted here), of the same length."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        plain = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).cast("int").alias("at"), F.concat(state["out"], plain, blank).alias("out"))
+
+    by_start = lambda a, b: a["start"] - b["start"]
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2147483647)))
+    return F.when(F.size(found) > 0, F.aggregate(F.array_sort(found, by_start), start, step, rest)).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _least(hashes: str, seed: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+
+
+def _holders(texts: DataFrame) -> DataFrame:
+    """From texts (text): doc, entities, terms, sketch of documents with entities, and what masking changes in their terms."""
+    based = texts.select("text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
+    split = based.select(F.xxhash64("text").alias("doc"), entities.alias("entities"), _words(F.col("text")).alias("raw"), _words(_masked(F.col("text"), F.col("base"))).alias("words"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, RUN)))
+    hashed = split.select("doc", "entities", F.array_distinct("raw").alias("raw"), F.array_distinct("words").alias("terms"), runs.alias("runs"))
+    sketch = F.array(*[_least("runs", k) for k in range(SKETCHES)])
+    return hashed.select("doc", "entities", "terms", F.array_except("raw", "terms").alias("lost"), F.array_except("terms", "raw").alias("won"), sketch.alias("sketch"))
+
+
+def _apart(holders: DataFrame) -> DataFrame:
+    """entity, terms and kin of entities in more than one text; kin is the same for copies among an entity's documents."""
+    each = holders.select("doc", "terms", "sketch", F.explode("entities").alias("entity"))
+    more = stored(_supported(each.select("entity", F.col("doc").alias("kin")), "entity").select("entity"), "pii-more")
+    each = each.join(more, "entity").withColumn("node", F.xxhash64("entity", "doc"))
+    keys = each.select("entity", F.col("node").alias("u"), F.posexplode("sketch").alias("k", "s"))
+    kin = components(keys.select("u", F.xxhash64("entity", "k", "s").alias("v"))).select(F.col("id").alias("node"), "component")
+    return each.join(kin, "node", "left").select("entity", "terms", F.coalesce("component", "node").alias("kin"))
+
+
+def _supported(groups: DataFrame, *by: str) -> DataFrame:
+    """Groups with SUPPORT different kin or more (that is, two); n counts documents."""
+    counted = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("kin").alias("least"), F.max("kin").alias("most"))
+    return counted.filter("least < most").select(*by, "n")
+
+
+def disclosing(texts: DataFrame) -> DataFrame:
+    """From texts (text, never null): term and disclosure, the largest over all entities, of the terms to sanitise."""
+    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    holders = stored(_holders(texts), "pii-holders")
+    each = stored(_apart(holders), "pii-apart")
+    entities = stored(_supported(each, "entity").withColumnRenamed("n", "n_e"), "pii-entities")
+    met = each.join(entities.select("entity"), "entity").select("entity", F.explode("terms").alias("term"), "kin")
+    pairs = stored(_supported(met, "entity", "term").withColumnRenamed("n", "n_et"), "pii-pairs")
+    seen = lambda df, words, n: df.select(F.explode(words).alias("term")).groupBy("term").agg(F.sum(F.lit(n)).alias("n_t"))
+    terms = seen(texts, F.array_distinct(_words(F.col("text"))), 1).join(pairs.select("term").distinct(), "term", "left_semi")
+    terms = terms.union(seen(holders, "lost", -1)).union(seen(holders, "won", 1)).groupBy("term").agg(F.sum("n_t").alias("n_t"))
     joined = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    together = F.least("n_et", "n_t", "n_e")
-    pmi = F.log2(F.col("n") * together / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     content = F.log2(F.col("n") / F.col("n_e"))
-    scored = joined.select("entity", "term", F.when(content > 0, pmi / content).alias("disclosure"))
-    return scored.filter(F.col("disclosure") >= DISCLOSE)
+    scored = joined.select("term", F.when(content > 0, pmi / content).alias("disclosure"))
+    return scored.filter(F.col("disclosure") >= DISCLOSE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -92,22 +139,17 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     row = F.concat_ws(":", F.col(f"`{doc_id}`").cast("string"), F.hex(F.xxhash64(t)))
-    kept = [c for c in docs.columns if c not in ("pii_base", "pii_spans", "pii_row")]
+    kept = [c for c in docs.columns if c not in ("pii_base", "pii_spans", "pii_row", "pii_terms")]
     based = docs.select(*[F.col(f"`{c}`") for c in kept], row.alias("pii_row"), base_spans(t).alias("pii_base"))
-    holders = docs.select(row.alias("row"), t.alias("text"), base_spans(t).alias("base")).filter(F.size("base") > 0)
-    each = holders.select("row", "text", F.explode("base").alias("s"))
-    context = F.xxhash64(F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.col("s.end") - F.col("s.start") + 2 * REACH))
-    each = each.select("row", F.concat_ws(":", "s.kind", F.lower("s.match")).alias("entity"), context.alias("context"), F.explode(_near(F.col("text"), F.col("s"))).alias("n"))
-    near = stored(each.select("row", "entity", "context", "n.term", "n.start", "n.end"), "pii-near")
-    bad = stored(disclosing(docs.select(t.alias("text")), near), "pii-terms")
-    where = near.join(bad, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    name = F.concat(F.when(F.col("disclosure") >= REMOVE, "-").otherwise(""), F.col("term"))
-    hit = F.struct(F.lit("term").alias("kind"), "start", "end", name.alias("match"))
-    added = where.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", hit.alias("hit")))).alias("hits"))
-    added = added.select(F.col("row").alias("pii_row"), F.transform("hits", lambda h: h["hit"]).cast(SPAN).alias("hits"))
-    joined = based.join(added, "pii_row", "left")
-    every = F.concat("pii_base", F.coalesce("hits", F.array().cast(SPAN)))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "pii_base", every.alias("pii_spans"))
+    bad = stored(disclosing(docs.select(t.alias("text"))), "pii-terms")
+    words = docs.select(row.alias("pii_row"), F.explode(F.array_distinct(_words(t))).alias("term"))
+    listed = words.join(bad, "term").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("pii_terms"))
+    joined = based.join(stored(listed, "pii-listed"), "pii_row", "left")
+    of = lambda match: F.try_element_at("pii_terms", F.lower(match))
+    hits = spans(_masked(t, F.col("pii_base")), TERM, "term", lambda m: of(m).isNotNull(), may=F.col("pii_terms").isNotNull())
+    name = lambda s: F.concat(F.when(of(s["match"]) >= REMOVE, "-").otherwise(""), F.lower(s["match"]))
+    hits = F.transform(hits, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), name(s).alias("match")))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.concat("pii_base", hits.cast(SPAN)).alias("pii_spans"))
 
 
 def sanitised(found: DataFrame, text: str = "text") -> DataFrame:

@@ -247,6 +247,21 @@ def test_op8_terms_that_disclose(spark):
     assert clean[100] == rows[6][1]
 
 
+def test_op8_terms_far_from_entities_and_in_other_documents(spark):
+    """A document is the unit of co-occurrence, the list of terms meets all texts, and near copies prove nothing."""
+    rows = [(i, f"Zanzibarian {prose(i + 40, 60)} wrote to ann@corp.example {prose(i + 70, 30)}", "en", "s", 1) for i in range(6)]
+    rows += [(50, f"{prose(50, 60)} zanzibarian {prose(51, 30)}", "en", "s", 1), (51, "ann", "en", "s", 1)]
+    copy = prose(60, 90) + " quokkaland " + prose(61, 90)
+    rows += [(60 + i, f"{copy} changed{i} bob@corp.example", "en", "s", 1) for i in range(2)]
+    for i in range(4):
+        changed = [f"{'xyzw'[i]}{w}" if k % 12 == 3 * i else w for k, w in enumerate(prose(62, 200).split())]
+        rows.append((70 + i, " ".join([*changed, "wombatland", "cat@corp.example"]), "en", "s", 1))
+    rows += [(100 + i, f"{prose(i + 900, 60)} wrote to", "en", "s", 1) for i in range(200)]
+    found = {r.doc_id: {rows_text[s.start : s.end].lower() for s in r.pii_spans if s.kind == "term"} for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect() for rows_text in [r.text]}
+    assert all("zanzibarian" in found[i] for i in (0, 1, 2, 3, 4, 5, 50))
+    assert not any(words & {"quokkaland", "wombatland", "wrote", "ann", "corp", "example"} for words in found.values())
+
+
 def test_op9(spark, folder, rows):
     texts = dict(known(rows))
     got = {r.doc_id: r for r in q.op9_secrets(spark, folder).collect()}
