@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
 from graphloom.llm.components import components
-from graphloom.llm.spans import SPAN, replaced, spans
+from graphloom.llm.spans import SPAN, blanked, replaced, spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: No later start in a run can match when the first fails, so each run is tried once: at its start or after a match.
@@ -65,20 +65,6 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _masked(text: Column, found: Column) -> Column:
-    """text with spaces in place of the spans (sorted here), of the same length."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        plain = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).cast("int").alias("at"), F.concat(state["out"], plain, blank).alias("out"))
-
-    by_start = lambda a, b: a["start"] - b["start"]
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2147483647)))
-    return F.when(F.size(found) > 0, F.aggregate(F.array_sort(found, by_start), start, step, rest)).otherwise(text)
-
-
 def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
@@ -91,7 +77,7 @@ def _holders(texts: DataFrame) -> DataFrame:
     """From texts (text): doc, entities, terms, sketch of documents with entities, and what masking changes in their terms."""
     based = texts.select("text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
-    split = based.select(F.xxhash64("text").alias("doc"), entities.alias("entities"), _words(F.col("text")).alias("raw"), _words(_masked(F.col("text"), F.col("base"))).alias("words"))
+    split = based.select(F.xxhash64("text").alias("doc"), entities.alias("entities"), _words(F.col("text")).alias("raw"), _words(blanked(F.col("text"), F.col("base"))).alias("words"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, RUN)))
     hashed = split.select("doc", "entities", F.array_distinct("raw").alias("raw"), F.array_distinct("words").alias("terms"), runs.alias("runs"))
     sketch = F.array(*[_least("runs", k) for k in range(SKETCHES)])
@@ -146,7 +132,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     listed = words.join(bad, "term").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("pii_terms"))
     joined = based.join(stored(listed, "pii-listed"), "pii_row", "left")
     of = lambda match: F.try_element_at("pii_terms", F.lower(match))
-    hits = spans(_masked(t, F.col("pii_base")), TERM, "term", lambda m: of(m).isNotNull(), may=F.col("pii_terms").isNotNull())
+    hits = spans(blanked(t, F.col("pii_base")), TERM, "term", lambda m: of(m).isNotNull(), may=F.col("pii_terms").isNotNull())
     name = lambda s: F.concat(F.when(of(s["match"]) >= REMOVE, "-").otherwise(""), F.lower(s["match"]))
     hits = F.transform(hits, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), name(s).alias("match")))
     return joined.select(*[F.col(f"`{c}`") for c in kept], "pii_base", F.concat("pii_base", hits.cast(SPAN)).alias("pii_spans"))

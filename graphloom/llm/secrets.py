@@ -4,6 +4,9 @@ Base kinds are assign, access and hex. The method adds ``entropy``: every other
 tokens are made of is a candidate; a window slides over it, the counts of its characters change by one in and one out,
 and so does the sum of c * log2(c) that the entropy follows from. Each character class has its own threshold, and an
 allow-list suppresses what is known to be harmless (UUIDs, alphabets, paths, joined words, documentation's keys).
+What is harmless inside a candidate is cut out, and the pieces between are scored: one that is random enough makes the
+whole candidate a span. Base spans are cut out of texts before, so what stands beside them is a candidate of its own.
+Letters in one case reach their threshold seldom, and words joined by marks without a digit count as harmless.
 
 Defined results: a null or empty text has no spans; other columns pass through; repeated rows are treated alike.
 """
@@ -15,7 +18,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.spans import spans
+from graphloom.llm.spans import blanked, spans
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: A value is 6 characters or more, checked after the match.
@@ -26,17 +29,27 @@ HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: The window, and the bits a window must reach by character class.
 WINDOW = 20
-BITS = {"hex": 2.9, "lower": 3.4, "mixed": 3.6}
+BITS = {"hex": 2.9, "lower": 3.4, "mixed": 3.6, "letters": 3.8}
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-#: What is suppressed: UUIDs, alphabets and keyboard rows, paths, words joined by marks, documentation's keys.
+
+
+def _row(least: str, more: str) -> str:
+    """A pattern of least and as much of more as follows in order."""
+    return least + "".join(f"(?:{c}" for c in more) + ")?" * len(more)
+
+
+#: What is cut out of candidates: alphabets and keyboard rows, documentation's keys, paths' words, one character repeated.
+HARMLESS = "|".join((
+    "(?i:" + "|".join((_row("abcdefgh", "ijklmnopqrstuvwxyz"), _row("qwerty", "uiop"), _row("01234567", "89"), _row("12345678", "90"), "EXAMPLE", "placeholder", "x{6,}+")) + ")",
+    r"(?<![A-Za-z0-9+=])(?:[A-Za-z]{2,19}[/_-]){2,}+",
+    r"(?<same>.)\k<same>{7,}+",
+))
+#: What is suppressed as a whole, a candidate or a piece of it: UUIDs, words and numbers joined by marks, numbers.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefgh|qwerty|01234567|12345678|EXAMPLE|placeholder|x{6}",
-    r"/[A-Za-z]{2,}+[/_-][A-Za-z]{2,}+[/_-]",
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+)*$",
-    r"^[A-Za-z]{2,}([-_/][A-Za-z]{2,}|[-_/][0-9]{1,8})*$",
+    r"^[A-Za-z]{1,19}([-_/=+]+[A-Za-z]{1,19})*[-_/=+]*$",
+    r"^[A-Za-z]{2,19}([-_/][A-Za-z]{2,19}|[-_/][0-9]{1,8})*$",
     r"^[0-9+/_=-]+$",
-    r"(.)\1{7}",
 )
 
 
@@ -62,14 +75,23 @@ def window_entropy(candidate: Column, width: int = WINDOW) -> Column:
     return F.when(F.char_length(candidate) >= width, F.element_at(F.transform(F.array(codes), over), 1))
 
 
-def suspicious(candidate: Column) -> Column:
-    """Whether a candidate's windows are random enough for its character class, and no allow-list entry fits."""
-    digit, upper, lower = candidate.rlike("[0-9]"), candidate.rlike("[A-Z]"), candidate.rlike("[a-z]")
-    need = F.when(candidate.rlike("^[0-9A-F]+$|^[0-9a-f]+$"), F.lit(BITS["hex"])).when(upper & lower, F.lit(BITS["mixed"])).otherwise(F.lit(BITS["lower"]))
+def _allowed(candidate: Column) -> Column:
     allowed = candidate.rlike(ALLOWED[0])
     for pattern in ALLOWED[1:]:
         allowed = allowed | candidate.rlike(pattern)
-    return F.when(digit & (upper | lower) & ~allowed, window_entropy(candidate) >= need).otherwise(False)
+    return allowed
+
+
+def _random(piece: Column) -> Column:
+    digit, upper, lower = piece.rlike("[0-9]"), piece.rlike("[A-Z]"), piece.rlike("[a-z]")
+    need = F.when(~digit, F.lit(BITS["letters"])).when(piece.rlike("^[0-9A-F]+$|^[0-9a-f]+$"), F.lit(BITS["hex"])).when(upper & lower, F.lit(BITS["mixed"])).otherwise(F.lit(BITS["lower"]))
+    return F.when((F.char_length(piece) >= WINDOW) & (upper | lower) & ~_allowed(piece), window_entropy(piece) >= need).otherwise(False)
+
+
+def suspicious(candidate: Column) -> Column:
+    """Whether a piece of a candidate, without what is harmless, has a window random enough for its character class."""
+    pieces = F.split(F.regexp_replace(candidate, HARMLESS, " "), " ")
+    return F.when(_allowed(candidate), False).otherwise(F.exists(pieces, _random))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,6 +102,5 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(rank[a["kind"]] - rank[b["kind"]])
     with_base = docs.withColumn("secret_base", F.array_sort(base, by_start))
-    found = spans(t, CANDIDATE, "entropy", suspicious)
-    apart = F.filter(found, lambda s: ~F.exists(F.col("secret_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_base", apart), by_start))
+    found = spans(blanked(t, F.col("secret_base")), CANDIDATE, "entropy", suspicious)
+    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_base", found), by_start))
