@@ -27,7 +27,8 @@ WIDTH = 3
 SURGE, SURGE_SHARE = 86, 0.2
 LINKED = 0.5
 
-TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(?=[a-zA-Z!/?])(?s:.*)\Z""", regex.S)
+#: A quote counts only as an attribute value's delimiter, after '='; else '>' ends a tag, if any '>' follows.
+TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+|[^>]*+)>|<[!?/][^>]*+>|<(?=[a-zA-Z!/?])[^>]*+\Z""", regex.S)
 ATTRIBUTE = regex.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Names that only say what a page has or lacks.
 NEGATED = regex.compile(r"\b(?:no|not|has|with|without|hide|show)[_-][\w-]+")

@@ -192,6 +192,12 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["<img alt=Bob's>", '<b title="5" tall">', "<b 'x>", '<i title="a > b">', "<u title='it\"s'>", '<b title="x>'])
+def test_stray_quotes_in_tags(tag):
+    after = "goes on here. " * 20
+    assert html.main_text(f"<article><p>first part</p><p>{tag}second</p><p>{after}</p></article>") == f"first part\nsecond\n{after.strip()}"
+
+
 def test_op6(spark, folder, rows):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in q.op6_quality_rules(spark, folder).collect()}
     assert got == {i: brute.rule_counts(t) for i, t in known(rows)}
