@@ -1,13 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's length is that of its own text; lines in menus,
-headers, footers, sidebars, notices, adverts, forms and comments, and lines that are mostly links, have length 0.
-Lengths are summed over windows of WIDTH lines. Text begins where the sum surges over a threshold and ends where it
-dives to 0; an article or main element bounds its own run of lines, so that short ones at its edges stay. The lines
-between surge and dive that have a length are kept, none dropped or cut.
+1. Markup is stripped to lines, one for each block element; inline elements don't break lines.
+2. A line's length is that of its text outside hidden elements; lines in menus, headers, footers, sidebars, notices,
+   adverts, forms and comments have length 0, and so have lines that are mostly links. Class names and ids are only
+   hints: a wrapper that holds an article, a main element or the page's heading isn't hidden by one, and in an article
+   a weak hint (``related-work``) doesn't hide text in which the distribution surges.
+3. Lengths are summed over windows of WIDTH lines. Text begins where the sum surges to a threshold and ends where it
+   dives to 0. Article and main elements bound windows: no window crosses their edges, and in one where the sum surges
+   all stretches between dives are text, so that short lines at its edges stay. Elsewhere a stretch needs its own surge.
+4. All stretches of the page stay, in page order, with the links inside them; none is dropped or cut.
+
+Every page takes this way. What the method can't see: outside articles, a short paragraph that WIDTH lines without
+length part from the body, if it has fewer characters than the threshold.
 
 Defined results: null or empty html, or a page without text, gives an empty string; repeated rows are treated alike;
-markup that breaks off ends the text there; a character reference that breaks off stays as it is written.
+texts of any length take time and memory in proportion; markup that breaks off ends the text there; a character reference
+that breaks off stays as it is written; other columns pass through, one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +33,8 @@ from graphloom.llm.common import small_batches
 WIDTH = 3
 #: A window surges at SURGE characters, or at this share of the page's largest window if that is less.
 SURGE, SURGE_SHARE = 86, 0.2
-LINKED = 0.5
+#: A line with more than this share of link text has length 0, unless it has PLAIN characters outside links.
+LINKED, PLAIN = 0.5, 20
 
 #: A quote counts only as an attribute value's delimiter, after '='; else '>' ends a tag, if any '>' follows.
 TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+|[^>]*+)>|<[!?/][^>]*+>|<(?=[a-zA-Z!/?])[^>]*+\Z""", regex.S)
@@ -38,138 +47,210 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HIDDEN = frozenset("nav footer aside form menu dialog button select head".split())
 SPACE = frozenset("br td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Parts of class names and ids that mark what isn't the article.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu header masthead topbar footer sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs comment comments commentlist disqus respond replies pagination pager toolbar search copyright legal disclaimer skip".split()
-)
+#: Parts of class names and ids that mark what isn't the article, wherever they stand ...
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager".split())
+#: ... and such as articles have, too.
+WEAK = frozenset("banner nav navbar navigation menu submenu header masthead topbar footer sidebar aside rail widget widgets notice notices alert related recommended recommendations toolbar search copyright legal disclaimer skip".split())
 TALK = frozenset("comment comments commentlist disqus respond replies".split())
-WHOLE = frozenset("html body main article".split())
-
-
-class _Line:
-    __slots__ = ("parts", "linked", "seen", "place")
-
-    def __init__(self, seen: bool, place: int):
-        self.parts: list[str] = []
-        self.linked, self.seen, self.place = 0, seen, place
-
-
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """Text, length in the distribution, and number of the article or main element (0: none) of each line."""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, hidden, among comments, place
-    open_tags: dict[str, int] = {}
-    places = links = 0
-    line = _Line(True, 0)
-
-    def flush() -> None:
-        nonlocal line
-        hidden, place = (stack[-1][1], stack[-1][3]) if stack else (False, 0)
-        text = " ".join(unescape("".join(line.parts)).split())
-        if text:
-            out.append((text, len(text) if line.seen and line.linked <= LINKED * len(text) else 0, line.place))
-        line = _Line(not hidden, place)
-
-    def close(tag: str) -> None:
-        nonlocal links
-        while stack:
-            top = stack.pop()[0]
-            open_tags[top] -= 1
-            links -= top == "a"
-            if top == tag:
-                return
-
-    at, raw = 0, ""
-    for m in TOKEN.finditer(page):
-        tag = (m["tag"] or "").lower()
-        if raw:
-            if not (m["end"] and tag == raw):
+WHOLE = frozenset("html body main".split())
+
+
+class _Hint:
+    """An element whose class, id or role hints that it isn't the article."""
+
+    __slots__ = ("parent", "weak", "exact", "placed", "wraps", "first", "last", "chars", "hides")
+
+    def __init__(self, parent: int, weak: bool, exact: bool, placed: bool, line: int):
+        self.parent, self.weak, self.exact, self.placed, self.wraps = parent, weak, exact, placed, False
+        self.first = self.last = line
+        self.chars, self.hides = 0, True
+
+
+class _Page:
+    """Lines of a page. A line: its article or main element (0: none) and its pieces; a piece: text, in a link, hidden
+    by an element's kind, and the innermost hint it stands in (0: none)."""
+
+    def __init__(self, page: str):
+        self.lines: list[tuple[int, list[tuple[str, bool, bool, int]]]] = []
+        self.hints = [_Hint(0, False, False, False, 0)]
+        self.places = 0
+        self.stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # tag, hidden, talk, place, hint
+        self.at: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are
+        self.blocks: list[int] = []
+        self.pieces: list[tuple[str, bool, bool, int]] = []
+        self.links = 0
+        self._read(page)
+        self._decide()
+
+    def _read(self, page: str) -> None:
+        at, raw = 0, ""
+        for m in TOKEN.finditer(page):
+            tag = (m["tag"] or "").lower()
+            if raw:
+                if not (m["end"] and tag == raw):
+                    continue
+                raw, at = "", m.end()
                 continue
-            raw, at = "", m.end()
-            continue
-        if m.start() > at:
-            piece = page[at : m.start()]
-            line.parts.append(piece)
-            line.linked += len(piece) if links else 0
-        at = m.end()
-        if not tag:
-            continue
-        if tag in SPACE:
-            line.parts.append(" ")
-        if tag in RAW:
-            if not m["end"] and not m["rest"].endswith("/"):
-                raw = tag
-            continue
-        if m["end"]:
-            if open_tags.get(tag):
-                if tag in BLOCK or any(s[0] in BLOCK for s in stack[-8:] if s[0] != tag):
-                    flush()
-                close(tag)
-                if tag in BLOCK:
-                    flush()
-                else:
-                    line.seen = line.seen and not (stack[-1][1] if stack and line.parts else False)
-            elif tag in BLOCK:
-                flush()
-            continue
-        if tag in BLOCK:
-            flush()
-            if open_tags.get("p"):
-                close("p")
-        if tag in VOID or m["rest"].endswith("/"):
-            continue
-        _, hidden, talk, place = stack[-1] if stack else ("", False, False, 0)
-        named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"] else {}
-        hints = set(regex.split(r"[\s_-]+", NEGATED.sub("", f"{named.get('class', '')} {named.get('id', '')}"))) if named else set()
-        talk = talk or bool(hints & TALK)
-        if tag in ("article", "main"):
-            hidden = talk or bool(tag == "article" and hints & HINTS)
-            if not place and not hidden:
-                places += 1
-                place = places
-        elif tag in HIDDEN or tag == "header" and not place:
-            hidden = True
-        elif tag not in WHOLE and (hints & HINTS or named.get("role") in ROLES) and not (tag[0] == "h" and tag[1:].isdigit()):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if not tag:
+                continue
+            if tag in SPACE and self.pieces:
+                self._text(" ")
+            if tag in RAW:
+                if not m["end"] and not m["rest"].endswith("/"):
+                    raw = tag
+            elif m["end"]:
+                self._close(tag)
+            else:
+                self._open(tag, m["rest"])
+        if not raw and at < len(page):
+            self._text(page[at:])
+        self._flush()
+
+    def _text(self, piece: str) -> None:
+        _, hidden, _, _, hint = self.stack[-1]
+        self.pieces.append((piece, self.links > 0, hidden, hint))
+
+    def _flush(self) -> None:
+        if self.pieces:
+            self.lines.append((self.stack[-1][3], self.pieces))
+            self.pieces = []
+
+    def _pop(self) -> None:
+        tag, _, _, _, hint = self.stack.pop()
+        if tag:
+            self.at[tag].pop()
+            self.links -= tag == "a"
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        if hint and hint != self.stack[-1][4]:
+            self.hints[hint].last = len(self.lines)
+
+    def _close(self, tag: str) -> None:
+        block, open_ = tag in BLOCK, self.at.get(tag)
+        if block:
+            self._flush()
+        if not open_:
+            return
+        if not block and self.blocks and self.blocks[-1] > open_[-1]:  # an inline element ends inside a block: only it does
+            place = open_.pop()
+            self.links -= tag == "a"
+            self.stack[place] = ("", *self.stack[place][1:])
+            return
+        upto = open_[-1]
+        while len(self.stack) > upto:
+            self._pop()
+
+    def _open(self, tag: str, rest: str) -> None:
+        block = tag in BLOCK
+        if block:
+            self._flush()
+            if self.at.get("p"):
+                self._close("p")
+        if tag in VOID or rest.endswith("/"):
+            return
+        _, hidden, talk, place, hint = self.stack[-1]
+        named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
+        whole = set(NEGATED.sub("", f"{named.get('class', '')} {named.get('id', '')}").split()) if named else set()
+        parts = {p for w in whole for p in regex.split("[_-]+", w)}
+        talks = bool(parts & TALK) and tag not in WHOLE
+        if tag in ("main", "h1") or tag == "article" and not talk and not talks:
+            up = hint
+            while up and not self.hints[up].wraps:
+                self.hints[up].wraps = True
+                up = self.hints[up].parent
+        if tag in HIDDEN or tag == "header" and not place:
             hidden = True
-        stack.append((tag, hidden, talk, place))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-        links += tag == "a"
-        if tag in BLOCK:
-            flush()
-        elif hidden and not line.parts:
-            line.seen = False
-    if not raw and at < len(page):
-        line.parts.append(page[at:])
-    flush()
+        elif tag not in WHOLE and not (tag[0] == "h" and tag[1:].isdigit()):
+            strong = talks or bool(parts & STRONG) or named.get("role") in ROLES
+            if strong or parts & WEAK:
+                self.hints.append(_Hint(hint, not strong, bool(whole & WEAK), place > 0, len(self.lines)))
+                hint = len(self.hints) - 1
+        if tag in ("article", "main") and not place and not hidden and not talk and not talks:
+            self.places += 1
+            place = self.places
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.blocks.append(len(self.stack))
+        self.links += tag == "a"
+        self.stack.append((tag, hidden, talk or talks, place, hint))
+
+    def _decide(self) -> None:
+        """Which hints hide their element."""
+        total, used = 0, set()
+        for place, pieces in self.lines:
+            for text, _, hidden, hint in pieces:
+                n = 0 if hidden else len(text.strip())
+                total += n
+                self.hints[hint].chars += n
+                if n:
+                    used.add(place)
+        for h in reversed(self.hints[1:]):
+            self.hints[h.parent].chars += h.chars
+        plain = [self._length(pieces, None) for _, pieces in self.lines]
+        for h in self.hints[1:]:
+            if h.wraps:
+                h.hides = False
+            elif h.weak and not h.placed and used <= {0}:
+                h.hides = 2 * h.chars <= total
+            elif h.weak and h.placed and not h.exact:
+                inside = plain[h.first : h.last]
+                h.hides = max((sum(inside[i : i + WIDTH]) for i in range(len(inside))), default=0) < SURGE
+        self.hints[0].hides = False
+        for h in self.hints[1:]:
+            h.hides = h.hides or self.hints[h.parent].hides
+
+    @staticmethod
+    def _length(pieces: list, hints: list | None) -> int:
+        shown = [(" ".join(t.split()), link) for t, link, hidden, hint in pieces if not (hidden or hints and hints[hint].hides)]
+        n, linked = sum(len(t) for t, _ in shown), sum(len(t) for t, link in shown if link)
+        return n if linked <= LINKED * n else n - linked if n - linked >= PLAIN else 0
+
+    def measured(self) -> list[tuple[str, int, int]]:
+        """Text without what is hidden (empty if all is), length in the distribution, and element of each line."""
+        out = []
+        for place, pieces in self.lines:
+            if any(not t.isspace() for t, _, _, _ in pieces):
+                text = " ".join("".join(unescape(t) for t, _, hidden, hint in pieces if not (hidden or self.hints[hint].hides)).split())
+                out.append((text, self._length(pieces, self.hints) if text else 0, place))
+        return out
+
+
+def stretches(length: list[int]) -> list[tuple[int, int]]:
+    """First and end of the stretches of lines that a dive (WIDTH lines without length) bounds."""
+    out: list[tuple[int, int]] = []
+    for i, n in enumerate(length):
+        if n:
+            if out and i - out[-1][1] < WIDTH:
+                out[-1] = out[-1][0], i + 1
+            else:
+                out.append((i, i + 1))
     return out
 
 
 def main_text(page: str) -> str:
     """The lines between surge and dive, joined by newlines."""
-    found = lines(page)
-    length = [n for _, n, _ in found]
-    n = len(found)
-    sums = [sum(length[i : i + WIDTH]) for i in range(n)]
-    threshold = min(SURGE, SURGE_SHARE * max(sums, default=0))
-    runs: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if not length[i] or sums[i] < threshold:
-            i += 1
+    found = _Page(page).measured()
+    bounds = [i for i in range(len(found)) if not i or found[i][2] != found[i - 1][2]]
+    parts = [found[a:z] for a, z in zip(bounds, [*bounds[1:], len(found)], strict=False)]
+    sums = lambda length: max((sum(length[i : i + WIDTH]) for i in range(len(length))), default=0)
+    peaks = [sums([n for _, n, _ in part]) for part in parts]
+    threshold = min(SURGE, SURGE_SHARE * max(peaks, default=0))
+    kept: list[str] = []
+    for part, peak in zip(parts, peaks, strict=True):
+        if not peak or peak < threshold:
             continue
-        start = i
-        while start and length[start - 1]:
-            start -= 1
-        while i < n and sums[i]:  # the dive: WIDTH lines without length
-            i += 1
-        runs.append((start, i))
-    placed = {place: sum(length[j] for j in range(n) if found[j][2] == place) for place in {p for _, _, p in found if p}}
-    if placed and max(placed.values()):
-        best = max(placed, key=lambda p: (placed[p], -p))
-        at = [j for j in range(n) if found[j][2] == best]
-        runs = [(at[0], at[-1] + 1)]
-        return "\n".join(found[j][0] for a, z in runs for j in range(a, z) if length[j] and found[j][2] == best)
-    return "\n".join(found[j][0] for a, z in runs for j in range(a, z) if length[j])
+        length = [n for _, n, _ in part]
+        element = part[0][2]
+        for a, z in stretches(length):
+            if element:  # its edges bound the first and last stretch
+                a, z = (0 if a < WIDTH else a), (len(part) if len(part) - z < WIDTH else z)
+            elif sums(length[a:z]) < threshold:
+                continue
+            kept += [text for text, _, _ in part[a:z] if text]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
