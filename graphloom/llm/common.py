@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 4 << 20
-#: Bits of a filter of ids, and of each of its parts (the size that bitmap_construct_agg has).
-FILTER_BITS, PART_BITS = 1 << 24, 1 << 15
+#: Bits of a filter of ids: SPARE for each id, rounded up to a power of two, between the two bounds (a million 64-bit words are broadcast at most).
+SPARE, LEAST_BITS, MOST_BITS = 64, 1 << 24, 1 << 26
 
 _MASK = (1 << 64) - 1
 _POWER = 0x9E3779B97F4A7C15
@@ -50,22 +50,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parted_by(df: DataFrame, ids: DataFrame, column: str = "id") -> tuple[DataFrame, DataFrame]:
     """Rows of df whose id may stand in ids (all that do, and few others), and the rest, without a shuffle of df.
 
-    The ids are hashed into a bitmap of FILTER_BITS bits, 2 MB however many they are, which is broadcast. What follows has
-    to be an exact join: the more ids, the more of df goes on to it. A null id is among the rest.
+    The ids are hashed into a bitmap of SPARE bits an id, which is broadcast in words of 64 bits; beyond MOST_BITS bits it
+    grows no more, and more of df goes on. What follows has to be an exact join. A null id is among the rest.
     """
-    place = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(FILTER_BITS))
-    at = ids.select(place.alias("at")).select(F.floor(F.col("at") / PART_BITS).alias("filter_part"), (F.col("at") % PART_BITS).alias("bit"))
-    bitmaps = stored(at.groupBy("filter_part").agg(F.bitmap_construct_agg("bit").alias("filter_bits")), "id-bitmap")
-    marked = df.withColumn("filter_at", place).withColumn("filter_part", F.floor(F.col("filter_at") / PART_BITS))
-    bit = F.col("filter_at") % PART_BITS
-    byte = F.conv(F.hex(F.substring("filter_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
-    met = marked.join(F.broadcast(bitmaps), "filter_part", "left").withColumn("filter_hit", F.coalesce(hit & F.col(f"`{column}`").isNotNull(), F.lit(False)))
+    word, found, at_, hits = _fresh(df, "filter_word", "filter_bits", "filter_at", "filter_hit")
+    ids = stored(ids.select(F.xxhash64(F.col(f"`{column}`")).alias("hash")).distinct(), "id-hashes")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SPARE * ids.count()).bit_length()))
+    at = F.pmod("hash", F.lit(bits))
+    one = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bitmap = stored(ids.groupBy(F.floor(at / 64).alias(word)).agg(F.bit_or(one(at)).alias(found)), "id-bitmap")
+    place = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(bits))
+    marked = df.withColumn(at_, place).withColumn(word, F.floor(F.col(at_) / 64))
+    hit = F.col(found).bitwiseAND(one(F.col(at_))) != 0
+    met = marked.join(F.broadcast(bitmap), word, "left").withColumn(hits, F.coalesce(hit & F.col(f"`{column}`").isNotNull(), F.lit(False)))
     own = [F.col(f"`{c}`") for c in df.columns]
-    return met.filter("filter_hit").select(*own), met.filter("NOT filter_hit").select(*own)
+    return met.filter(F.col(hits)).select(*own), met.filter(~F.col(hits)).select(*own)
 
 
 def perhaps_among(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
@@ -121,11 +133,9 @@ def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         upto = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK_BYTES)))
         first, last = int(starts[at]), int(ends[upto - 1])
         lengths = ends[at:upto] - starts[at:upto]
-        gaps = np.zeros(last - first, np.int64)  # position inside the word, by counting from its start
         own = np.repeat(starts[at:upto] - first, lengths)
         total = int(lengths.sum())
         index = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        del gaps
         term = _BYTE[raw[first:last][own + index]] * _powers(int(lengths.max()))[index]
         out[at:upto] = np.add.reduceat(term, np.cumsum(lengths) - lengths)
         at = upto
