@@ -7,7 +7,8 @@ votes how, and with that the posterior probability that a document of each patte
 the documents by the pattern.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; equal rows get equal verdicts;
-no documents give no rows; other columns pass through, those named qr_* are replaced.
+texts of any length are counted whole; no documents give no rows; other columns pass through whatever their names,
+those named qr_* are replaced.
 """
 
 from __future__ import annotations
@@ -70,10 +71,10 @@ def _points(data: bytes) -> int:
     return len(data) if data.isascii() else int(np.count_nonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts in COUNTS (long)."""
+def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with the counts in COUNTS (long); without the text, if it isn't to be kept."""
     small_batches(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in COUNTS]
+    rest = [f for f in docs.schema.fields if not f.name.lower().startswith("qr_") and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +83,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [b.column(b.schema.get_field_index(f.name)) for f in rest] + [pa.array(table[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), *COUNTS])
 
-    return docs.select(*[f"`{f.name}`" for f in rest]).mapInArrow(run, T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return docs.select(*[f"`{f.name}`" for f in rest], *([] if keep_text else [f"`{text}`"])).mapInArrow(run, T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def base_failed() -> Column:
@@ -140,20 +141,26 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, .
     return {p: float(g) for (p, _), g in zip(patterns, good, strict=True)}
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with COUNTS, qr_base_failed, qr_posterior (null where the base rule fails) and qr_kept."""
+def weigh(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The columns of measure() with qr_base_failed, qr_posterior (null where the base rule fails) and qr_kept.
+
+    measured is read twice, for the vote patterns and for the verdicts, and best stored before.
+    """
     votes = F.concat(*[(v + 1).cast("string") for v in rules().values()])
-    kept = [c for c in docs.columns if c not in (*COUNTS, "qr_base_failed", "qr_posterior", "qr_kept", "qr_votes")]
-    counted = measure(docs.select(*[F.col(f"`{c}`") for c in kept]), text).withColumn("qr_base_failed", base_failed()).withColumn("qr_votes", votes)
-    light = stored(measure(docs.select(F.col(f"`{text}`").alias("text")), "text").filter(~base_failed()).select(votes.alias("v")).groupBy("v").count(), "quality-votes")
+    counted = measured.withColumn("qr_base_failed", base_failed()).withColumn("qr_votes", votes)
+    light = stored(counted.filter("NOT qr_base_failed").groupBy(F.col("qr_votes").alias("v")).count(), "quality-votes")
     table = [(tuple(int(x) - 1 for x in r["v"]), r["count"]) for r in light.collect()]  # at most 3 ** rules rows
-    found = posteriors(sorted(table))
-    names = {"".join(str(x + 1) for x in k): p for k, p in found.items()}
+    names = {"".join(str(x + 1) for x in k): p for k, p in posteriors(sorted(table)).items()}
     if names:
-        lookup = docs.sparkSession.createDataFrame(sorted(names.items()), "qr_votes string, qr_posterior double")
+        lookup = measured.sparkSession.createDataFrame(sorted(names.items()), "qr_votes string, qr_posterior double")
         counted = counted.join(F.broadcast(lookup), "qr_votes", "left")  # as few rows
     else:
         counted = counted.withColumn("qr_posterior", F.lit(None).cast("double"))
     posterior = F.when(~F.col("qr_base_failed"), F.col("qr_posterior"))
     good = F.coalesce(posterior >= threshold, F.lit(False))
-    return counted.select(*[F.col(f"`{c}`") for c in (*kept, *COUNTS, "qr_base_failed")], posterior.alias("qr_posterior"), good.alias("qr_kept"))
+    return counted.select(*[F.col(f"`{c}`") for c in measured.columns], "qr_base_failed", posterior.alias("qr_posterior"), good.alias("qr_kept"))
+
+
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """docs with COUNTS, qr_base_failed, qr_posterior and qr_kept. Texts are measured once."""
+    return weigh(stored(measure(docs, text, keep_text), "quality-counts"), threshold)

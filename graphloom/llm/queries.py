@@ -43,7 +43,7 @@ def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), keep_text=False)
     counts = {"n_words": "qr_words", "word_chars": "qr_word_chars", "n_symbols": "qr_symbols", "n_dup_lines": "qr_dup_lines", "n_repeat_words": "qr_repeat_words", "base_failed": "qr_base_failed", "kept": "qr_kept", "posterior": "qr_posterior"}
     return judged.select("doc_id", *[F.col(c).alias(n) for n, c in counts.items()])
 
