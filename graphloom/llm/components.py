@@ -1,7 +1,8 @@
 """Connected components of links too many for one machine, by alternating large and small stars.
 
 Each round is two pre-aggregated minima and joins; the number of rounds grows with the logarithm of the number of links.
-Only a count and a checksum come to the driver. A hub's links are an ordinary skewed join side.
+Only counts and a checksum come to the driver. A hub's links are an ordinary skewed join side. The rounds end when no link
+has changed: equal checksums only say that it is worth comparing the links themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +32,6 @@ def components(links: DataFrame) -> DataFrame:
     was = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if mark == was or not mark[0]:
+        if not mark[0] or was and mark == was[0] and now.join(was[1], ["u", "v"], "left_anti").isEmpty():
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        was, now = mark, stored(_small(_large(now)), "links")
+        was, now = (mark, now), stored(_small(_large(now)), "links")

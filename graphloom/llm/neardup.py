@@ -14,7 +14,8 @@ Two texts of similarity s meet in a bucket with probability 1 - (1 - s ** ROWS)
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; with fewer
 words than a shingle has, the whole sequence is one shingle; repeated rows and ids are one node; a null id stays
-alone; no documents give no rows.
+alone; texts of any length are compared whole; no documents give no rows; other columns are left behind, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature positions compared at a time, and the miss probability of pruning.
 BATCH, MISS = 16, 1e-6
-#: Rows on either side of a block, and of its outer side compared at a time. 32-bit hashes of a set may coincide this often.
-BLOCK, STRIP, SLACK = 512, 16, 2
+#: Rows on either side of a block, and of its outer side compared at a time.
+BLOCK, STRIP = 512, 16
 
 _random = np.random.Generator(np.random.PCG64(7))
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -188,7 +189,9 @@ def _compared(outer: list, inner: list, least: list[int], hundredths: int) -> li
                 break
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             one, two = np.frombuffer(strip[x][5], np.uint32), np.frombuffer(inner[y][5], np.uint32)
-            common = len(np.intersect1d(one, two, assume_unique=True)) + SLACK
+            # shared shingles can have lost no more hashes to coincidences than either set has in all
+            lost = min(strip[x][1] - len(one), inner[y][1] - len(two))
+            common = len(np.intersect1d(one, two, assume_unique=True)) + lost
             if 100 * common >= hundredths * (strip[x][1] + inner[y][1] - common):
                 found.append((strip[x][0], inner[y][0]))
     return found

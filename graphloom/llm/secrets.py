@@ -8,7 +8,8 @@ What is harmless inside a candidate is cut out, and the pieces between are score
 whole candidate a span. Base spans are cut out of texts before, so what stands beside them is a candidate of its own.
 Letters in one case reach their threshold seldom, and words joined by marks without a digit count as harmless.
 
-Defined results: a null or empty text has no spans; other columns pass through; repeated rows are treated alike.
+Defined results: a null or empty text has no spans; texts of any length are searched whole; repeated rows are treated
+alike; other columns pass through whatever their names, those named secret_* are replaced; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -101,6 +102,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     order = {k: i for i, k in enumerate(KINDS)}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(rank[a["kind"]] - rank[b["kind"]])
-    with_base = docs.withColumn("secret_base", F.array_sort(base, by_start))
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.lower().startswith("secret_")])
+    with_base = rest.withColumn("secret_base", F.array_sort(base, by_start))
     found = spans(blanked(t, F.col("secret_base")), CANDIDATE, "entropy", suspicious)
     return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_base", found), by_start))

@@ -17,8 +17,8 @@ Nothing is pairwise: a passage of a million documents is met by each of them thr
 groupings are minima that combine before a shuffle.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; rows with equal ids are
-one document's and don't count against each other; a null id is neither earlier nor later than any; no documents give
-no rows.
+one document's and don't count against each other; a null id is neither earlier nor later than any; texts of any length
+are read whole; no documents give no rows; other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations

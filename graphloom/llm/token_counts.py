@@ -5,7 +5,8 @@ levels of the suffix sums read it, and documents are encoded once. Suffix sums a
 taken in two levels: inside a bucket of neighbouring lengths, and over the buckets, of which there are at most
 64 * 256 whatever the lengths are.
 
-Defined results: a null or empty text has length 0; no documents give no rows; a repeated document counts each time.
+Defined results: a null or empty text has length 0; texts of any length are encoded whole; no documents give no rows; a
+repeated document counts each time; other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ final merge of the tasks' short lists picks the k best.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a query meets only
 vectors of its own dimension; with fewer than k candidates all are returned; equal scores go to the smaller id, and
-repeated ids count as one query or candidate for each row they have; empty tables give no rows.
+repeated ids count as one query or candidate for each row they have; empty tables give no rows; other columns are left
+behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,10 +60,12 @@ def _pack(size: int, scale: float, ids: str, vector: str):
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row: by score, then by smaller id."""
     if ids.shape[1] > k:
-        worst = np.partition(scores, -k, axis=1)[:, -k]
-        if ((scores >= worst[:, None]).sum(axis=1) == k).all():
-            part = np.argpartition(scores, -k, axis=1)[:, -k:]
-            ids, scores = np.take_along_axis(ids, part, 1), np.take_along_axis(scores, part, 1)
+        part = np.argpartition(scores, -k, axis=1)[:, -k:]
+        worst = np.take_along_axis(scores, part, 1).min(axis=1)
+        for i in np.flatnonzero((scores >= worst[:, None]).sum(axis=1) > k):  # rows where ties cross the k-th place
+            able = np.flatnonzero(scores[i] >= worst[i])
+            part[i] = able[np.lexsort((ids[i, able], -scores[i, able]))[:k]]
+        ids, scores = np.take_along_axis(ids, part, 1), np.take_along_axis(scores, part, 1)
     order = np.lexsort((ids, -scores), axis=1)[:, :k]
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
