@@ -6,9 +6,12 @@ import hashlib
 import re
 import struct
 from collections import Counter
+from html import unescape
+from html.parser import HTMLParser
 from math import floor
 
 import public_tokenizers
+import regex
 import tiktoken
 
 from graphloom.llm.bpe import read_ranks
@@ -162,3 +165,172 @@ def without_repeats(docs, window=50):
                 gone |= set(range(k, k + window))
         out[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
     return out
+
+
+def pareto_mix(rows, targets, most=3, steps=16, half=200):
+    """rows: (key, source, words, u, tie). How often each is taken: copies, then the lowest ranks up to the open words."""
+    from collections import defaultdict
+    from math import log2
+
+    def rounded(x):  # half away from zero
+        return floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+
+    of = defaultdict(list)
+    for row in rows:
+        of[row[1]].append(row)
+    out = {}
+    for source, members in of.items():
+        weight = {r[0]: 2.0 ** (rounded(log2(0.5 + r[2] / (r[2] + half)) * steps) / steps) for r in members}
+        capped: set = set()
+        while True:  # documents above most are fixed, and the scale of the others found anew
+            rest = sum(r[2] * weight[r[0]] for r in members if r[0] not in capped)
+            left = targets[source] - most * sum(r[2] for r in members if r[0] in capped)
+            scale = left / rest if rest else float("inf")
+            above = {r[0] for r in members if r[0] not in capped and scale * weight[r[0]] > most * (1 + 1e-12)}
+            if not above:
+                break
+            capped |= above
+        expected = {r[0]: (most if r[0] in capped else min(most, scale * weight[r[0]])) if targets[source] > 0 else 0 for r in members}
+        copies = {k: floor(m + 1e-9) for k, m in expected.items()}
+        chance = {k: m - copies[k] if m - copies[k] > 1e-9 else 0 for k, m in expected.items()}
+        opened = sum(r[2] * chance[r[0]] for r in members)
+        ranked = sorted(((r[3] / (1 - r[3])) / (chance[r[0]] / (1 - chance[r[0]])), r[4], r[0], r[2]) for r in members if chance[r[0]])
+        met = 0
+        for _, _, key, size in ranked:
+            met += size
+            if met - size / 2 <= opened and opened:
+                copies[key] += 1
+        out |= copies
+    return out
+
+
+class _Dom(HTMLParser):
+    """A tree of (tag, classes, children), with text as strings; a block element ends an open paragraph."""
+
+    BLOCKS = frozenset("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tr ul".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.root = ("", [], [])
+        self.path = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS and any(n[0] == "p" for n in self.path):
+            self.handle_endtag("p")
+        node = (tag, (dict(attrs).get("class") or "").split(), [])
+        self.path[-1][2].append(node)
+        if tag not in ("br", "meta", "img", "link", "input", "hr"):
+            self.path.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.path):
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+    def handle_entityref(self, name):
+        self.path[-1][2].append(unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.path[-1][2].append(unescape(f"&#{name};"))
+
+
+def main_text(page, width=3, surge=86, share=0.2):
+    """Line-block distribution over a parsed tree, for pages whose other parts are nav, footer, header, aside, form and
+    the class ``ad``, and that have no links in the text."""
+    dom = _Dom()
+    dom.feed(page)
+    dom.close()
+    lines, now = [], []
+
+    def flush(hidden, place):
+        text = " ".join("".join(now).split())
+        if text:
+            lines.append(("" if hidden else text, 0 if hidden else len(text), place))
+        now.clear()
+
+    def walk(node, hidden, place):
+        for child in node[2]:
+            if isinstance(child, str):
+                now.append(child)
+            elif child[0] in ("script", "style", "title"):
+                continue
+            elif child[0] == "br":
+                now.append(" ")
+            else:
+                inner = hidden or child[0] in ("nav", "footer", "aside", "form", "head") or "ad" in child[1] or child[0] == "header" and not place
+                own = place or (id(child) if child[0] in ("article", "main") and not inner else 0)
+                if child[0] in _Dom.BLOCKS:
+                    flush(hidden, place)
+                walk(child, inner, own)
+                if child[0] in _Dom.BLOCKS:
+                    flush(inner, own)
+
+    walk(dom.root, False, 0)
+    flush(False, 0)
+    parts: list = []
+    for line in lines:
+        if not parts or parts[-1][-1][2] != line[2]:
+            parts.append([])
+        parts[-1].append(line)
+    window = lambda part, i: sum(n for _, n, _ in part[i : i + width])
+    largest = max((window(p, i) for p in parts for i in range(len(p))), default=0)
+    threshold = min(surge, share * largest)
+    out = []
+    for part in parts:
+        if not largest or max(window(part, i) for i in range(len(part))) < threshold:
+            continue
+        runs, i = [], 0
+        while i < len(part):
+            if not part[i][1]:
+                i += 1
+                continue
+            start = i
+            while i < len(part) and window(part, i):  # the dive: width lines without length
+                i += 1
+            runs.append(part[start:i])
+        for run in runs:
+            if part[0][2] or max(window(run, i) for i in range(len(run))) >= threshold:
+                out += [t for t, _, _ in run if t]
+    return "\n".join(out)
+
+
+TERM = regex.compile(r"(?<!\p{L})\p{L}[\p{L}'-]{2,}+")
+
+
+def own_terms(texts, near=100, disclose=0.8):
+    """For each text, the words near an entity that no other text holds whose PMI comes close to the entity's content."""
+    from math import log2
+
+    total = len(texts)
+    n_t, n_e, holds = Counter(), Counter(), {}
+    for text in texts:
+        n_t.update({m[0].lower() for m in TERM.finditer(text)})
+    for text in set(texts):
+        bare = list(text)
+        found = pii(text)
+        for _, a, z in found:
+            bare[a:z] = " " * (z - a)
+        bare = "".join(bare)
+        terms = {m[0].lower() for m in TERM.finditer(bare)}
+        raw = {m[0].lower() for m in TERM.finditer(text)}
+        for t in raw ^ terms:
+            n_t[t] += texts.count(text) * (1 if t in terms else -1)
+        holds[text] = {}
+        for kind, a, z in found:
+            around = bare[max(a - near, 0) : a] + " " + bare[z : z + near]
+            holds[text].setdefault(f"{kind}:{text[a:z].lower()}", set()).update({m[0].lower() for m in TERM.finditer(around)} & terms)
+    for text in texts:
+        n_e.update(holds[text].keys())
+    several = {e for e, _ in Counter(e for t in set(texts) for e in holds[t]).items() if sum(e in holds[t] for t in set(texts)) > 1}
+    out = {}
+    for text, entities in holds.items():
+        words = set()
+        for e, terms in entities.items():
+            content = log2(total / n_e[e])
+            if e not in several and content > 0:
+                words |= {t for t in terms if log2(total * n_e[e] / (n_e[e] * n_t[t])) >= disclose * content}
+        out[text] = words
+    return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.llm import mixing, pii
 from graphloom.llm import queries as q
 from tests import duck
 from tests.llm import brute
@@ -55,12 +57,22 @@ def test_op4(spark, small, docs):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, q.op4_mix_sources(spark, small).collect()))
 
 
+def test_op4_takes_the_pareto_sample(spark, small):
+    """Document by document, with inclusion probabilities that differ inside sources."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    drawn = mixing.draw(F.col("doc_id"), F.col("text"), 17)
+    rows = [(r.doc_id, r.source, len(brute.words(r.text)), r.u, 0) for r in docs.select("doc_id", "source", "text", drawn.alias("u")).collect()]
+    got = q.op4_mix_sources(spark, small).collect()
+    wanted = brute.pareto_mix(rows, {r[1]: r[2] for r in docs.select("doc_id", "source").join(spark.createDataFrame(got).select("doc_id", "target"), "doc_id").collect()})
+    assert {r.doc_id: r.taken for r in got} == {i: wanted[i] * n for i, _, n, _, _ in rows}
+    assert len(set(wanted.values())) > 1
+
+
 def test_op5(spark, small):
     rows = q.op5_html_text(spark, small).collect()
     assert len(rows) == spark.read.parquet(f"{small}/pages.parquet").count()
-    for r in rows:
-        assert r.n_chars == len(r.text)
-        assert all(line == " ".join(line.split()) and line for line in r.text.split("\n")) or not r.text
+    pages = {r.page_id: (r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert {r.page_id: (r.url, r.text, r.n_chars) for r in rows} == {i: (u, t, len(t)) for i, (u, h) in pages.items() for t in [brute.main_text(h)]}
 
 
 def test_op6(spark, small, docs):
@@ -90,6 +102,25 @@ def test_op8(spark, small, docs):
         assert ",".join(_spans(r.spans, {"email", "ip", "card", "phone"})) == brute.written(found)
 
 
+def test_op8_own_terms(spark, small, docs):
+    """Words that alone disclose an entity of one text, over the whole table with planted ones; each is found."""
+    planted = [(10_000_000 + i, f"{t} Qzmarkov{'abcdefghijkl'[i]} writes from person{i}@planted{i}.example and {t}") for i, t in enumerate([t for _, t in docs if t and len(t) < 3000][:12])]
+    rows = docs + planted
+    wanted = brute.own_terms([t or "" for _, t in rows])
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    texts = found.select(F.coalesce("text", F.lit("")).alias("text"))
+    _, own = pii.disclosing(texts, pii.stored(pii._holders(texts), "holders"))
+    got: dict = {}
+    for r in own.join(texts.select(pii._key(F.col("text")).alias("pii_key"), "text").distinct(), "pii_key").collect():
+        got.setdefault(r.text, set()).add(r.term)
+    assert got == {t: words for t, words in wanted.items() if words}
+    for r in found.collect():
+        words = {r.text[s.start : s.end].lower() for s in r.pii_spans if s.kind == "term"} if r.text else set()
+        assert wanted[r.text or ""] <= words
+        if r.doc_id >= 10_000_000:
+            assert f"qzmarkov{'abcdefghijkl'[r.doc_id - 10_000_000]}" in words
+
+
 def test_op9(spark, small, docs):
     rows = {r.doc_id: r for r in q.op9_secrets(spark, small).collect()}
     assert len(rows) == len(docs)

@@ -12,6 +12,7 @@ import corpus_pipeline
 from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, substrings, token_counts, topk
 from graphloom.llm import queries as q
 from graphloom.llm.common import parted_by, perhaps_among
+from graphloom.llm.components import components
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -192,6 +193,26 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "article words here. " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><p>" + STORY + "</p></div><main><p>tiny</p></main>", STORY.strip()),
+        ("<article><h1>One</h1><p>" + STORY + "</p></article><div class='ad'>buy</div><article><h1>Two</h1><p>" + STORY + "</p></article>", f"One\n{STORY.strip()}\nTwo\n{STORY.strip()}"),
+        ("<p>A <b>bold</b>, <i>leaning</i> and <a href='x'>linked</a> word.</p><p>" + STORY + "</p>", f"A bold, leaning and linked word.\n{STORY.strip()}"),
+        ("<div class='layout sidebar-right'><h1>Head</h1><p>" + STORY + "</p><div class='sidebar'><p>" + "menu words " * 30 + "</p></div></div>", f"Head\n{STORY.strip()}"),
+        ("<article><div class='post-header'><h1>Head</h1></div><p>" + STORY + "</p><section class='related-work'><p>" + STORY + "</p></section><div class='share-buttons'>tweet</div><ul><li><a>Reference</a></li></ul></article>", f"Head\n{STORY.strip()}\n{STORY.strip()}\nReference"),
+        ("<div>" * 300 + "<span>" * 300 + "<p>" + STORY + "</p></span>more" + "</div>" * 299 + "<p>end</p>", f"{STORY.strip()}\nmore\nend"),
+        ("<article><p>One</p><nav>a</nav><nav>b</nav><nav>c</nav><p>" + STORY + "</p><nav>a</nav><nav>b</nav><nav>c</nav><p>Last</p></article>", f"One\n{STORY.strip()}\nLast"),
+    ],
+)
+def test_main_text_by_distribution(page, text):
+    """No element by itself decides: small main elements, several articles, deep nesting, hints on wrappers."""
+    assert html.main_text(page) == text
+
+
 @pytest.mark.parametrize("tag", ["<img alt=Bob's>", '<b title="5" tall">', "<b 'x>", '<i title="a > b">', "<u title='it\"s'>", '<b title="x>'])
 def test_stray_quotes_in_tags(tag):
     after = "goes on here. " * 20
@@ -347,6 +368,75 @@ def test_stages_keep_columns(spark, docs):
     assert isinstance(corpus_pipeline.STAGES[-1][1](spark, now, "").schema["token_ids"].dataType, T.BinaryType)
 
 
+HELPERS = """
+    id print sig node key u m component pivot size term entity near words base kin n_e n_t row others start end hits spans target source_size whole
+    open p cut_a scale weight bin hash filter_at filter_word filter_bits filter_hit qr_votes pii_key pii_terms mix_u mix_copies secret_spans token_ids
+    decoded run anchor passages no kept n_removed x_1
+""".split()
+
+
+@pytest.fixture(scope="module")
+def wide(spark, rows):
+    """documents with a column of each name that operators use inside."""
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in HELPERS if c not in ("text",)}).repartition(3)
+
+
+APPLIED = {
+    "token_counts": lambda d: token_counts.token_lengths(d, q.RANKS, q.PATTERN),
+    "neardup": neardup.near_duplicates,
+    "mixing": mixing.mix,
+    "quality": quality.judge,
+    "encode": lambda d: bpe.encode(d, q.RANKS, q.PATTERN),
+    "pii": pii.find,
+    "secrets": secrets.find,
+    "substrings": substrings.remove_repeats,
+    "html": lambda d: html.extract(d, html="text", out="source"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_clashing_names(spark, wide, docs, name):
+    """Rows are those of a table without the extra columns; extra columns that pass through keep their values."""
+    own, other = APPLIED[name](docs), APPLIED[name](wide)
+    common = [c for c in own.columns if c in other.columns]
+    assert set(own.columns) <= set(other.columns)
+    as_rows = lambda df: sorted(repr(r) for r in df.select(*[f"`{c}`" for c in common]).collect())
+    assert as_rows(own) == as_rows(other)
+    extra = [c for c in HELPERS if c in other.columns and c not in own.columns]
+    assert all(v == c for r in other.select(*[f"`{c}`" for c in extra]).distinct().collect() for c, v in r.asDict().items())
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_with_clashing_names(spark, wide, docs, stage):
+    plain = docs.columns
+    own, other = stage[1](spark, docs, ""), stage[1](spark, wide, "")
+    assert sorted(map(repr, own.select(*plain).collect())) == sorted(map(repr, other.select(*plain).collect()))
+    assert other.columns == wide.columns and all(v == c for r in other.select(*HELPERS).distinct().collect() for c, v in r.asDict().items())
+
+
+def test_equal_ids_with_different_texts(spark, docs):
+    """One of them stays after the second stage, the same in each run and for each order of rows."""
+    rows = [(1, prose(i, 100), "en", f"s{i}", i) for i in range(5)] + [(2, prose(50, 100), "en", "s", 1)] * 3 + [(3, prose(50, 100), "en", "s", 1)]
+    found = [sorted(map(tuple, corpus_pipeline.near_dedup(spark, spark.createDataFrame(part, SCHEMA).repartition(n), "").collect())) for part, n in ((rows, 1), (rows[::-1], 4))]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [1, 2]
+
+
+def test_op2_several_tiles_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTOR_TILE", 64)
+    monkeypatch.setattr(topk, "QUERY_TILE", 8)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {tuple(r) for r in topk.top_k(table.filter("vec_id % 50 = 0"), table, k=5, scale=256.0).collect()}
+    assert got == brute.nearest([(i, v) for i, v in rows])
+
+
+def test_components_of_long_chains(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(50)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {1001 + i: 1000 for i in range(50)}
+
+
 def test_html_is_given_other_columns(spark, folder):
     found = html.extract(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"), out="main")
     assert found.columns == ["page_id", "main"]
