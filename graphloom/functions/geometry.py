@@ -119,14 +119,23 @@ def _centroid(kind: str, owner: list[int], rings: list[np.ndarray]) -> tuple[flo
     return tuple(np.vstack(rings).mean(axis=0).tolist())
 
 
+#: A point's text as most sources write it.
+_POINT = re.compile(r"(?i)\s*POINT\s*\(\s*([-+]?[0-9]+(?:\.[0-9]*)?(?:E[-+]?[0-9]+)?)\s+([-+]?[0-9]+(?:\.[0-9]*)?(?:E[-+]?[0-9]+)?)\s*\)\s*")
+
+
+def _dot(x: float, y: float) -> dict:
+    return {"kind": "point", "owner": [0], "rings": [[x, y]], "xmin": x, "ymin": y, "xmax": x, "ymax": y, "cx": x, "cy": y, "srid": 4326, "plain": "dot"}
+
+
 @F.pandas_udf(GEOMETRY)
 def geometry(text: pd.Series) -> pd.DataFrame:
-    """Parses WKT, EWKT or GeoJSON; equal texts of a batch are parsed once."""
+    """Parses WKT, EWKT or GeoJSON; equal texts of a batch are parsed once, plain points by one match."""
     seen: dict = {}
     rows = []
     for t in text:
         if t not in seen:
-            seen[t] = parse(t)
+            point = _POINT.fullmatch(t) if t else None
+            seen[t] = _dot(float(point[1]), float(point[2])) if point and len(t) < 200 else parse(t)
         rows.append(seen[t])
     empty = dict.fromkeys(GEOMETRY.names)
     frame = pd.DataFrame([r or empty for r in rows], columns=list(empty))
@@ -234,11 +243,15 @@ class Shape:
 def relation(one: Shape, two: Shape) -> dict[str, bool]:
     """What of the one lies where of the other, from vertices and from pieces between crossings."""
 
+    pieces = 0
+
     def parts(s: Shape, t: Shape) -> tuple[np.ndarray, np.ndarray]:
         """Places in t of samples of s's interior and of s's boundary."""
+        nonlocal pieces
         if s.kind == "point":
             return t.where(s.points), np.empty(0, int)
         middles = t.where(s.pieces(t))
+        pieces = len(middles)
         if s.kind == "line":
             own = s.where(s.points)
             inner = np.concatenate([middles, t.where(s.points[own == 2])])
@@ -246,7 +259,7 @@ def relation(one: Shape, two: Shape) -> dict[str, bool]:
             return inner, t.where(ends) if len(ends) else np.empty(0, int)
         return t.where(s.inner_points()), np.concatenate([middles, t.where(s.points)])
 
-    (i1, b1), (i2, b2) = parts(one, two), parts(two, one)
+    (i2, b2), (i1, b1) = parts(two, one), parts(one, two)  # the last leaves the number of the one's pieces
     ii = bool((i1 == 2).any() or (i2 == 2).any())
     if one.kind == two.kind == "area":
         ii = ii or bool((b1 == 2).any() or (b2 == 2).any())
@@ -262,7 +275,7 @@ def relation(one: Shape, two: Shape) -> dict[str, bool]:
     dims = {"point": 0, "line": 1, "area": 2}
     d1, d2 = dims[one.kind], dims[two.kind]
     out1, out2 = out1 or d1 > d2, out2 or d2 > d1
-    shared = ii and (d1 != 1 or d2 != 1 or bool((i1[: len(one.pieces(two))] == 2).any()))
+    shared = ii and (d1 != 1 or d2 != 1 or bool((i1[:pieces] == 2).any()))
     return {
         "contains": ii and not out2,
         "within": ii and not out1,
@@ -301,6 +314,30 @@ def _plainly(name: str, one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
     return {"contains": contains, "within": within, "intersects": meets, "overlaps": shares & ~contains & ~within & ~dot_a & ~dot_b, "crosses": np.zeros(len(one), bool)}[name]
 
 
+def _lines_and_boxes(name: str, lines: pd.DataFrame, boxes: pd.DataFrame, line_first: bool) -> np.ndarray:
+    """The predicate for lines and boxes, all pairs of a batch at once: each segment is clipped by its pair's box."""
+    rings = [np.asarray(r, float).reshape(-1, 2) for parts in lines["rings"] for r in parts]
+    of = np.repeat(np.arange(len(lines)), [len(parts) for parts in lines["rings"]])
+    segments = np.array([len(r) - 1 for r in rings])
+    pair = np.repeat(of, segments)
+    a, b = np.vstack([r[:-1] for r in rings]), np.vstack([r[1:] for r in rings])
+    low, high = (boxes[[f"x{m}", f"y{m}"]].to_numpy(float)[pair] for m in ("min", "max"))
+    d = b - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.stack([(low - a) / d, (high - a) / d])
+    flat = d == 0  # runs along an axis: in the box's range there or never
+    enter = np.where(flat, -np.inf, t.min(axis=0)).max(axis=1).clip(min=0)
+    leave = np.where(flat, np.inf, t.max(axis=0)).min(axis=1).clip(max=1)
+    closed = (enter <= leave) & (~flat | (low <= a) & (a <= high)).all(axis=1)
+    middle = a + d * ((enter + leave) / 2)[:, None]
+    opened = closed & ((enter < leave) | flat.all(axis=1)) & ((low < middle) & (middle < high)).all(axis=1)
+    outside = ((a < low) | (a > high) | (b < low) | (b > high)).any(axis=1)
+    meets, inner, out = (np.bincount(pair, x, len(lines)) > 0 for x in (closed, opened, outside))
+    held = inner & ~out
+    none = np.zeros(len(lines), bool)
+    return {"contains": none if line_first else held, "within": held if line_first else none, "intersects": meets, "overlaps": none, "crosses": inner & out}[name]
+
+
 def _predicate(name: str):
     @F.pandas_udf(T.BooleanType())
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.Series:
@@ -311,6 +348,12 @@ def _predicate(name: str):
         meet &= (one["ymin"].to_numpy(float) <= two["ymax"].to_numpy(float)) & (two["ymin"].to_numpy(float) <= one["ymax"].to_numpy(float))
         plain = meet & one["plain"].notna().to_numpy() & two["plain"].notna().to_numpy()
         out[plain] = _plainly(name, one[plain], two[plain])
+        box_one, box_two = (f["plain"].to_numpy() == "box" for f in (one, two))
+        line_one, line_two = (f["kind"].to_numpy() == "line" for f in (one, two))
+        for these, lines, boxes, first in ((meet & line_one & box_two, one, two, True), (meet & box_one & line_two, two, one, False)):
+            if these.any():
+                out[these] = _lines_and_boxes(name, lines[these], boxes[these], first)
+                plain |= these
         shapes: dict = {}
         at = np.flatnonzero(meet & ~plain)
         for k, g, h in zip(at, one.iloc[at].to_dict("records"), two.iloc[at].to_dict("records"), strict=True):

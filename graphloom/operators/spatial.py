@@ -9,6 +9,8 @@ then the exact predicate refine it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,14 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.geodesy import buffered, distance
 from graphloom.functions.geometry import PREDICATES, envelope, geometry
+from graphloom.operators.durable import durable
 from graphloom.operators.solutions import Solutions, TermType, Var
 
 
+#: What a predicate is with its sides exchanged; the others are the same.
+TURNED = {"contains": "within", "within": "contains"}
+
+
 def _leveled(df: DataFrame, box: str, smallest: float) -> DataFrame:
     size = F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin"))
     return df.withColumn(f"{box}_level", F.greatest(F.ceil(F.log2(size / smallest)), F.lit(0)).cast("int")).na.fill({f"{box}_level": 0})
@@ -34,8 +41,12 @@ def _cells(df: DataFrame, box: str, levels: list[int], smallest: float) -> DataF
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, smallest: float) -> DataFrame:
-    """Pairs whose envelopes (columns a and b) meet, each once. The levels that occur, some dozens at most, come to the driver."""
-    left, right = _leveled(left.filter("a IS NOT NULL"), "a", smallest), _leveled(right.filter("b IS NOT NULL"), "b", smallest)
+    """Pairs whose envelopes (columns a and b) meet, each once. The levels that occur, some dozens at most, come to the driver.
+
+    Both sides are written first: they are read for their levels and for the join, but geometries are parsed once.
+    """
+    left = durable(_leveled(left.filter("a IS NOT NULL"), "a", smallest), "spatial")
+    right = durable(_leveled(right.filter("b IS NOT NULL"), "b", smallest), "spatial")
     found = left.select(F.col("a_level").alias("x")).distinct().union(right.select(F.col("b_level").alias("x")).distinct()).distinct()
     levels = sorted(r["x"] for r in found.collect()) or [0]
     pairs = _cells(left, "a", levels, smallest).join(_cells(right, "b", levels, smallest), ["level", "cell_x", "cell_y"])
@@ -45,14 +56,33 @@ def candidate_pairs(left: DataFrame, right: DataFrame, smallest: float) -> DataF
     return pairs.filter(own & meet).drop("level", "cell_x", "cell_y", "a_level", "b_level")
 
 
+@dataclass(frozen=True)
+class Relation:
+    """A spatial constraint: predicate(?a, ?b), or ?a with a constant geometry's text, or centroids less than metres apart."""
+
+    a: str
+    b: str | None = None
+    predicate: str | None = None
+    metres: float | None = None
+    constant: str | None = None
+
+    @property
+    def vars(self) -> set[str]:
+        return {self.a, self.b} - {None}
+
+
 def spatial_join(left: Solutions, right: Solutions, a: str, b: str, predicate: str | None = None, within_metres: float | None = None, smallest: float = 0.01) -> Solutions:
-    """Pairs of solutions whose geometries ?a and ?b fulfil ``predicate(a, b)`` (contains, within, intersects, overlaps,
-    crosses) and, if given, whose centroids lie less than within_metres apart (bound to ``?a_b_metres``).
+    """Compatible pairs of solutions whose geometries ?a (left) and ?b (right) fulfil ``predicate(a, b)`` (contains, within,
+    intersects, overlaps, crosses) and, if given, whose centroids lie less than within_metres apart (bound to ``?a_b_metres``).
 
-    The sides share no variable. smallest: the side of a cell at the finest level, in the geometries' units.
+    Variables that the sides share must always be bound; they are further keys of the join of cells. smallest: the side
+    of a cell at the finest level, in the geometries' units.
     """
-    if set(left.vars) & set(right.vars):
-        raise ValueError("the sides of a spatial join share no variable")
+    shared = [n for n in left.vars if n in right.vars]
+    if any(s.vars[n].maybe for s in (left, right) for n in shared):
+        raise ValueError("variables that the sides of a spatial join share are always bound")
+    names = [*left.vars, *(n for n in right.vars if n not in left.vars)]
+    right = right._renamed("~spatial") if shared else right
 
     def side(s: Solutions, name: str, box: str, g: str) -> DataFrame:
         df = s.df.withColumn(g, geometry(s.term(name).cast("string")))
@@ -62,26 +92,45 @@ def spatial_join(left: Solutions, right: Solutions, a: str, b: str, predicate: s
         return df.withColumn(box, F.when(centre.isNotNull(), buffered(centre, F.lit(float(within_metres)))) if box == "a" else centre)
 
     pairs = candidate_pairs(side(left, a, "a", "a_geometry"), side(right, b, "b", "b_geometry"), smallest)
-    found = left.vars | right.vars
+    equal = left._pairs(right, shared)
+    for x, y in equal or []:
+        pairs = pairs.filter(x == y)  # an inner join's filter: these become keys of it
+    pairs = pairs.filter(F.lit(False)) if equal is None else pairs
+    found = left.vars | {n: v for n, v in right.vars.items() if n not in left.vars}
     if within_metres is not None:
         metres = f"{a}_{b}_metres"
         pairs = pairs.withColumn(metres, distance(F.col("a_geometry"), F.col("b_geometry"))).filter(F.col(metres) < within_metres)
         found |= {metres: Var(TermType("literal", "http://www.w3.org/2001/XMLSchema#double"), (metres,), (pairs.schema[metres].dataType,))}
+        names.append(metres)
     if predicate:
         pairs = pairs.filter(PREDICATES[predicate]("a_geometry", "b_geometry"))
-    return Solutions(pairs.drop("a", "b", "a_geometry", "b_geometry"), found)
-
+    made = Solutions(pairs.drop("a", "b", "a_geometry", "b_geometry"), found)
+    return made._tidy(names, set()) if shared else made
 
-def spatial_filter(solutions: Solutions, predicate: str, a: str, b: str | None = None, constant: str | None = None) -> Solutions:
-    """Solutions whose geometry ?a fulfils the predicate with ?b or with a constant geometry's text.
 
-    A constant's envelope is compared first, in native columns.
-    """
+def spatial_filter(solutions: Solutions, predicate: str | None, a: str, b: str | None = None, constant: str | None = None, within_metres: float | None = None) -> Solutions:
+    """Solutions whose geometry ?a fulfils the predicate with ?b or with a constant geometry's text and, if given, whose
+    centroid lies less than within_metres from that one's."""
     one = geometry(solutions.term(a).cast("string"))
     two = geometry(F.lit(constant)) if constant is not None else geometry(solutions.term(b).cast("string"))
     df = solutions.df.withColumns({"a.g": one, "b.g": two})
-    df = df.filter(PREDICATES[predicate](F.col("`a.g`"), F.col("`b.g`"))).drop("a.g", "b.g")
-    return Solutions(df, solutions.vars)
+    if within_metres is not None:
+        df = df.filter(distance(F.col("`a.g`"), F.col("`b.g`")) < within_metres)
+    if predicate:
+        df = df.filter(PREDICATES[predicate](F.col("`a.g`"), F.col("`b.g`")))
+    return Solutions(df.drop("a.g", "b.g"), solutions.vars)
+
+
+def related(left: Solutions, right: Solutions, relations: Sequence[Relation], smallest: float) -> Solutions:
+    """Both sides joined by the closest of the relations between them; the others filter the pairs."""
+    first, *rest = sorted(relations, key=lambda r: (r.metres is None, r.metres or 0.0))
+    turned = first.a not in left.vars
+    one, two, predicate = (first.b, first.a, TURNED.get(first.predicate, first.predicate)) if turned else (first.a, first.b, first.predicate)
+    found = spatial_join(left, right, one, two, predicate, first.metres, smallest)
+    found = found.select(*[n for n in found.vars if n in left.vars or n in right.vars])
+    for r in rest:
+        found = spatial_filter(found, r.predicate, r.a, r.b, within_metres=r.metres)
+    return found
 
 
 def in_box(solutions: Solutions, x: str, y: str, box: tuple[float, float, float, float]) -> Solutions:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from graphloom.functions.terms import GEOMETRY, Const, Ref, Template, TermType, compatible, constant, dynamic, shape_of, typed
 from graphloom.operators.closure import closure
 from graphloom.operators.solutions import Solutions, Var
+from graphloom.operators.spatial import Relation, related, spatial_filter
 from graphloom.plans import rules as selection
 from graphloom.plans.paths import Alt, Inv, Path, Plus, Seq, Star
 from graphloom.plans.rules import is_var
@@ -43,19 +44,46 @@ class VirtualGraph:
 
     # ---- patterns
 
-    def match(self, *patterns: Sequence, spatial: dict[str, bool] | None = None) -> Solutions:
+    def match(self, *patterns: Sequence, spatial: dict[str, bool] | None = None, where: Sequence[Relation] = (), smallest: float = 0.01) -> Solutions:
         """Solutions of a basic graph pattern. A position is "?name", a Const, or (object) a Python value; a predicate
-        may be a Path. spatial: geometry variables that filters bound, for the order of the stars."""
+        may be a Path. spatial: geometry variables that filters bound, for the order of the stars.
+
+        where: spatial constraints on geometry variables. Those with a constant are applied to the star of their
+        variable; stars that share no variable are brought together by a spatial join on one that relates them, not by a
+        product that is filtered. smallest: the grid's finest cell for these joins.
+        """
+        spatial = {f"?{n}": r.constant is not None for r in where for n in r.vars} | (spatial or {})
         plain, paths = [], []
         for s, p, o in patterns:
             o = o if isinstance(o, Const) or is_var(o) else Const.literal(o)
             (paths if isinstance(p, Path) else plain).append((s, p, o))
         parts = self._stars(plain, spatial or {}) if plain else []
         parts += [self._path(*p) for p in paths]
+        left = list(where)
+
+        def filtered(part: Solutions) -> Solutions:
+            """With the constraints, of those left, that the part binds all variables of."""
+            for r in [r for r in left if r.vars <= set(part.vars)]:
+                left.remove(r)
+                part = spatial_filter(part, r.predicate, r.a, r.b, r.constant, r.metres)
+            return part
+
+        parts = [filtered(p) for p in parts]
         out, rest = parts[0], parts[1:]
         while rest:  # stay connected where the pattern is
-            k = next((k for k, part in enumerate(rest) if set(part.vars) & set(out.vars)), 0)
-            out = out.join(rest.pop(k))
+            k = next((k for k, part in enumerate(rest) if set(part.vars) & set(out.vars)), None)
+            if k is not None:
+                out = filtered(out.join(rest.pop(k)))
+                continue
+            between = [[r for r in left if r.vars <= set(out.vars) | set(part.vars)] for part in rest]
+            k = next((k for k, found in enumerate(between) if found), None)
+            if k is None:
+                out = out.join(rest.pop(0))
+                continue
+            left = [r for r in left if r not in between[k]]
+            out = filtered(related(out, rest.pop(k), between[k], smallest))
+        if left:
+            raise ValueError(f"no pattern binds the variables of {left}")
         return out
 
     def _stars(self, patterns: list, spatial: dict[str, bool]) -> list[Solutions]:

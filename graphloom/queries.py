@@ -13,7 +13,7 @@ from graphloom.functions import scalars
 from graphloom.functions.terms import GEO, RDF_TYPE, XSD, Const, Namespace, Ref, Template, TermType
 from graphloom.operators import runs, vectors
 from graphloom.operators.solutions import Solutions
-from graphloom.operators.spatial import spatial_join
+from graphloom.operators.spatial import Relation, spatial_join
 from graphloom.plans.graph import VirtualGraph, construct
 from graphloom.plans.paths import Alt, Inv, Plus, Seq, Star
 from graphloom.plans.rules import selection_sizes
@@ -51,7 +51,7 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     """A grid of 8 x 8 boxes of side 10 around the origin, as WKT."""
     cell = spark.range(64).select(F.col("id").alias("box_id"), ((F.col("id") % 8 - 4) * 10).cast("double").alias("x"), (F.floor(F.col("id") / 8) - 4).cast("double").alias("y"))
     box = F.struct(F.col("x").alias("xmin"), (F.col("y") * 10).alias("ymin"), (F.col("x") + 10).alias("xmax"), (F.col("y") * 10 + 10).alias("ymax"))
-    return cell.select("box_id", box.alias("box"), geo.bbox_wkt(box).alias("wkt"))
+    return cell.select("box_id", F.floor(F.col("box_id") / 8).alias("row"), box.alias("box"), geo.bbox_wkt(box).alias("wkt"))
 
 
 def maps(sf: str) -> list[TriplesMap]:
@@ -73,10 +73,11 @@ def maps(sf: str) -> list[TriplesMap]:
         TriplesMap("document", table("documents"), iri("doc", "doc_id"), ((EX.lang, Ref("lang")), (EX.source, Ref("source")), (EX.chars, Ref("n_chars", INTEGER)), (EX.text, Ref("text"))), (EX.Document.value,), True),
         TriplesMap("label", table("labels"), iri("doc", "doc_id"), ((EX.quality, Ref("quality", INTEGER)), (EX.toxic, Ref("toxic", INTEGER))), (), True),
         TriplesMap("turn", _derived(sf, "turn", "conversations", turns), Template("http://ex/turn/{conv_id}/{turn}"), ((EX.role, Ref("role")), (EX.next, Template("http://ex/turn/{conv_id}/{next}"))), (EX.Turn.value,), True),
+        TriplesMap("coverage", Source.frame("coverage", lambda spark: coverages(_boxes(spark, sf).select("box_id", "box", "wkt"), "http://wcs/?SERVICE=WCS", parameters={"COVERAGE": "dem"})), Ref("coverage", kind="iri"), ((EX.coverage, Const.literal("dem")), (GEO + "hasGeometry", Ref("wkt", WKT))), (EX.Coverage.value,), True),
         TriplesMap("point", _derived(sf, "point", "embeddings", points), iri("vec", "vec_id"), ((GEO + "hasGeometry", Ref("wkt", WKT)), (EX.label, Ref("label", INTEGER))), (EX.Point.value,), True),
         TriplesMap("patch", _derived(sf, "patch", "embeddings", boxed), iri("patch", "vec_id"), ((GEO + "hasGeometry", Ref("wkt", WKT)),), (EX.Patch.value,), True),
         TriplesMap("road", _derived(sf, "road", "embeddings", lines), iri("road", "vec_id"), ((GEO + "hasGeometry", Ref("wkt", WKT)),), (EX.Road.value,), True),
-        TriplesMap("box", Source.frame("box", lambda spark: _boxes(spark, sf)), iri("box", "box_id"), ((GEO + "hasGeometry", Ref("wkt", WKT)),), (EX.Box.value,), True),
+        TriplesMap("box", Source.frame("box", lambda spark: _boxes(spark, sf)), iri("box", "box_id"), ((GEO + "hasGeometry", Ref("wkt", WKT)), (EX.cell, Ref("box_id", INTEGER)), (EX.row, Ref("row", INTEGER))), (EX.Box.value,), True),
     ]
 
 
@@ -495,14 +496,85 @@ def spatial_crosses(spark, sf):
     return spatial_join(_place(g, "r", EX.Road), _place(g, "b", EX.Box), "gr", "gb", "crosses", smallest=10.0).select("r", "b").frame()
 
 
-@query()
+def _metres(x1: str, y1: str, x2: str, y2: str) -> str:
+    """Metres on the ellipsoid in SQL, by Lambert's closed formula: within a metre for hundreds of kilometres."""
+    x1, y1, x2, y2 = (f"({v})" for v in (x1, y1, x2, y2))
+    b1, b2 = (f"atan((1 - 1 / 298.257223563) * tan(radians({y})))" for y in (y1, y2))
+    half = f"asin(least(1.0, sqrt(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
+    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
+    x = f"(2 * {half} - sin(2 * {half})) * pow(sin({p}), 2) * pow(cos({q}), 2) / pow(cos({half}), 2)"
+    y = f"(2 * {half} + sin(2 * {half})) * pow(cos({p}), 2) * pow(sin({q}), 2) / pow(sin({half}), 2)"
+    return f"(CASE WHEN {half} = 0 THEN 0 ELSE 6378137.0 * (2 * {half} - ({x} + {y}) / 298.257223563 / 2) END)"
+
+
+@query(f"SELECT 'http://ex/vec/' || a.vec_id AS a, 'http://ex/vec/' || b.vec_id AS b FROM {_POINT[:-2]} a JOIN {_POINT[:-2]} b ON 'http://ex/vec/' || a.vec_id < 'http://ex/vec/' || b.vec_id AND abs(a.py - b.py) < 1 AND {_metres('a.px', 'a.py', 'b.px', 'b.py')} < 60000")
 def spatial_distance(spark, sf):
-    """Points with centroids less than 60 km apart on the ellipsoid; tests hold distances against published ones."""
+    """Points with centroids less than 60 km apart on the ellipsoid; tests hold distances against published ones, too."""
     g = graph(spark, sf, "point")
     near = spatial_join(_place(g, "a", EX.Point), _place(g, "b", EX.Point), "ga", "gb", within_metres=60_000, smallest=1.0)
     return near.filter(F.col("a") < F.col("b")).select("a", "b").frame()
 
 
+# ---- whole queries of several stars that only space relates
+
+
+_HAS = Const(GEO + "hasGeometry")
+_SQUARES, _POINTS = _SQUARE.replace(") p", ") w"), _POINT.replace(") p", ") t").replace("px", "tx").replace("py", "ty")
+_IN_BOX = "px >= x AND px + 6 <= x + 10 AND py >= y AND py + 6 <= y + 10"
+_POINT_IN_BOX = "tx > x AND tx < x + 10 AND ty > y AND ty < y + 10"
+_BOX, _PATCH, _DOT = (lambda *more: [("?s", TYPE, EX.Box), ("?s", _HAS, "?gs"), *more]), [("?w", TYPE, EX.Patch), ("?w", _HAS, "?gw")], [("?t", TYPE, EX.Point), ("?t", _HAS, "?gt")]
+_CHAIN = (Relation("gw", "gs", "within"), Relation("gt", "gs", "within"), Relation("gw", "gt", metres=250_000))
+_NEAR = f"{_metres('px + 3', 'py + 3', 'tx', 'ty')} < 250000"
+
+
+@query(f"SELECT 'http://ex/patch/' || vec_id AS w FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} WHERE box_id = 27")
+def q01_shape(spark, sf):
+    """Features in a named area."""
+    found = graph(spark, sf, "box patch").match(*_BOX(("?s", EX.cell, 27)), *_PATCH, where=[Relation("gs", "gw", "contains")], smallest=6.0)
+    return found.select("w").frame()
+
+
+@query(f"SELECT 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE box_id = 27 AND {_NEAR}")
+def q02_shape(spark, sf):
+    """Features of two kinds in a named area, near each other: the distance joins them, the areas filter."""
+    return graph(spark, sf, "box patch point").match(*_BOX(("?s", EX.cell, 27)), *_PATCH, *_DOT, where=_CHAIN, smallest=2.0).select("w", "t").frame()
+
+
+@query(f"SELECT 'http://ex/box/' || box_id AS s, 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE box_id // 8 = 4 AND {_NEAR}")
+def q03_shape(spark, sf):
+    """The same for areas of a row of the grid."""
+    return graph(spark, sf, "box patch point").match(*_BOX(("?s", EX.row, 4)), *_PATCH, *_DOT, where=_CHAIN, smallest=2.0).select("s", "w", "t").frame()
+
+
+@query(f"SELECT 'http://ex/event/' || event_id AS o, 'http://ex/patch/' || w.vec_id AS w FROM events JOIN {_GRID} ON user_id = box_id JOIN {_SQUARES} ON {_IN_BOX} WHERE event_type = 'click'")
+def q04_shape(spark, sf):
+    """Observations that a literal ties to an area, and the features in it."""
+    found = graph(spark, sf, "box patch event").match(*_BOX(("?s", EX.cell, "?u")), ("?o", EX.user, "?u"), ("?o", EX.kind, "click"), *_PATCH, where=[Relation("gs", "gw", "contains")], smallest=6.0)
+    return found.select("o", "w").frame()
+
+
+@query("SELECT DISTINCT 'http://ex/series/' || l_orderkey AS s, l_quantity AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def q05_shape(spark, sf):
+    """Values of nested series that two of their facts choose."""
+    return _json_graph(spark, sf).match(("?s", EX.status, "F"), ("?s", EX.priority, "1-URGENT"), ("?s", EX.value, "?value")).frame()
+
+
+@query(f"SELECT 'http://ex/vec/' || t.vec_id AS t, label FROM {_GRID} JOIN {_POINTS} ON {_POINT_IN_BOX} JOIN embeddings e ON e.vec_id = t.vec_id WHERE box_id = 27 ORDER BY label, t")
+def q06_shape(spark, sf):
+    """Features in a named area in the order of a property."""
+    found = graph(spark, sf, "box point").match(*_BOX(("?s", EX.cell, 27)), *_DOT, ("?t", EX.label, "?label"), where=[Relation("gt", "gs", "within")], smallest=10.0)
+    return found.select("t", "label").order_by(F.col("label").asc(), F.col("t").asc()).frame()
+
+
+@query(f"SELECT 'http://ex/event/' || event_id AS o, 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t, round(value, 4) AS value, 'http://wcs/?SERVICE=WCS&BBOX=' || y || ',' || x || ',' || (y + 10) || ',' || (x + 10) || '&COVERAGE=dem' AS i FROM events JOIN {_GRID} ON user_id = box_id JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE event_type = 'click' AND {_NEAR}")
+def q07_shape(spark, sf):
+    """Areas with their observations, features of two kinds near each other in them, and the coverage around."""
+    chain = (Relation("gi", "gs", "contains"), *_CHAIN)
+    patterns = [*_BOX(("?s", EX.cell, "?u")), *_PATCH, *_DOT, ("?o", EX.user, "?u"), ("?o", EX.kind, "click"), ("?o", EX.value, "?value"), ("?i", TYPE, EX.Coverage), ("?i", EX.coverage, "dem"), ("?i", _HAS, "?gi")]
+    found = graph(spark, sf, "box patch point event coverage").match(*patterns, where=chain, smallest=2.0)
+    return found.select("o", "w", "t", "value", "i").frame().withColumn("value", _round("value"))
+
+
 @query("SELECT box_id, greatest(x, -5.0) AS ix, greatest(y, -5.0) AS iy, least(x + 10, 12.0) AS ax, least(y + 10, 12.0) AS ay FROM " + _GRID + " WHERE greatest(x, -5.0) < least(x + 10, 12.0) AND greatest(y, -5.0) < least(y + 10, 12.0)")
 def bbox_algebra(spark, sf):
     window = geo.bbox_parse(F.lit("-5,-5,12,12"))
