@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import NUMERIC, Const, TermType
+from graphloom.functions.geodesy import distance
+from graphloom.functions.geometry import PREDICATES, geometry
+from graphloom.functions.terms import NUMERIC, XSD, Const, TermType
 from graphloom.operators.solutions import Solutions
 
 
@@ -99,6 +101,53 @@ def is_numeric(solutions: Solutions, name: str) -> Column:
     return F.when(v.bound, F.lit(v.shape.kind == "literal" and v.shape.datatype in NUMERIC))
 
 
+def seconds(x: Column) -> Column:
+    """Seconds with their fraction."""
+    return F.extract(F.lit("SECOND"), x).cast("decimal(8,6)")
+
+
+def zone(lexical: Column) -> Column:
+    """TZ: the zone of a dateTime's text, ``Z``, ``+hh:mm`` or ``-hh:mm``; empty without one."""
+    return F.when(lexical.isNotNull(), F.regexp_extract(lexical, r"T.*(Z|[+-][0-9]{2}:[0-9]{2})$", 1))
+
+
+def zone_duration(lexical: Column) -> Column:
+    """TIMEZONE: the zone as a dayTimeDuration; an error without one."""
+    z = zone(lexical)
+    hours, minutes = (F.regexp_extract(z, r"^[+-]([0-9]{2}):([0-9]{2})$", i).try_cast("int") for i in (1, 2))
+    parts = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    far = F.concat(F.when(F.startswith(z, F.lit("-")), "-").otherwise(""), F.lit("PT"), parts)
+    return F.when((z == "Z") | (hours + minutes == 0), "PT0S").when(z != "", far)
+
+
+def uuid_iri() -> Column:
+    return F.concat(F.lit("urn:uuid:"), F.uuid())
+
+
+def _term(kind: str, value: Column, datatype: Column | None = None, lang: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    whole = F.struct(F.lit(kind).alias("kind"), value.alias("value"), (none if datatype is None else datatype).alias("datatype"), (none if lang is None else lang).alias("lang"))
+    return F.when(value.isNotNull() & (F.lit(True) if datatype is None else datatype.isNotNull()) & (F.lit(True) if lang is None else lang.isNotNull()), whole)
+
+
+def iri(text: Column, base: str = "") -> Column:
+    """IRI: a dynamic term; a relative reference is put behind the base."""
+    return _term("iri", F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).otherwise(F.concat(F.lit(base), text)))
+
+
+def bnode(label: Column | None = None) -> Column:
+    """BNODE: a dynamic term, the same for equal labels in one solution's sources; a fresh one without a label."""
+    return _term("bnode", F.concat(F.lit("b"), F.uuid() if label is None else F.sha1(label)))
+
+
+def str_dt(text: Column, datatype: Column) -> Column:
+    return _term("literal", text, datatype=datatype)
+
+
+def str_lang(text: Column, tag: Column) -> Column:
+    return _term("literal", text, lang=F.lower(tag))
+
+
 def same_term(a: Const, b: Const) -> bool:
     return (a.kind, a.value, a.datatype, a.lang) == (b.kind, b.value, b.datatype, b.lang)
 
@@ -108,18 +157,43 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "STRLEN": F.char_length, "UCASE": F.upper, "LCASE": F.lower, "SUBSTR": F.substring, "STRSTARTS": F.startswith, "STRENDS": F.endswith, "CONTAINS": F.contains,
     "STRBEFORE": str_before, "STRAFTER": str_after, "CONCAT": F.concat, "REGEX": regex, "REPLACE": replace, "ENCODE_FOR_URI": encode_for_uri, "LANGMATCHES": lang_matches,
     "ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": round_half_up, "RAND": F.rand, "IF": lambda c, a, b: F.when(c, a).otherwise(b), "COALESCE": F.coalesce,
-    "NOW": F.current_timestamp, "YEAR": F.year, "MONTH": F.month, "DAY": F.day, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second,
-    "MD5": F.md5, "SHA1": F.sha1, "SHA256": lambda c: F.sha2(c, 256), "SHA384": lambda c: F.sha2(c, 384), "SHA512": lambda c: F.sha2(c, 512), "UUID": F.uuid, "STRUUID": F.uuid,
-    "BOUND": Column.isNotNull,
+    "NOW": F.current_timestamp, "YEAR": F.year, "MONTH": F.month, "DAY": F.day, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": seconds, "TZ": zone, "TIMEZONE": zone_duration,
+    "MD5": F.md5, "SHA1": F.sha1, "SHA256": lambda c: F.sha2(c, 256), "SHA384": lambda c: F.sha2(c, 384), "SHA512": lambda c: F.sha2(c, 512), "UUID": uuid_iri, "STRUUID": F.uuid,
+    "BOUND": Column.isNotNull, "IRI": iri, "URI": iri, "BNODE": bnode, "STRDT": str_dt, "STRLANG": str_lang,
 }
 
+_GEOF = "http://www.opengis.net/def/function/geosparql/"
+_FN = "http://www.w3.org/2005/xpath-functions#"
+
+
+def _spatially(name: str) -> Callable[[Column, Column], Column]:
+    return lambda a, b: PREDICATES[name](geometry(a), geometry(b))
+
+
+#: Functions by IRI: spatial ones on geometries' texts, casts by datatype, and the builtins that have an IRI elsewhere.
+FUNCTIONS: dict[str, Callable[..., Column]] = {
+    **{f"{_GEOF}sf{n.capitalize()}": _spatially(n) for n in PREDICATES},
+    f"{_GEOF}sfDistance": lambda a, b: distance(geometry(a), geometry(b)),
+    **{XSD + n: (lambda x, k=k: x.try_cast(k)) for n, k in (("integer", "bigint"), ("double", "double"), ("float", "float"), ("decimal", "decimal(38,18)"), ("boolean", "boolean"), ("dateTime", "timestamp"), ("string", "string"))},
+    **{_FN + n: BUILTINS[b] for n, b in (("string-length", "STRLEN"), ("upper-case", "UCASE"), ("lower-case", "LCASE"), ("contains", "CONTAINS"), ("starts-with", "STRSTARTS"), ("ends-with", "STRENDS"), ("abs", "ABS"), ("ceiling", "CEIL"), ("floor", "FLOOR"), ("concat", "CONCAT"))},
+}
+
+
+def function(name: str) -> Callable[..., Column]:
+    """A function by its IRI, or a builtin by its name in any case."""
+    found = FUNCTIONS.get(name) or BUILTINS.get(name.upper())
+    if found is None:
+        raise LookupError(f"no function {name}")
+    return found
+
 
 # ---- IRIs, labels and run metadata
 
 
 def local_name(iri: Column) -> Column:
-    """What follows the last ``/`` or ``#``."""
-    return F.regexp_extract(iri, "[^/#]+$", 0)
+    """What follows the last ``/`` or ``#``, per cent codes decoded; marks at the end don't count."""
+    text = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(iri, F.lit("+"), F.lit("%2B"))), iri), "[/#]+$", "")
+    return F.coalesce(F.nullif(F.regexp_extract(text, "[^/#]+$", 0), F.lit("")), text)
 
 
 def base_url(url: Column) -> Column:
@@ -149,8 +223,8 @@ def search_text(name: Column) -> Column:
 
 
 def safe_fragment(name: Column, default: str = "NewClass") -> Column:
-    """A name fit for an IRI: other characters become ``_``."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(name, "[^0-9A-Za-z]+", "_"), "_+", "_"), F.lit("_"))
+    """A name fit for an IRI: what is neither a letter nor a number, of any script, becomes ``_``."""
+    text = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default)).otherwise(text)
 
 
@@ -178,4 +252,4 @@ def log_message(line: Column) -> Column:
 
 def compact(kind: Column, value: Column) -> Column:
     """A cell as a reader wants it: an IRI's local name (marks at its end don't count), other values as they are."""
-    return F.when(kind == "uri", F.coalesce(F.nullif(local_name(F.regexp_replace(value, "[/#]+$", "")), F.lit("")), value)).otherwise(F.coalesce(value, F.lit("")))
+    return F.when(kind == "uri", F.coalesce(F.nullif(local_name(value), F.lit("")), value)).otherwise(F.coalesce(value, F.lit("")))

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.durable import durable
 from graphloom.operators.solutions import Solutions, Var
 
 
-def closure(step: Solutions, start: str, end: str, reflexive: bool = False) -> Solutions:
-    """Pairs (start, end) that one step or more lead to; with reflexive also each node with itself. A set.
+def closure(step: Solutions, start: str, end: str, nodes: DataFrame | None = None, first: str | None = None, last: str | None = None) -> Solutions:
+    """Pairs (start, end) that one step or more lead to. A set.
 
+    nodes: one column of nodes that are paired with themselves, too (no step). first, last: the text of the node at which
+    pairs begin or end; the frontier then grows from there only, instead of from all nodes.
     The frontier holds the pairs found last; each round joins it with the steps and drops known pairs (cycles end there).
     As many rounds as the longest shortest path has steps; only whether a frontier is empty comes to the driver.
     """
     a, b = step.vars[start], step.vars[end]
     same = a.shape.template and b.shape.template and a.shape.template.parts == b.shape.template.parts and len(a.columns) == 1 and a.shape.template.keyed(list(a.types)) and b.shape.template.keyed(list(b.types)) and a.types == b.types
-    if not same:  # nodes of several shapes meet as texts
+    if not same or nodes is not None or first is not None or last is not None:  # nodes of several shapes meet as texts
         step = step._plain(start)._plain(end)
         a, b = step.vars[start], step.vars[end]
     edges = durable(step.df.select(F.col(f"`{a.columns[0]}`").alias("x"), F.col(f"`{b.columns[0]}`").alias("y")).distinct(), "edges")
-    known = frontier = edges
+    backward = first is None and last is not None
+    seeds = edges.filter(F.col("x") == first) if first is not None else edges.filter(F.col("y") == last) if backward else edges
+    known = frontier = seeds
     while True:
-        further = frontier.alias("f").join(edges.alias("e"), F.col("f.y") == F.col("e.x")).select(F.col("f.x").alias("x"), F.col("e.y").alias("y")).distinct()
+        if backward:
+            further = edges.alias("e").join(frontier.alias("f"), F.col("e.y") == F.col("f.x")).select(F.col("e.x").alias("x"), F.col("f.y").alias("y")).distinct()
+        else:
+            further = frontier.alias("f").join(edges.alias("e"), F.col("f.y") == F.col("e.x")).select(F.col("f.x").alias("x"), F.col("e.y").alias("y")).distinct()
         frontier = durable(further.join(known, ["x", "y"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         known = known.union(frontier)
-    if reflexive:
-        nodes = edges.select("x").union(edges.select(F.col("y").alias("x"))).distinct()
-        known = known.union(nodes.select("x", F.col("x").alias("y"))).distinct()
+    if nodes is not None:
+        own = nodes.select(nodes.columns[0]).toDF("x")
+        own = own.filter(F.col("x") == first) if first is not None else own
+        known = known.union(own.select("x", F.col("x").alias("y"))).distinct()
+    known = known.filter(F.col("y") == last) if last is not None else known
     out = known.select(F.col("x").alias(a.columns[0]), F.col("y").alias(b.columns[0]))
     return Solutions(out, {start: Var(a.shape, a.columns, a.types), end: Var(b.shape, b.columns, b.types)})

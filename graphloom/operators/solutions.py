@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.terms import DYNAMIC, Const, TermType, constant, dynamic, shape_of
+from graphloom.operators.durable import durable
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,16 @@ def equal_keys(a: Var, b: Var) -> list[tuple[Column, Column]] | None:
 _fresh = itertools.count()
 
 
+def total(x: Column) -> Column:
+    """Aggregate: the sum, 0 of no values."""
+    return F.coalesce(F.sum(x), F.lit(0))
+
+
+def mean(x: Column) -> Column:
+    """Aggregate: the mean, 0 of no values."""
+    return F.coalesce(F.avg(x), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Solutions:
     df: DataFrame
@@ -95,8 +106,11 @@ class Solutions:
             return dynamic(constant(x, shape_of(x)), shape_of(x)) if shape.kind == "any" else constant(x, shape)
 
         one = spark.range(1)
-        frames = [one.select(*[cell(x, found[n]).alias(n) for n, x in zip(names, row, strict=True)]) for row in terms]
-        df = reduce(DataFrame.unionByName, frames) if frames else one.limit(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
+        if terms:  # one row generator, however many rows there are
+            rows_ = F.array(*[F.struct(*[cell(x, found[n]).alias(n) for n, x in zip(names, row, strict=True)]) for row in terms])
+            df = one.select(F.explode(rows_).alias("row")).select("row.*")
+        else:
+            df = one.limit(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
         maybe = {n: any(row[i] is None for row in terms) for i, n in enumerate(names)}
         return Solutions(df, {n: Var(found[n], (n,), (df.schema[n].dataType,), maybe[n]) for n in names})
 
@@ -152,7 +166,10 @@ class Solutions:
         return replace(self, df=(self.df.offset(offset) if offset else self.df).limit(n))
 
     def group(self, by: Sequence[str] = (), having: Column | None = None, **aggregates: Column) -> Solutions:
-        """Aggregates by variables; with none, one row whatever there is. A sum or mean of nothing is up to the expression."""
+        """Aggregates by variables; with none, one row whatever there is.
+
+        total() and mean() are 0 for no values, as the algebra says; Spark's own sum and avg are unbound for them.
+        """
         df, _ = self._opened()
         keys = [c for n in by for c in self.vars[n].columns]
         out = df.groupBy(*[f"`{k}`" for k in keys]).agg(*[c.alias(n) for n, c in aggregates.items()])
@@ -249,16 +266,37 @@ class Solutions:
         right = other._renamed(f"~{next(_fresh)}")
         pairs = self._pairs(right, shared)
         if any(s.vars[n].maybe for s in (self, other) for n in shared) or pairs == []:
-            raise ValueError("exists() needs shared variables that are always bound")
+            return replace(self, df=self._with(other, shared))
         found = F.lit(False) if pairs is None else reduce(Column.__and__, [a == b for a, b in pairs])
         return replace(self, df=self.df.join(right.df, found, "left_semi"))
 
+    def _with(self, other: Solutions, shared: Sequence[str]) -> DataFrame:
+        """df's solutions that have a compatible one in other, where shared variables may be unbound or there are none.
+
+        Each part of df by its unbound variables loses what it has no partner for in any part of other: a solution
+        stays if it isn't among those without one. Solutions that are equal row for row are alike in this.
+        """
+        right = other._renamed(f"~{next(_fresh)}")
+        kept = []
+        for lost, df in self._parts(shared):
+            rest, found = df, []
+            for gone, right_df in right._parts(shared):
+                pairs = self._pairs(right, [n for n in shared if n not in lost | gone])
+                if pairs is None:
+                    continue
+                on = reduce(Column.__and__, [a == b for a, b in pairs]) if pairs else F.lit(True)
+                partners = right_df if pairs else right_df.limit(1).select(F.lit(1).alias("any"))  # one row
+                found.append(rest.join(partners, on, "left_semi"))
+                rest = rest.join(partners, on, "left_anti")
+            kept += found
+        return reduce(DataFrame.union, kept) if kept else self.df.filter(F.lit(False))
+
     def optional(self, other: Solutions, condition: Column | None = None) -> Solutions:
         """Left join. condition: over variables of both; it must be free of Python functions (bind these before)."""
         shared = [n for n in self.vars if n in other.vars]
         if any(s.vars[n].maybe for s in (self, other) for n in shared):
             if condition is not None:
-                raise ValueError("a condition needs shared variables that are always bound")
+                return self._optional_if(other, condition)
             return self.join(other).union(replace(self, df=self._without(other, apart=False)))
         right = other._renamed(f"~{next(_fresh)}")
         pairs = self._pairs(right, shared)
@@ -274,6 +312,18 @@ class Solutions:
         merged = Solutions(joined, self.vars | {n: replace(v, maybe=True) for n, v in right.vars.items() if n not in self.vars})
         return merged._tidy(list(merged.vars), set())
 
+    def _optional_if(self, other: Solutions, condition: Column) -> Solutions:
+        """optional() with a condition where shared variables may be unbound: solutions are numbered, joined, filtered, and
+        those whose number has no pair stay as they are. The numbers are written, so that both readings agree."""
+        name = "row~optional"
+        numbered = durable(self.df.withColumn(name, F.monotonically_increasing_id()), "optional")
+        left = Solutions(numbered, self.vars | {name: Var(TermType("literal"), (name,), (T.LongType(),))})
+        met = left.join(other).filter(condition)
+        paired = met.df.select(F.col(f"`{name}`").alias("met")).distinct()
+        alone = numbered.join(paired, F.col(f"`{name}`") == F.col("met"), "left_anti").drop(name)
+        kept = met.select(*[n for n in met.vars if n != name])
+        return kept.union(replace(self, df=alone))
+
     # ---- set operations
 
     def _plain(self, name: str) -> Solutions:

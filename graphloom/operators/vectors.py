@@ -1,22 +1,25 @@
 """Nearest reference entities of terms by cosine similarity.
 
-The terms that are looked up are few and the reference vocabulary is large: both sides meet once in an exact scan, in
-blocks of terms, and each task keeps its best before the shuffle.
+Both sides are packed into tiles of unit vectors and dealt by an equi-join: each entity tile goes to one group, each term
+tile to all, so that every term meets every entity once, in a product of two tiles. A task passes on the best of each tile
+only, and a window ranks what is left. Nothing is collected or broadcast, and each side is read once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.operators.durable import durable
 
 TOP_K, THRESHOLD, OVER_FETCH = 5, 0.7, 3
-#: Terms that are looked up in one pass over the vocabulary; more take more passes.
-BLOCK = 4096
+#: Vectors in a tile of terms and of entities.
+TERM_TILE, ENTITY_TILE = 512, 4096
 
 
 def _unit(table: np.ndarray) -> np.ndarray:
@@ -24,56 +27,63 @@ def _unit(table: np.ndarray) -> np.ndarray:
     return np.divide(table, length, out=np.zeros_like(table), where=length > 0)
 
 
+def tiles(vectors: DataFrame, size: int) -> DataFrame:
+    """From (id, v) tiles of one dimension each: dim, ids, rows (unit vectors as bytes). Vectors that are null or hold null
+    or non-finite numbers are left out."""
+    kind = vectors.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple[list, list]] = {}
+
+        def tile(dim: int) -> pa.RecordBatch:
+            ids, rows = waiting.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.list_(out)), pa.array([_unit(np.array(rows, float).reshape(len(ids), dim)).tobytes()])], ["dim", "ids", "rows"])
+
+        for b in batches:
+            out = b.schema.field(0).type
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i is None or v is None or None in v or not np.isfinite(v).all():
+                    continue
+                ids, rows = waiting.setdefault(len(v), ([], []))
+                ids.append(i)
+                rows.append(v)
+                if len(ids) >= size:
+                    yield tile(len(v))
+        for dim in list(waiting):
+            yield tile(dim)
+
+    return vectors.mapInArrow(run, T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("rows", T.BinaryType())]))
+
+
 def nearest(terms: DataFrame, entities: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, term: str = "term", entity: str = "entity", vector: str = "embedding") -> DataFrame:
     """term, rank, entity, score: the k most similar entities with a score (4 places) above the threshold; ties to the
-    smaller entity. Vectors that are null or hold null or non-finite numbers match nothing.
-
-    terms: at most what the driver can hold by its own documented bound, BLOCK vectors at a time.
-    """
-    kind_t, kind_e = terms.schema[term].dataType.simpleString(), entities.schema[entity].dataType.simpleString()
-    wanted = terms.select(F.col(term).alias("t"), F.col(vector).cast("array<double>").alias("v")).filter("t IS NOT NULL AND v IS NOT NULL")
-    pool = entities.select(F.col(entity).alias("e"), F.col(vector).cast("array<double>").alias("v")).filter("e IS NOT NULL AND v IS NOT NULL")
-    found: DataFrame | None = None
-    block: list = []
-
-    def scan(rows: list) -> DataFrame:
-        by_size: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            if all(x is not None and math.isfinite(x) for x in r["v"]):
-                names, table = by_size.setdefault(len(r["v"]), ([], []))
-                names.append(r["t"])
-                table.append(r["v"])
-        sent = pool.sparkSession.sparkContext.broadcast({n: (np.array(names, object), _unit(np.array(table, float).reshape(-1, n))) for n, (names, table) in by_size.items()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                vectors = b.column(1)
-                lengths = np.asarray(vectors.value_lengths())
-                for size, (own, unit) in sent.value.items():
-                    at = np.flatnonzero(lengths == size)
-                    these = np.array([np.nan if x is None else x for x in vectors.take(pa.array(at)).flatten().to_pylist()], float).reshape(len(at), size)
-                    sound = np.isfinite(these).all(axis=1)
-                    at, these = at[sound], these[sound]
-                    scores = _unit(these) @ unit.T
-                    keep = scores > threshold
-                    if len(at) > k:  # as many as tie with the k-th
-                        keep &= scores >= np.partition(scores, -k, axis=0)[-k] - 1e-4
-                    i, j = np.nonzero(keep)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(own[j].tolist()), b.column(0).take(pa.array(at[i])), pa.array(scores[i, j], pa.float64())], ["t", "e", "score"])
-
-        return pool.mapInArrow(run, f"t {kind_t}, e {kind_e}, score double")
-
-    for row in wanted.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            part = scan(block)
-            found, block = part if found is None else found.union(part), []
-    if block or found is None:
-        if not block:
-            return terms.sparkSession.createDataFrame([], f"{term} {kind_t}, rank int, {entity} {kind_e}, score double")
-        part = scan(block)
-        found = part if found is None else found.union(part)
+    smaller entity. Vectors that are null or hold null or non-finite numbers match nothing."""
+    spark = terms.sparkSession
+    kinds = [terms.schema[term].dataType, entities.schema[entity].dataType]
+    packed = {}
+    for name, table, key, size in (("t", terms, term, TERM_TILE), ("e", entities, entity, ENTITY_TILE)):
+        plain = table.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        packed[name] = durable(tiles(plain, size), "vector-tiles").select("dim", F.col("ids").alias(f"{name}_ids"), F.col("rows").alias(f"{name}_rows"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(n, packed["e"].count()))  # tiles, not rows
+    dealt_t = packed["t"].withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt_e = packed["e"].withColumn("group", F.pmod(F.xxhash64("e_rows"), F.lit(groups)).cast("int"))
+    pairs = dealt_t.join(dealt_e, ["dim", "group"]).select("dim", "t_ids", "t_rows", "e_ids", "e_rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other = (b.schema.field(i).type.value_type for i in (1, 3))
+            for dim, t_ids, t_rows, e_ids, e_rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one, two = (np.frombuffer(x, float).reshape(-1, dim) for x in (t_rows, e_rows))
+                scores = one @ two.T
+                keep = scores > threshold
+                if len(two) > k:  # with as many as may tie with the k-th when rounded
+                    keep &= scores >= np.partition(scores, -k, axis=1)[:, -k, None] - 1e-4
+                i, j = np.nonzero(keep)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([t_ids[x] for x in i], own), pa.array([e_ids[x] for x in j], other), pa.array(scores[i, j], pa.float64())], ["t", "e", "score"])
+
+    found = pairs.mapInArrow(run, T.StructType([T.StructField("t", kinds[0]), T.StructField("e", kinds[1]), T.StructField("score", T.DoubleType())]))
     best = Window.partitionBy("t").orderBy(F.col("score").desc(), "e")
     rounded = found.withColumn("score", F.round("score", 4))
     return rounded.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("t").alias(term), "rank", F.col("e").alias(entity), "score")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from graphloom.operators.closure import closure
 from graphloom.operators.solutions import Solutions, Var
 from graphloom.operators.spatial import Relation, related, spatial_filter
 from graphloom.plans import rules as selection
-from graphloom.plans.paths import Alt, Inv, Path, Plus, Seq, Star
+from graphloom.plans.paths import Alt, Inv, Maybe, Path, Plus, Seq, Star
 from graphloom.plans.rules import is_var
 from graphloom.sources.mapping import Parent, Rule, TriplesMap, rules_of
 from graphloom.sources.paths import iterate, value
@@ -241,26 +242,40 @@ class VirtualGraph:
     def _path(self, s, path: Path, o) -> Solutions:
         """Solutions of a property path, with the constants of its ends applied."""
         ends = [x if is_var(x) else self._name() for x in (s, o)]
-        found = self._ends(ends[0], path, ends[1])
+        bound = [None if is_var(x) else str(x.value) for x in (s, o)]
+        found = self._ends(ends[0], path, ends[1], *bound)
         for end, x in zip(ends, (s, o), strict=True):
             if not is_var(x):
                 found = found.filter(lambda v, e=end, x=x: v.term(e[1:]) == F.lit(x.value))
         return found.select(*[x[1:] for x in dict.fromkeys((s, o)) if is_var(x)]) if any(map(is_var, (s, o))) else found
 
-    def _ends(self, s: str, path: Path | Const, o: str) -> Solutions:
+    def _nodes(self) -> DataFrame:
+        """The IRIs of the graph's subjects and objects, a set: what a path of no step leads from and to."""
+        whole = self.triples().select(F.explode(F.array("s", "o")).alias("t"))
+        return whole.filter("t.kind <> 'literal'").select(F.col("t.value").alias("node")).distinct()
+
+    def _ends(self, s: str, path: Path | Const, o: str, first: str | None = None, last: str | None = None) -> Solutions:
+        """Solutions of a path between variables. first, last: the texts of constant ends, from which closures grow."""
         if isinstance(path, Const):
             return self.match((s, path, o))
         if isinstance(path, Inv):
-            return self._ends(o, path.path, s)
+            return self._ends(o, path.path, s, last, first)
         if isinstance(path, Seq):
             inner = [s, *[self._name() for _ in path.paths[1:]], o]
             steps = [self._ends(a, p, b) for a, p, b in zip(inner[:-1], path.paths, inner[1:], strict=True)]
             return reduce(Solutions.join, steps).select(s[1:], o[1:])
         if isinstance(path, Alt):
-            return reduce(Solutions.union, [self._ends(s, p, o).select(s[1:], o[1:]) for p in path.paths])
-        if isinstance(path, (Plus, Star)):
-            step = self._ends(s, path.path, o)
-            return closure(step, s[1:], o[1:], reflexive=isinstance(path, Star))
+            return reduce(Solutions.union, [self._ends(s, p, o, first, last).select(s[1:], o[1:]) for p in path.paths])
+        if isinstance(path, Plus):
+            return closure(self._ends(s, path.path, o), s[1:], o[1:], None, first, last)
+        if isinstance(path, (Star, Maybe)):
+            fixed = [x for x in (first, last) if x is not None]
+            nodes = self.spark.createDataFrame([(x,) for x in fixed[:1]], "node string") if fixed else self._nodes()
+            if isinstance(path, Star):
+                return closure(self._ends(s, path.path, o), s[1:], o[1:], nodes, first, last)
+            step = self._ends(s, path.path, o, first, last).select(s[1:], o[1:])._plain(s[1:])._plain(o[1:])
+            own = Solutions(nodes.select(F.col("node").alias(s[1:]), F.col("node").alias(o[1:])), {n[1:]: replace(step.vars[n[1:]], columns=(n[1:],)) for n in (s, o)})
+            return step.union(own).distinct()
         raise TypeError(path)
 
     def triples(self, subject: Const | None = None) -> DataFrame:

@@ -47,6 +47,13 @@ class Plus(Path):
 
 @dataclass(frozen=True)
 class Star(Path):
-    """No step or more, from the nodes that the path has."""
+    """No step or more: each node of the graph with itself, too, and a constant end with itself whether it is a node or not."""
+
+    path: Path | Const
+
+
+@dataclass(frozen=True)
+class Maybe(Path):
+    """No step or one, with the same pairs of no step as Star."""
 
     path: Path | Const

@@ -12,7 +12,7 @@ from graphloom.functions import geometry as geo
 from graphloom.functions import scalars
 from graphloom.functions.terms import GEO, RDF_TYPE, XSD, Const, Namespace, Ref, Template, TermType
 from graphloom.operators import runs, vectors
-from graphloom.operators.solutions import Solutions
+from graphloom.operators.solutions import Solutions, mean, total
 from graphloom.operators.spatial import Relation, spatial_join
 from graphloom.plans.graph import VirtualGraph, construct
 from graphloom.plans.paths import Alt, Inv, Plus, Seq, Star
@@ -190,19 +190,18 @@ def optional_filter(spark, sf):
     return g.match(("?d", EX.chars, "?chars")).optional(g.match(("?d", EX.quality, "?quality")), F.col("chars") > 1000).frame()
 
 
-@query("SELECT count(*) AS n, count(quality) AS bound, sum(q2) AS total FROM (SELECT d.doc_id, coalesce(l.quality, m.quality) AS quality, m.toxic AS q2 FROM documents d LEFT JOIN labels l USING (doc_id) JOIN labels m ON d.doc_id = m.doc_id AND (l.quality IS NULL OR l.quality = m.quality))")
+@query("SELECT 'http://ex/doc/' || d.doc_id AS d, lang, coalesce(l.quality, m.quality) AS quality, m.toxic AS toxic FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) l USING (doc_id) JOIN labels m ON d.doc_id = m.doc_id AND (l.quality IS NULL OR l.quality = m.quality)")
 def optional_then_join(spark, sf):
     """A variable that OPTIONAL may leave unbound is compatible with any value."""
     g = graph(spark, sf)
-    left = g.match(("?d", EX.lang, "?lang")).optional(g.match(("?d", EX.quality, "?quality")))
-    found = left.join(g.match(("?d", EX.quality, "?quality"), ("?d", EX.toxic, "?toxic")))
-    return found.frame().agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("bound"), F.sum("toxic").alias("total"))
+    left = g.match(("?d", EX.lang, "?lang")).optional(g.match(("?d", EX.quality, "?quality"), ("?d", EX.toxic, 1)))
+    return left.join(g.match(("?d", EX.quality, "?quality"), ("?d", EX.toxic, "?toxic"))).frame()
 
 
-@query("SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def minus(spark, sf):
     g = graph(spark, sf)
-    return g.match(("?c", TYPE, EX.Customer)).minus(g.match(("?o", EX.customer, "?c"))).frame()
+    return g.match(("?c", TYPE, EX.Customer)).minus(g.match(("?o", EX.customer, "?c"), ("?o", EX.priority, "1-URGENT"), ("?o", EX.status, "F"))).frame()
 
 
 @query("SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -251,10 +250,11 @@ def set_intersect(spark, sf):
     return g.match(("?c", TYPE, EX.Customer), ("?c", EX.nation, "?n")).select("n").intersect(g.match(("?s", TYPE, EX.Supplier), ("?s", EX.nation, "?n")).select("n")).frame()
 
 
-@query("SELECT 'http://ex/nation/' || k AS n FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+@query("SELECT 'http://ex/nation/' || k AS n FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8500)")
 def set_subtract(spark, sf):
     g = graph(spark, sf, "nation supplier")
-    return g.match(("?n", TYPE, EX.Nation)).subtract(g.match(("?s", TYPE, EX.Supplier), ("?s", EX.nation, "?n")).select("n")).frame()
+    rich = g.match(("?s", TYPE, EX.Supplier), ("?s", EX.nation, "?n"), ("?s", EX.balance, "?b")).filter(F.col("b") > 8500)
+    return g.match(("?n", TYPE, EX.Nation)).subtract(rich.select("n")).frame()
 
 
 @query("SELECT 'http://ex/customer/' || c_custkey AS c, 'http://ex/nation/' || c_nationkey AS n FROM customer WHERE c_nationkey = 5")
@@ -289,12 +289,12 @@ def group_concat(spark, sf):
     return found.group(["brand"], kinds=F.array_join(F.array_sort(F.collect_set("kind")), "|")).frame()
 
 
-@query("SELECT count(*) AS n, 0.0 AS total, 0.0 AS mean, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'none'")
+@query("SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS total, coalesce(avg(o_totalprice), 0) AS mean, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'none'")
 def agg_empty(spark, sf):
     """Nothing counts 0, sums to 0 and has a mean of 0; its maximum is unbound."""
     t = F.col("total")
     found = graph(spark, sf).match(("?o", EX.status, "none"), ("?o", EX.total, "?total"))
-    return found.group([], n=F.count(t), total=F.coalesce(F.sum(t), F.lit(0.0)), mean=F.coalesce(F.avg(t), F.lit(0.0)), most=F.max(t)).frame()
+    return found.group([], n=F.count(t), total=total(t), mean=mean(t), most=F.max(t)).frame()
 
 
 @query("SELECT c_mktsegment AS segment, max(n) AS most FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey GROUP BY ALL")
@@ -349,7 +349,7 @@ def path_plus(spark, sf):
     return graph(spark, sf, "turn").match(("?x", Plus(EX.next), "?y")).frame()
 
 
-@query("SELECT 'http://ex/nation/' || n_nationkey AS x, 'http://ex/region/' || n_regionkey AS y FROM nation UNION SELECT 'http://ex/nation/' || n_nationkey, 'http://ex/nation/' || n_nationkey FROM nation UNION SELECT 'http://ex/region/' || n_regionkey, 'http://ex/region/' || n_regionkey FROM nation")
+@query("SELECT 'http://ex/nation/' || n_nationkey AS x, 'http://ex/region/' || n_regionkey AS y FROM nation UNION SELECT 'http://ex/nation/' || n_nationkey, 'http://ex/nation/' || n_nationkey FROM nation UNION SELECT 'http://ex/region/' || n_regionkey, 'http://ex/region/' || n_regionkey FROM nation UNION SELECT 'http://ex/Nation', 'http://ex/Nation'")
 def path_star(spark, sf):
     return graph(spark, sf, "nation").match(("?x", Star(EX.partOf), "?y")).frame()
 
@@ -401,11 +401,11 @@ def cast_errors(spark, sf):
     return found.filter((F.col("n") > 10) | (F.col("size") > 40)).select("p", "n").frame()
 
 
-@query("SELECT kind, numeric, count(*) AS n FROM (SELECT 'literal' AS kind, false AS numeric FROM nation UNION ALL SELECT 'iri', false FROM nation UNION ALL SELECT 'iri', false FROM nation) GROUP BY ALL")
+@query("SELECT s, kind, numeric, count(*) AS n FROM (SELECT 'http://ex/supplier/' || s_suppkey AS s, unnest(['iri', 'iri', 'literal', 'literal', 'literal']) AS kind, unnest([false, false, false, true, true]) AS numeric FROM supplier) GROUP BY ALL")
 def term_tests(spark, sf):
-    found = graph(spark, sf, "nation").match(("?s", "?p", "?o"))
+    found = graph(spark, sf, "supplier").match(("?s", "?p", "?o"))
     found = found.bind("kind", F.col("o")["kind"]).bind("numeric", scalars.is_numeric(found, "o"))
-    return found.group(["kind", "numeric"], n=F.count(F.lit(1))).frame()
+    return found.group(["s", "kind", "numeric"], n=F.count(F.lit(1))).frame()
 
 
 # ---- nested JSON
@@ -477,10 +477,10 @@ def spatial_within(spark, sf):
     return spatial_join(_place(g, "p", EX.Patch), _place(g, "b", EX.Box), "gp", "gb", "within", smallest=6.0).select("p", "b").frame()
 
 
-@query(f"SELECT 'http://ex/box/' || box_id AS b, count(*) AS n FROM {_GRID} JOIN {_SQUARE} ON px + 6 >= x AND px <= x + 10 AND py + 6 >= y AND py <= y + 10 GROUP BY ALL")
+@query(f"SELECT 'http://ex/box/' || box_id AS b, 'http://ex/patch/' || vec_id AS p FROM {_GRID} JOIN {_SQUARE} ON px + 6 >= x AND px <= x + 10 AND py + 6 >= y AND py <= y + 10")
 def spatial_intersects(spark, sf):
     g = graph(spark, sf, "box patch")
-    return spatial_join(_place(g, "p", EX.Patch), _place(g, "b", EX.Box), "gp", "gb", "intersects", smallest=6.0).group(["b"], n=F.count(F.lit(1))).frame()
+    return spatial_join(_place(g, "p", EX.Patch), _place(g, "b", EX.Box), "gp", "gb", "intersects", smallest=6.0).select("b", "p").frame()
 
 
 @query(f"SELECT 'http://ex/patch/' || vec_id AS p, 'http://ex/box/' || box_id AS b FROM {_GRID} JOIN {_SQUARE} ON px + 6 > x AND px < x + 10 AND py + 6 > y AND py < y + 10 AND NOT (px >= x AND px + 6 <= x + 10 AND py >= y AND py + 6 <= y + 10)")
@@ -589,11 +589,11 @@ def extent(spark, sf):
     return box.select(*[F.round(F.col("e")[c], 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-@query("SELECT box_id, 'http://wcs/?SERVICE=WCS&BBOX=' || y || ',' || x || ',' || (y + 10) || ',' || (x + 10) || '&COVERAGE=dem' AS coverage, x AS left_x, y + 10 AS top_y FROM " + _GRID)
+@query("SELECT box_id, 'http://wcs/?SERVICE=WCS&BBOX=' || y || ',' || x || ',' || (y + 10) || ',' || (x + 10) || '&COVERAGE=dem' AS coverage, x AS c0_x, y + 10 AS c0_y, x + 10 AS c1_x, y + 10 AS c1_y, x + 10 AS c2_x, y AS c2_y, x AS c3_x, y AS c3_y FROM " + _GRID)
 def coverage_scan(spark, sf):
     made = coverages(_boxes(spark, sf), "http://wcs/?SERVICE=WCS", parameters={"COVERAGE": "dem"})
     corners = raster_corners(F.col("coverage"), F.col("box"))
-    return made.select("box_id", "coverage", corners[0][0].alias("left_x"), corners[0][1].alias("top_y"))
+    return made.select("box_id", "coverage", *[corners[i][j].alias(f"c{i}_{'xy'[j]}") for i in range(4) for j in range(2)])
 
 
 # ---- vectors and texts
@@ -624,14 +624,14 @@ def vector_overfetch_filter(spark, sf):
     return vectors.nearest_of_kind(terms, table.withColumnRenamed("vec_id", "entity"), F.col("label") < 5, k=5, threshold=-2.0)
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-.:/\\]+', ' ', 'g'), '\s+', ' ', 'g')) AS words, trim(regexp_replace(p_type, '[^0-9A-Za-z]+', '_', 'g'), '_') AS fragment FROM part")
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-.:/\\]+', ' ', 'g'), '\s+', ' ', 'g')) AS words, trim(regexp_replace('Población ' || p_type, '[^\pL\pN]+', '_', 'g'), '_') AS fragment FROM part")
 def text_normalize(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", scalars.search_text(F.col("p_name")).alias("words"), scalars.safe_fragment(F.col("p_type")).alias("fragment"))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", scalars.search_text(F.col("p_name")).alias("words"), scalars.safe_fragment(F.concat(F.lit("Población "), "p_type")).alias("fragment"))
 
 
-@query("SELECT page_id, regexp_extract(url, '[^/#]+$') AS name, split_part(url, '?', 1) AS base FROM pages")
+@query("SELECT page_id, regexp_extract(rtrim(url_decode(url || '%20x/'), '/#'), '[^/#]+$') AS name, split_part(url, '?', 1) AS base FROM pages")
 def local_name(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", scalars.local_name(F.col("url")).alias("name"), scalars.base_url(F.col("url")).alias("base"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", scalars.local_name(F.concat("url", F.lit("%20x/"))).alias("name"), scalars.base_url(F.col("url")).alias("base"))
 
 
 # ---- run analytics: events as a log of runs
@@ -694,7 +694,7 @@ def duplicate_adds(spark, sf):
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def call_totals(spark, sf):
+def call_hours(spark, sf):
     return call_windows(spark.read.parquet(f"{sf}/events.parquet")).withColumn("total", _round("total"))
 
 
@@ -711,11 +711,12 @@ def feature_legend(spark, sf):
     return results.legend(spark.read.parquet(f"{sf}/part.parquet"), "p_brand")
 
 
-@query("SELECT 'http://ex/vec/' || vec_id AS id, CAST(vec_id AS VARCHAR) AS fallback, CAST(label AS VARCHAR) AS label FROM embeddings")
+@query(f"SELECT 'http://ex/vec/' || vec_id AS id, round(px, 4) AS x, round(py, 4) AS y, CAST(label AS VARCHAR) AS label, '{{\"label\":[\"' || label || '\"],\"type\":[\"http://ex/Point\"]}}' AS properties FROM {_POINT} JOIN embeddings USING (vec_id)")
 def feature_properties(spark, sf):
     """Features of all subjects with a geometry; their properties folded to lists, their label by the chain of names."""
     found = results.features(graph(spark, sf, "point").triples())
-    return found.select("id", scalars.local_name(F.col("id")).alias("fallback"), "label")
+    at = geo.geometry("geometry")
+    return found.select("id", F.round(at["cx"], 4).alias("x"), F.round(at["cy"], 4).alias("y"), "label", F.to_json("properties").alias("properties"))
 
 
 @query("SELECT 'customer' AS collection, column_name AS property, CASE column_name WHEN 'c_custkey' THEN 'http://www.w3.org/2001/XMLSchema#long' WHEN 'c_nationkey' THEN 'http://www.w3.org/2001/XMLSchema#integer' WHEN 'c_acctbal' THEN 'http://www.w3.org/2001/XMLSchema#float' ELSE 'http://www.w3.org/2001/XMLSchema#string' END AS range FROM (DESCRIBE customer)")
@@ -752,7 +753,7 @@ def log_lines(spark, sf):
     return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", scalars.log_level(line).alias("level"), scalars.log_message(line).alias("message"))
 
 
-@query("SELECT 'class' AS kind, 1 AS total, 1 AS aligned, 100.0 AS coverage_pct UNION ALL SELECT 'property', 5, 2, 40.0")
+@query("SELECT 'class' AS kind, 1 AS total, 1 AS aligned, 100.0 AS coverage_pct UNION ALL SELECT 'property', count(*), 2, round(200.0 / count(*), 4) FROM (DESCRIBE customer)")
 def alignment_coverage(spark, sf):
     rows = generate.schema_rows(spark.read.parquet(f"{sf}/customer.parquet"), "customer")
     told = generate.ontology(rows, "http://ex/")
@@ -767,3 +768,6 @@ def rule_selection(spark, sf):
     g = graph(spark, sf)
     sizes = selection_sizes([("?c", TYPE, EX.Customer), ("?c", EX.name, "?n"), ("?c", EX.balance, "?b")], g.rules)
     return spark.createDataFrame(sorted(sizes.items()), "selection string, rules int")
+
+
+from graphloom import queries_operators  # noqa: E402, F401  (adds to the catalogue)
