@@ -32,15 +32,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The application's own folder below the one named in spark.checkpoint.dir; it can be deleted after the application.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext.getCheckpointDir()
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not found:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
             found = spark.sparkContext.getCheckpointDir()
         folder = found
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

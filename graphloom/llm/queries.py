@@ -1,4 +1,4 @@
-"""The thin queries opN_<name> of the operators, their SQL, and the pipeline."""
+"""The thin queries opN_<name> of the operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, sql, substrings, token_counts, topk
 from graphloom.llm.spans import written
 
@@ -75,9 +74,8 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup)
-    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_exact_topk": sql.OP2, "op10_substring_dedup": sql.OP10, "pipeline": corpus_pipeline.ORACLE_SQL}
-    return {name: text for name, text in found.items() if text}
+    return {"op2_exact_topk": sql.OP2, "op10_substring_dedup": sql.OP10}
