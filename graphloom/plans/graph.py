@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.geodesy import buffered
+from graphloom.functions.geometry import envelope, geometry
 from graphloom.functions.terms import GEOMETRY, Const, Ref, Template, TermType, compatible, constant, dynamic, shape_of, typed
 from graphloom.operators.closure import closure
+from graphloom.operators.durable import durable
 from graphloom.operators.solutions import Solutions, Var
 from graphloom.operators.spatial import Relation, related, spatial_filter
 from graphloom.plans import rules as selection
 from graphloom.plans.paths import Alt, Inv, Maybe, Path, Plus, Seq, Star
 from graphloom.plans.rules import is_var
+from graphloom.sources.features import distinct_boxes
 from graphloom.sources.mapping import Parent, Rule, TriplesMap, rules_of
 from graphloom.sources.paths import iterate, value
 
@@ -32,15 +36,20 @@ def _typed(shape: TermType, x: Column) -> Column:
 
 
 class VirtualGraph:
-    """maps: the mapping. order: ``static`` (by score), or ``random`` with a seed. push: constants reach the scans."""
+    """maps: the mapping. order: ``static`` (by score), or ``random`` with a seed. push: constants reach the scans.
 
-    def __init__(self, spark: SparkSession, maps: Sequence[TriplesMap], order: str = "static", seed: int = 42, push: bool = True, select: str = "unification"):
+    most: a remote source is asked by as many values or boxes of the solutions so far; beyond it, it is read as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, maps: Sequence[TriplesMap], order: str = "static", seed: int = 42, push: bool = True, select: str = "unification", most: int = 200):
         self.spark, self.order, self.seed, self.push = spark, order, seed, push
         self.maps = {m.name: m for m in maps}
         self.rules = rules_of(list(maps))
         self.choose = {"unification": selection.candidates, "star": selection.by_star, "pattern": selection.by_pattern}[select]
         self.subjects = {m.name: m.subject for m in maps}
+        self.most = most
         self._rows: dict[str, DataFrame] = {}
+        self._ask: dict[str, list[dict[str, str]]] = {}
         self._fresh = 0
 
     # ---- patterns
@@ -58,8 +67,9 @@ class VirtualGraph:
         for s, p, o in patterns:
             o = o if isinstance(o, Const) or is_var(o) else Const.literal(o)
             (paths if isinstance(p, Path) else plain).append((s, p, o))
-        parts = self._stars(plain, spatial or {}) if plain else []
-        parts += [self._path(*p) for p in paths]
+        stars = self._stars(plain, spatial or {}) if plain else []
+        parts = [self._star(*star) for star in stars] + [self._path(*p) for p in paths]
+        later = [*stars, *([None] * len(paths))]
         left = list(where)
 
         def filtered(part: Solutions) -> Solutions:
@@ -70,24 +80,74 @@ class VirtualGraph:
             return part
 
         parts = [filtered(p) for p in parts]
-        out, rest = parts[0], parts[1:]
+        out, rest, later = parts[0], parts[1:], later[1:]
+
+        def taken(k: int, relations: Sequence[Relation]) -> Solutions:
+            """The k-th of the rest; a remote source is asked by what the solutions so far bind, where it can be."""
+            nonlocal out
+            part, star = rest.pop(k), later.pop(k)
+            if star is None or not self.push:
+                return part
+            out, asked = self._asked(out, star, relations)
+            return filtered(asked) if asked is not None else part
+
         while rest:  # stay connected where the pattern is
             k = next((k for k, part in enumerate(rest) if set(part.vars) & set(out.vars)), None)
             if k is not None:
-                out = filtered(out.join(rest.pop(k)))
+                part = taken(k, ())
+                out = filtered(out.join(part))
                 continue
             between = [[r for r in left if r.vars <= set(out.vars) | set(part.vars)] for part in rest]
             k = next((k for k, found in enumerate(between) if found), None)
             if k is None:
+                later.pop(0)
                 out = out.join(rest.pop(0))
                 continue
             left = [r for r in left if r not in between[k]]
-            out = filtered(related(out, rest.pop(k), between[k], smallest))
+            part = taken(k, between[k])
+            out = filtered(related(out, part, between[k], smallest))
         if left:
             raise ValueError(f"no pattern binds the variables of {left}")
         return out
 
-    def _stars(self, patterns: list, spatial: dict[str, bool]) -> list[Solutions]:
+    def _asked(self, out: Solutions, star: tuple, relations: Sequence[Relation]) -> tuple[Solutions, Solutions | None]:
+        """out (written, if it has been looked at) and the star's solutions from a remote source that is asked by values of
+        out's variables or boxes around its geometries; None if the source isn't remote or there are too many of them."""
+        patterns, chosen = star
+        maps = {r.map.name: r.map for part in chosen for r in part}
+        m = next(iter(maps.values())) if len(maps) == 1 else None
+        if m is None or m.source.remote is None or not all(len(part) == 1 for part in chosen):
+            return out, None
+        push = m.pushed()
+        for (_, _, o), (rule,) in zip(patterns, chosen, strict=True):
+            if not is_var(o) or not isinstance(rule.object, Ref) or rule.object.path not in push:
+                continue
+            near = next((r for r in relations if o[1:] in r.vars and (r.vars - {o[1:]}) & set(out.vars)), None)
+            if near is None and o[1:] not in out.vars:
+                continue
+            out = replace(out, df=durable(out.df, "asking"))
+            if near is None:
+                values = out.df.select(out.term(o[1:]).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(self.most + 1).collect()
+                ask = [{rule.object.path: r["v"]} for r in values]
+            else:
+                other = next(iter(near.vars - {o[1:]}))
+                box = envelope(geometry(out.term(other).cast("string")))
+                box = buffered(box, F.lit(near.metres)) if near.metres is not None else box
+                rows = out.df.select(box.alias("b")).filter("b IS NOT NULL").distinct().limit(self.most + 1).select("b.*").collect()
+                values = rows if len(rows) > self.most else distinct_boxes([tuple(r) for r in rows])
+                ask = [{"bbox": ",".join(map(str, b))} for b in values]
+            if len(values) > self.most:
+                continue
+            self._ask[m.name] = ask
+            try:
+                found = self._star(*star)
+            finally:
+                del self._ask[m.name]
+            return out, found if near is None else found.distinct()  # boxes may share features; triples are a set
+        return out, None
+
+    def _stars(self, patterns: list, spatial: dict[str, bool]) -> list[tuple]:
+        """Patterns and their rules, subject by subject, in order."""
         chosen = dict(zip(map(tuple, patterns), self.choose(patterns, self.rules), strict=True))
         groups: dict[object, list] = {}
         for p in patterns:
@@ -96,7 +156,7 @@ class VirtualGraph:
             ordered = sorted(groups.values(), key=lambda g: -selection.score(g, spatial))
         else:
             ordered = random.Random(self.seed).sample(list(groups.values()), len(groups))
-        return [self._star(g, [chosen[p] for p in g]) for g in ordered]
+        return [(g, [chosen[p] for p in g]) for g in ordered]
 
     def _star(self, star: list, chosen: list[list[Rule]]) -> Solutions:
         maps = {r.map.name: r.map for part in chosen for r in part}
@@ -133,6 +193,8 @@ class VirtualGraph:
     # ---- scans
 
     def _source(self, m: TriplesMap) -> DataFrame:
+        if m.source.remote is not None:
+            return iterate(m.source.remote.read(self.spark, m.pushed() if self.push else None, self._ask.get(m.name)), m.source.iterator)
         if m.source.name not in self._rows:
             self._rows[m.source.name] = iterate(m.source.read(self.spark), m.source.iterator)
         return self._rows[m.source.name]

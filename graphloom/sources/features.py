@@ -5,7 +5,8 @@
 
 A column ``x`` is the feature's ``properties.x``, or its own member of that name (id, geometry as JSON). Equality filters
 and the box reach the URL where ``push`` names their parameters, as ``column=parameter,...``; Spark keeps the filters, as a
-service may ignore them. With ``total`` and ``limit`` known, pages are read by as many tasks; otherwise one task follows
+service may ignore them. ``ask``, a JSON list of column (or ``bbox``) -> value, makes one request for each entry instead of
+one for everything: that is how values of another source's solutions are passed on. With ``total`` and ``limit`` known, pages are read by as many tasks; otherwise one task follows
 the next links. A request that fails is an error; ``on_error=empty`` makes it an end of pages.
 """
 
@@ -21,8 +22,20 @@ from pyspark.sql.types import StructType
 
 
 class _Page(InputPartition):
-    def __init__(self, url: str, follow: bool):
-        super().__init__((url, follow))
+    """A URL, whether to follow its next links, and (column, value) pairs that features must have."""
+
+    def __init__(self, url: str, follow: bool, held: tuple[tuple[str, str], ...] = ()):
+        super().__init__((url, follow, held))
+
+
+def distinct_boxes(boxes: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
+    """Boxes that lie in no other: a request for the outer one brings what the inner one asks for."""
+    holds = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3]
+    out: list[tuple[float, ...]] = []
+    for b in sorted(set(boxes), key=lambda b: (-(b[2] - b[0]) * (b[3] - b[1]), b)):
+        if not any(holds(a, b) for a in out):
+            out.append(b)
+    return out
 
 
 def with_parameters(url: str, parameters: dict[str, object]) -> str:
@@ -49,13 +62,18 @@ class _Reader(DataSourceReader):
         if box := self.options.get("bbox"):
             asked["bbox"] = box
         url = with_parameters(self.options["url"], asked) if asked else self.options["url"]
+        if "ask" in self.options:
+            each = json.loads(self.options["ask"])
+            inside = lambda a: tuple((c, v) for c, v in a.items() if c != "bbox")
+            return [_Page(with_parameters(url, {self.parameters.get(c, c): v for c, v in a.items()}), True, inside(a)) for a in each]
         limit, total = int(self.options.get("limit", 0)), int(self.options.get("total", 0))
         if limit and total:
             return [_Page(with_parameters(url, {"limit": limit, "offset": at}), False) for at in range(0, total, limit)]
         return [_Page(with_parameters(url, {"limit": limit}) if limit else url, True)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        url, follow = partition.value
+        url, follow, held = partition.value
+        at = [(self.schema.fieldNames().index(c), v) for c, v in held]
         seen = set()
         while url and url not in seen:
             seen.add(url)
@@ -67,7 +85,9 @@ class _Reader(DataSourceReader):
                     return
                 raise
             for feature in page.get("features", []):
-                yield tuple(self._cell(feature, f.name) for f in self.schema.fields)
+                row = tuple(self._cell(feature, f.name) for f in self.schema.fields)
+                if all(row[i] is not None and str(row[i]) == v for i, v in at):  # a service may ignore a parameter
+                    yield row
             links = [x.get("href") for x in page.get("links", []) if x.get("rel") == "next"]
             url = urllib.parse.urljoin(url, links[0]) if follow and links else None
 

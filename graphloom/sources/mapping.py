@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.functions.terms import RDF_TYPE, Const, Ref, Template
+from graphloom.sources.features import FeaturesSource
+
+
+@dataclass(frozen=True)
+class RemoteFeatures:
+    """A features service: its items' URL, the columns to read, and options of the reader."""
+
+    url: str
+    schema: str
+    options: tuple[tuple[str, str], ...] = ()
+
+    def read(self, spark: SparkSession, push: dict[str, str] | None = None, ask: list[dict[str, str]] | None = None) -> DataFrame:
+        """push: which columns' equality filters reach the URL, as column -> parameter. ask: requests to make instead of
+        one for everything, each as column (or ``bbox``) -> value."""
+        spark.dataSource.register(FeaturesSource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        told = dict(self.options) | {"url": self.url}
+        if push:
+            told["push"] = ",".join(f"{c}={p}" for c, p in sorted(push.items()))
+        if ask is not None:
+            told["ask"] = json.dumps(ask)
+        return spark.read.format("features").schema(self.schema).options(**told).load()
 
 
 @dataclass(frozen=True)
@@ -17,6 +40,7 @@ class Source:
     name: str
     read: Callable[[SparkSession], DataFrame] = field(compare=False)
     iterator: str | None = None
+    remote: RemoteFeatures | None = field(default=None, compare=False)
 
     @staticmethod
     def parquet(name: str, path: str) -> Source:
@@ -36,6 +60,12 @@ class Source:
         """Documents of a given schema: nothing is inferred, and fields that no reference needs aren't parsed."""
         return Source(name, lambda spark: spark.read.schema(schema).json(path, multiLine=multi_line), iterator)
 
+    @staticmethod
+    def features(name: str, url: str, schema: str, **options: str) -> Source:
+        """A paged features service. What the maps over it declare in ``push`` reaches its URL."""
+        remote = RemoteFeatures(url, schema, tuple(sorted(options.items())))
+        return Source(name, remote.read, None, remote)
+
     @staticmethod
     def frame(name: str, make: Callable[[SparkSession], DataFrame], iterator: str | None = None) -> Source:
         return Source(name, make, iterator)
@@ -66,6 +96,11 @@ class TriplesMap:
     unique: bool = False
     push: tuple[tuple[str, str], ...] = ()
 
+    def pushed(self) -> dict[str, str]:
+        """Column -> URL parameter, from push: the columns that the predicates' objects refer to."""
+        wanted = {str(getattr(p, "value", p)): parameter for p, parameter in self.push}
+        return {o.path: wanted[str(getattr(p, "value", p))] for p, o in self.objects if str(getattr(p, "value", p)) in wanted and isinstance(o, Ref)}
+
     def rules(self) -> list[Rule]:
         typed = [Rule(self, RDF_TYPE, Const(c)) for c in self.classes]
         return typed + [Rule(self, str(getattr(p, "value", p)), o) for p, o in self.objects]

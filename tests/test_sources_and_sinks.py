@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom import Const, Namespace, Ref, Solutions, Source, Template, TriplesMap, VirtualGraph
 from graphloom.functions.terms import GEO, RDF_TYPE, XSD
+from graphloom.operators.spatial import Relation
 from graphloom.sinks import results
 from graphloom.sources.coverage import coverages, raster_corners
 from graphloom.sources.features import FeaturesSource
@@ -32,6 +33,9 @@ def service():
                 self.send_error(500)
                 return
             chosen = [f for f in FEATURES if "name" not in query or f["properties"]["name"] == query["name"]]
+            if "bbox" in query:
+                x0, y0, x1, y1 = map(float, query["bbox"].split(","))
+                chosen = [f for f in chosen if x0 <= f["geometry"]["coordinates"][0] <= x1 and y0 <= f["geometry"]["coordinates"][1] <= y1]
             at, limit = int(query.get("offset", 0)), int(query.get("limit", 4))
             links = [{"rel": "self", "href": self.path}]
             if at + limit < len(chosen):
@@ -76,6 +80,43 @@ def test_pushed_filter(spark, service):
     assert {r.id for r in rows} == {"f1", "f4", "f7"} and all(q.get("name") == "n1" for q in asked) and asked
 
 
+def _remote(spark, url, **options):
+    things = TriplesMap("thing", Source.features("items", url + "/items", "id string, geometry string, name string, area double"), Template("http://ex/thing/{id}"), ((EX.name, Ref("name")), (EX.area, Ref("area", XSD + "double")), (GEO + "hasGeometry", Ref("geometry", GEO + "geoJSONLiteral"))), (EX.Thing.value,), True, ((EX.name, "name"), (GEO + "hasGeometry", "bbox")))
+    near = TriplesMap("near", Source.frame("near", lambda s: s.createDataFrame([(1, "n1", "POLYGON((3 3, 6 3, 6 6, 3 6, 3 3))"), (2, "n1", "POLYGON((4 4, 5 4, 5 5, 4 5, 4 4))"), (3, "n9", "POLYGON((50 50, 51 50, 51 51, 50 51, 50 50))")], "k long, name string, wkt string")), Template("http://ex/near/{k}"), ((EX.called, Ref("name")), (GEO + "hasGeometry", Ref("wkt", GEO + "wktLiteral"))), (EX.Near.value,), True)
+    return VirtualGraph(spark, [things, near], **options)
+
+
+def test_constants_reach_a_service(spark, service):
+    url, asked = service
+    del asked[:]
+    rows = _remote(spark, url).match(("?t", EX.name, "n1"), ("?t", EX.area, "?area")).frame().collect()
+    assert {r.t for r in rows} == {"http://ex/thing/f1", "http://ex/thing/f4", "http://ex/thing/f7"}
+    assert asked and all(q.get("name") == "n1" for q in asked)
+
+
+def test_values_reach_a_service(spark, service):
+    """The solutions so far ask a remote source: one request for each value, none for everything."""
+    url, asked = service
+    pattern = [("?k", EX.called, "?name"), ("?k", Const(RDF_TYPE), EX.Near), ("?t", EX.name, "?name"), ("?t", EX.area, "?area")]
+    wanted = {(f"http://ex/near/{k}", f"http://ex/thing/f{i}") for k in (1, 2) for i in (1, 4, 7)}
+    for options, few in (({}, True), ({"most": 1}, False)):
+        del asked[:]
+        rows = _remote(spark, url, **options).match(*pattern).frame().collect()
+        assert {(r.k, r.t) for r in rows} == wanted and len(rows) == 6
+        assert asked and all(("name" in q) == few for q in asked)
+    assert {q["name"] for q in asked if "name" in q} <= {"n1", "n9"}
+
+
+def test_boxes_reach_a_service(spark, service):
+    """Boxes that lie in others aren't asked for."""
+    url, asked = service
+    del asked[:]
+    pattern = [("?k", Const(RDF_TYPE), EX.Near), ("?k", Const(GEO + "hasGeometry"), "?gk"), ("?t", Const(RDF_TYPE), EX.Thing), ("?t", Const(GEO + "hasGeometry"), "?gt")]
+    rows = _remote(spark, url, seed=1).match(*pattern, where=[Relation("gk", "gt", "intersects")]).select("k", "t").frame().collect()
+    assert {(r.k, r.t) for r in rows} == {("http://ex/near/1", f"http://ex/thing/f{i}") for i in (3, 4, 5, 6)} | {("http://ex/near/2", f"http://ex/thing/f{i}") for i in (4, 5)}
+    assert {q.get("bbox") for q in asked} == {"3.0,3.0,6.0,6.0", "50.0,50.0,51.0,51.0"}
+
+
 def test_failures(spark, service):
     with pytest.raises(Exception):  # noqa: B017
         reader(spark, service[0] + "/broken").load().collect()
