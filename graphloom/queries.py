@@ -528,46 +528,46 @@ _NEAR = f"{_metres('px + 3', 'py + 3', 'tx', 'ty')} < 250000"
 
 
 @query(f"SELECT 'http://ex/patch/' || vec_id AS w FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} WHERE box_id = 27")
-def q01_shape(spark, sf):
+def shape_q01(spark, sf):
     """Features in a named area."""
     found = graph(spark, sf, "box patch").match(*_BOX(("?s", EX.cell, 27)), *_PATCH, where=[Relation("gs", "gw", "contains")], smallest=6.0)
     return found.select("w").frame()
 
 
 @query(f"SELECT 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE box_id = 27 AND {_NEAR}")
-def q02_shape(spark, sf):
+def shape_q02(spark, sf):
     """Features of two kinds in a named area, near each other: the distance joins them, the areas filter."""
     return graph(spark, sf, "box patch point").match(*_BOX(("?s", EX.cell, 27)), *_PATCH, *_DOT, where=_CHAIN, smallest=2.0).select("w", "t").frame()
 
 
 @query(f"SELECT 'http://ex/box/' || box_id AS s, 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t FROM {_GRID} JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE box_id // 8 = 4 AND {_NEAR}")
-def q03_shape(spark, sf):
+def shape_q03(spark, sf):
     """The same for areas of a row of the grid."""
     return graph(spark, sf, "box patch point").match(*_BOX(("?s", EX.row, 4)), *_PATCH, *_DOT, where=_CHAIN, smallest=2.0).select("s", "w", "t").frame()
 
 
 @query(f"SELECT 'http://ex/event/' || event_id AS o, 'http://ex/patch/' || w.vec_id AS w FROM events JOIN {_GRID} ON user_id = box_id JOIN {_SQUARES} ON {_IN_BOX} WHERE event_type = 'click'")
-def q04_shape(spark, sf):
+def shape_q04(spark, sf):
     """Observations that a literal ties to an area, and the features in it."""
     found = graph(spark, sf, "box patch event").match(*_BOX(("?s", EX.cell, "?u")), ("?o", EX.user, "?u"), ("?o", EX.kind, "click"), *_PATCH, where=[Relation("gs", "gw", "contains")], smallest=6.0)
     return found.select("o", "w").frame()
 
 
 @query("SELECT DISTINCT 'http://ex/series/' || l_orderkey AS s, l_quantity AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-def q05_shape(spark, sf):
+def shape_q05(spark, sf):
     """Values of nested series that two of their facts choose."""
     return _json_graph(spark, sf).match(("?s", EX.status, "F"), ("?s", EX.priority, "1-URGENT"), ("?s", EX.value, "?value")).frame()
 
 
 @query(f"SELECT 'http://ex/vec/' || t.vec_id AS t, label FROM {_GRID} JOIN {_POINTS} ON {_POINT_IN_BOX} JOIN embeddings e ON e.vec_id = t.vec_id WHERE box_id = 27 ORDER BY label, t")
-def q06_shape(spark, sf):
+def shape_q06(spark, sf):
     """Features in a named area in the order of a property."""
     found = graph(spark, sf, "box point").match(*_BOX(("?s", EX.cell, 27)), *_DOT, ("?t", EX.label, "?label"), where=[Relation("gt", "gs", "within")], smallest=10.0)
     return found.select("t", "label").order_by(F.col("label").asc(), F.col("t").asc()).frame()
 
 
 @query(f"SELECT 'http://ex/event/' || event_id AS o, 'http://ex/patch/' || w.vec_id AS w, 'http://ex/vec/' || t.vec_id AS t, round(value, 4) AS value, 'http://wcs/?SERVICE=WCS&BBOX=' || y || ',' || x || ',' || (y + 10) || ',' || (x + 10) || '&COVERAGE=dem' AS i FROM events JOIN {_GRID} ON user_id = box_id JOIN {_SQUARES} ON {_IN_BOX} JOIN {_POINTS} ON {_POINT_IN_BOX} WHERE event_type = 'click' AND {_NEAR}")
-def q07_shape(spark, sf):
+def shape_q07(spark, sf):
     """Areas with their observations, features of two kinds near each other in them, and the coverage around."""
     chain = (Relation("gi", "gs", "contains"), *_CHAIN)
     patterns = [*_BOX(("?s", EX.cell, "?u")), *_PATCH, *_DOT, ("?o", EX.user, "?u"), ("?o", EX.kind, "click"), ("?o", EX.value, "?value"), ("?i", TYPE, EX.Coverage), ("?i", EX.coverage, "dem"), ("?i", _HAS, "?gi")]
