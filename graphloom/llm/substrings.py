@@ -1,17 +1,19 @@
 """Removal of word sequences that an earlier document has too, by suffix automata of reference passages.
 
 A window is WINDOW consecutive words. Matching every document against automata of the whole corpus would cost the square
-of its size, so fingerprints first choose the reference passages each document needs; automata then decide.
+of its size, so fingerprints first choose the shards of reference text that each document needs; automata then decide.
 
 1. Each window's smallest hash of ANCHOR words is its anchor, the same wherever the window stands. Neighbouring windows
    with one anchor form a run, known by its anchor and the hash of all its words.
 2. Of the runs whose anchor stands in more than one document, an equal run in an earlier document settles all windows of
    a run at once. Where an anchor has several different runs, the first document of each passes on its window hashes,
    and equal ones lead to the earliest document.
-3. The wanted runs of the documents so found are cut out as passages (PASSAGE runs at most, whole windows), the
-   shards of reference text; each document receives the passages that it needs, and no others.
-4. A suffix automaton of a document's passages, whose states know the smallest id they stand in, reads the document.
+3. The stretches of all these runs are cut out as pieces (PASSAGE runs at most, whole windows). Equal hashes lead each
+   piece to the earliest one that shares a run or a window with it, its reference.
+4. References are dealt by hash to shards of about SHARD_BYTES, neighbours together. Of each shard one suffix automaton
+   is built, whose states know the smallest id they stand in; the pieces that need the shard are streamed through it.
    Where the matching statistic reaches WINDOW words of a smaller id, those words are marked; marked spans go.
+   A shard with many pieces is matched in several parts of about PART pieces, each with a copy of the shard.
 
 Nothing is pairwise: a passage of a million documents is met by each of them through its first document only. All
 groupings are minima that combine before a shuffle.
@@ -34,8 +36,10 @@ from pyspark.sql import types as T
 from graphloom.llm.common import Words, mix, parted_by, perhaps_among, small_batches, stored, texts, windows
 
 WINDOW, ANCHOR = 50, 8
-#: Windows in a run, and runs in a passage, at most.
+#: Windows in a run, and runs in a piece, at most.
 RUN, PASSAGE = 64, 16
+#: Bytes of references in a shard, on average; pieces of one text that are neighbours in a shard; pieces in a part of a shard.
+SHARD_BYTES, NEIGHBOURS, PART = 256 << 10, 8, 4096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -172,98 +176,144 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType())]))
 
 
-def _passages(wanted: DataFrame, window: int) -> DataFrame:
-    """From id, text, settled and open (arrays of runs): rows of kind ``text`` (a passage, no), ``run`` (hash: a
-    settled run in passage no) and ``window`` (hash: a window of an open run in passage no)."""
+def _pieces(wanted: DataFrame, window: int) -> DataFrame:
+    """From id, row, text, settled and open (arrays of runs): the stretches of a text that the runs cover, cut into
+    pieces of PASSAGE runs at most. A piece is a row with its text and first word, and a row for each hash that it is
+    found by: those of settled runs, and of the windows of open ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, kinds, hashes, numbers, passages = [], [], [], [], []
-            for row, (data, settled, opened) in enumerate(zip(texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            take, no, hashes, starts, texts_ = [], [], [], [], []
+            for i, (data, settled, opened) in enumerate(zip(texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 words = Words(data)
                 found = Runs(words.hashes, window)
                 keys = found.key.view(np.int64)
-                in_settled, in_open = np.isin(keys, settled or []), np.isin(keys, opened or [])
-                first = np.zeros(len(keys), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                at = np.flatnonzero((in_settled | in_open) & first)
-                no, start = -1, None
-                for j, i in enumerate(at):
-                    if start is None or i != at[j - 1] + 1 or j - start >= PASSAGE:
-                        no, start = no + 1, j
-                    if j + 1 == len(at) or at[j + 1] != i + 1 or j + 1 - start >= PASSAGE:
-                        text = b" ".join(words.span(found.first[at[start]], found.first[i] + found.count[i] + window - 1))
-                        take.append(row), kinds.append("text"), hashes.append(0), numbers.append(no), passages.append(text)
-                    if in_settled[i]:
-                        take.append(row), kinds.append("run"), hashes.append(int(keys[i])), numbers.append(no), passages.append(None)
-                    if in_open[i]:
-                        many = found.window_hashes(i).view(np.int64).tolist()
-                        take += [row] * len(many)
-                        kinds += ["window"] * len(many)
-                        hashes += many
-                        numbers += [no] * len(many)
-                        passages += [None] * len(many)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(passages, pa.binary())], ["id", "kind", "hash", "no", "passage"])
-
-    schema = T.StructType([wanted.schema["id"], T.StructField("kind", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("passage", T.BinaryType())])
-    return wanted.select("id", "text", "settled", "open").mapInArrow(run, schema)
-
-
-def _needs(docs: DataFrame, window: int) -> DataFrame:
-    """id and the passages (owner, passage) that each document must be matched with."""
-    runs = stored(_runs(docs, window), "sub-runs")
+                in_settled, in_open = (np.isin(keys, np.array(k or [], np.int64)) for k in (settled, opened))
+                at = np.flatnonzero(in_settled | in_open)
+                if not len(at):
+                    continue
+                fresh = np.concatenate([[True], np.diff(at) != 1])
+                place = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                fresh |= place % PASSAGE == 0
+                piece = np.cumsum(fresh) - 1
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(at)) - 1
+                begin, end = found.first[at[first]], found.first[at[last]] + found.count[at[last]] + window - 1
+                passages = [words.data[words.starts[x] : words.ends[y - 1]] for x, y in zip(begin, end, strict=True)]
+                runs, spread = at[in_settled[at]], at[in_open[at]]
+                many = found.count[spread]
+                inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                by_window = found.hashed(np.repeat(found.first[spread], many) + inner, window).view(np.int64)
+                numbers = (np.arange(len(first)), piece[in_settled[at]], np.repeat(piece[in_open[at]], many))
+                known = np.concatenate([keys[runs], by_window])
+                take.append(np.full(len(first) + len(known), i))
+                no.append(np.concatenate(numbers))
+                hashes.append(pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(known)]))
+                starts.append(pa.concat_arrays([pa.array(begin.astype(np.int64)), pa.nulls(len(known), pa.int64())]))
+                texts_.append(pa.concat_arrays([pa.array(passages, pa.binary()), pa.nulls(len(known), pa.binary())]))
+            if take:
+                rows = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(no).astype(np.int32)), pa.concat_arrays(hashes), pa.concat_arrays(starts), pa.concat_arrays(texts_)],
+                    ["id", "row", "no", "hash", "start", "passage"],
+                )
+
+    schema = T.StructType([wanted.schema["id"], wanted.schema["row"], T.StructField("no", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("start", T.LongType()), T.StructField("passage", T.BinaryType())])
+    return wanted.select("id", "row", "text", "settled", "open").mapInArrow(run, schema)
+
+
+def _dealt(docs: DataFrame, window: int) -> DataFrame:
+    """Shards of reference pieces and the pieces of documents to be matched with each: shard, part, queried, id, row,
+    start, passage. A shard's references stand in each of its parts."""
+    runs = stored(_runs(docs.select("id", "text"), window), "sub-runs")
     shared = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("anchor")
     runs = stored(runs.join(shared, "anchor", "left_semi"), "sub-shared")
     firsts = stored(runs.groupBy("anchor", "run").agg(F.min("id").alias("first"), F.max("id").alias("last")), "sub-firsts")
-    settled = runs.join(firsts.filter("first < last"), ["anchor", "run"]).filter("id > first").select("id", "run", F.col("first").alias("owner"))
+    settled = runs.join(firsts.filter("first < last").select("anchor", "run"), ["anchor", "run"]).select("id", F.col("run").alias("settled"), F.lit(None).cast("long").alias("open"))
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     opened = firsts.join(several, "anchor", "left_semi").select(F.col("first").alias("id"), F.lit(None).cast("long").alias("settled"), F.col("run").alias("open"))
-    owned = firsts.filter("first < last").select(F.col("first").alias("id"), F.col("run").alias("settled"), F.lit(None).cast("long").alias("open"))
-    wanted = opened.union(owned).groupBy("id").agg(F.collect_set("settled").alias("settled"), F.collect_set("open").alias("open"))
-    wanted = stored(wanted, "sub-wanted")
-    found = stored(_passages(perhaps_among(docs, wanted).join(wanted, "id"), window), "sub-passages")
-
-    hashed = found.filter("kind = 'window'").select("hash", "id", "no")
-    # written before they are joined: a hash or run that many documents have is then a skewed join side, which adaptive execution splits
-    earliest = stored(hashed.groupBy("hash").agg(F.min(F.struct("id", "no")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"), "sub-earliest")
-    by_window = hashed.join(earliest, "hash").filter("id > own.id").select("id", F.col("own.id").alias("owner"), F.col("own.no").alias("no"))
-    places = stored(found.filter("kind = 'run'").groupBy(F.col("hash").alias("run"), F.col("id").alias("owner")).agg(F.min("no").alias("no")), "sub-places")
-    by_run = settled.join(places, ["run", "owner"]).select("id", "owner", "no")
-    needed = by_window.union(by_run).distinct()
-    passages = found.filter("kind = 'text'").select(F.col("id").alias("owner"), "no", "passage").dropDuplicates(["owner", "no", "passage"])
-    return needed.join(passages, ["owner", "no"]).groupBy("id").agg(F.collect_list(F.struct("owner", "passage")).alias("passages"))
+    wanted = stored(opened.union(settled).groupBy("id").agg(F.collect_set("settled").alias("settled"), F.collect_set("open").alias("open")), "sub-wanted")
+    pieces = stored(_pieces(perhaps_among(docs, wanted).join(wanted, "id"), window), "sub-pieces")
+
+    hashed = pieces.filter("hash IS NOT NULL").select("hash", "id", "row", "no")
+    # written before they are joined: a hash that many documents have is then a skewed join side, which adaptive execution splits
+    earliest = stored(hashed.groupBy("hash").agg(F.min(F.struct("id", "row", "no")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"), "sub-earliest")
+    needed = stored(hashed.join(earliest, "hash").filter("id > own.id").select("id", "row", "no", "own").distinct(), "sub-needed")
+
+    cut = pieces.filter("passage IS NOT NULL").select("id", "row", "no", "start", "passage").dropDuplicates(["id", "row", "no"])
+    owners = needed.select("own.*").distinct()
+    references = stored(cut.join(owners, ["id", "row", "no"], "left_semi"), "sub-references")
+    size = references.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    shards = F.lit(1 + size // SHARD_BYTES)
+    shard = lambda i, r, n: F.pmod(F.xxhash64(i, r, F.floor(n / NEIGHBOURS)), shards)
+    routed = needed.select("id", "row", "no", shard(F.col("own.id"), F.col("own.row"), F.col("own.no")).alias("shard")).distinct()
+    routed = stored(routed, "sub-routed")
+    parts = stored(routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "sub-parts")
+
+    held = references.withColumn("shard", shard(F.col("id"), F.col("row"), F.col("no"))).join(parts, "shard")
+    held = held.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("queried"), "id", "row", "start", "passage")
+    asked = routed.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id", "row", "no"), F.col("parts")).alias("part"), F.lit(True).alias("queried"), "id", "row", "no")
+    asked = asked.join(cut, ["id", "row", "no"]).select("shard", "part", "queried", "id", "row", "start", "passage")
+    return held.union(asked)
+
+
+def _spans(dealt: DataFrame, window: int) -> DataFrame:
+    """id, row, start and end (words) of what the automata mark, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, references, automaton = None, set(), None
+        for b in batches:
+            take, starts, ends = [], [], []
+            columns = [b.column(k).to_pylist() for k in (0, 2, 3, 5, 6)]
+            for i, (s, queried, key, start, passage) in enumerate(zip(*columns, strict=True)):
+                if s != shard:
+                    shard, references, automaton = s, set(), None
+                if not queried:
+                    references.add((key, passage))
+                    continue
+                if automaton is None:
+                    automaton, references = SuffixAutomaton([(k, p.split()) for k, p in sorted(references)]), set()
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], automaton.marked(passage.split(), key, window).astype(np.int8), [0]])))
+                take.append(np.full(len(edge) // 2, i))
+                starts.append(start + edge[0::2])
+                ends.append(start + edge[1::2])
+            if take:
+                rows = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays([b.column(3).take(rows), b.column(4).take(rows), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], ["id", "row", "start", "end"])
+
+    schema = T.StructType([dealt.schema["id"], dealt.schema["row"], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return dealt.repartition("shard", "part").sortWithinPartitions("shard", "queried").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, spans (array of first and end word of what is removed), kept (binary: the words
     that stay, joined by one space)."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    needs = stored(_needs(plain.filter("id IS NOT NULL AND text IS NOT NULL"), window), "sub-needs")
-    perhaps, others = parted_by(plain, needs)  # most documents need no passage and aren't shuffled
-    joined = perhaps.join(needs, "id", "left").unionByName(others, allowMissingColumns=True)
+    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.xxhash64("text"))
+    spans = _spans(_dealt(plain.filter("id IS NOT NULL AND text IS NOT NULL"), window), window)
+    losing = stored(spans.groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "sub-losing")
+    perhaps, others = parted_by(plain, losing)  # most documents lose nothing and aren't shuffled
+    joined = perhaps.join(losing, ["id", "row"], "left").unionByName(others, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[object, SuffixAutomaton | None] = (None, None)
         for b in batches:
             n, removed, spans, kept = [], [], [], []
-            for key, data, passages in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for data, found in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = data.split()
                 n.append(len(words))
-                if not passages:
-                    removed.append(0), spans.append([]), kept.append(b" ".join(words))
-                    continue
-                own = sorted({(p["owner"], p["passage"]) for p in passages})
-                if held[0] != own:
-                    held = own, SuffixAutomaton([(owner, passage.split()) for owner, passage in own])
-                gone = held[1].marked(words, key, window)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                edge = np.zeros(len(words) + 1, np.int64)
+                for s in found or ():
+                    edge[s["start"]] += 1
+                    edge[s["end"]] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                ends = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
                 removed.append(int(gone.sum()))
-                spans.append([{"start": int(a), "end": int(z)} for a, z in zip(edge[0::2], edge[1::2], strict=True)])
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+                spans.append([{"start": x, "end": y} for x, y in zip(ends[0::2], ends[1::2], strict=True)])
+                stay = zip([0, *ends[1::2]], [*ends[0::2], len(words)], strict=True)
+                kept.append(b" ".join([w for x, y in stay for w in words[x:y]]))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "spans", "kept"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([plain.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
-    return joined.select("id", "text", "passages").mapInArrow(run, schema).withColumnRenamed("id", doc_id)
+    return joined.select("id", "text", "spans").mapInArrow(run, schema).withColumnRenamed("id", doc_id)

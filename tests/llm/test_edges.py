@@ -347,6 +347,35 @@ def test_op10_overlaps_and_partial_copies(spark):
     assert got == brute.without_repeats(docs)
 
 
+def test_op10_many_shards_and_parts(spark, monkeypatch):
+    """Small shards, each in several parts: copies of copies, passages of several owners, one in nearly all documents."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(substrings, "NEIGHBOURS", 1)
+    monkeypatch.setattr(substrings, "PART", 5)
+    rng = random.Random(8)
+    base, common = prose(9, 3000).split(), prose(10, 90).split()
+    docs = [(0, " ".join(base[:2500]))]
+    for i in range(1, 120):
+        words = prose(3000 + i, rng.randrange(0, 80)).split()
+        for _ in range(rng.randrange(0, 4)):
+            a = rng.randrange(0, 2900)
+            words += base[a : a + rng.choice([49, 50, 55, 400, 1300])]
+        docs.append((i, " ".join(words + common + words[-60:])))
+    docs += [(200 + i, docs[7][1]) for i in range(40)] + [(300, docs[9][1] + " end"), (301, " ".join(common * 30))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = substrings.remove_repeats(frame).withColumn("h", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in found} == brute.without_repeats(docs)
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
+
+
+def test_op10_rows_of_one_id(spark):
+    """Rows of one id don't count against each other, and each loses what its own text repeats of smaller ids."""
+    a, b = prose(11, 80), prose(12, 90)
+    rows = [(1, a), (2, a + " x " + b), (2, b + " y " + a), (2, b), (2, None), (3, b), (None, a)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in found) == [(0, 80, 0), (1, 80, 0), (2, 0, 0), (2, 90, 0), (2, 171, 80), (2, 171, 80), (3, 90, 90)]
+
+
 OPERATORS = [f for n, f in sorted(q.queries().items()) if n != "pipeline"]
 
 
@@ -371,7 +400,7 @@ def test_stages_keep_columns(spark, docs):
 HELPERS = """
     id print sig node key u m component pivot size term entity near words base kin n_e n_t row others start end hits spans target source_size whole
     open p cut_a scale weight bin hash filter_at filter_word filter_bits filter_hit qr_votes pii_key pii_terms mix_u mix_copies secret_spans token_ids
-    decoded run anchor passages no kept n_removed x_1
+    decoded run anchor passages no kept n_removed shard part queried own parts x_1
 """.split()
 
 
