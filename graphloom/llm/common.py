@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: long texts stay small in a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: what a Python worker holds stays small, also where texts are long.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 4 << 20
 #: Bits of a filter of ids: SPARE for each id, rounded up to a power of two, between the two bounds (a million 64-bit words are broadcast at most).
@@ -26,9 +26,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches at BATCH_ROWS rows or fewer."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keeps Arrow batches at BATCH_ROWS rows and about BATCH_BYTES bytes or fewer, or at one row."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
