@@ -70,15 +70,18 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """For any context limits: limit, docs_over (longer documents), truncated_tokens (kept) and dropped_tokens."""
-    rows = [F.struct(F.lit(int(x)).cast("long").alias("limit")) for x in limits]
-    each = histogram.select("n_tokens", "n_docs", F.explode(F.array(*rows)).alias("at")).select("*", "at.limit")
-    kept = F.least("n_tokens", "limit") * F.col("n_docs")
-    return each.groupBy("limit").agg(
-        F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(kept).alias("truncated_tokens"),
-        F.sum(F.col("n_tokens") * F.col("n_docs") - kept).alias("dropped_tokens"),
-    )
+    """For any context limits: limit, docs_over (longer documents), truncated_tokens (kept) and dropped_tokens.
+
+    The suffix sums of the shortest length above a limit answer it; one aggregate finds these rows for all limits. An empty
+    histogram gives no rows.
+    """
+    n = F.col("n_tokens")
+    each = [F.struct(F.lit(int(x)).cast("long").alias("limit"), F.min(F.when(n > int(x), F.struct("n_tokens", "docs_ge", "tokens_ge"))).alias("next")) for x in limits]
+    found = histogram.agg(F.max("total_tokens").alias("total"), F.array(*each).alias("at")).filter("total IS NOT NULL")
+    row = found.select("total", F.explode("at").alias("at")).select("total", "at.limit", "at.next")
+    over, tokens = (F.coalesce(F.col(f"next.{c}"), F.lit(0)) for c in ("docs_ge", "tokens_ge"))
+    dropped = tokens - over * F.col("limit")
+    return row.select("limit", over.alias("docs_over"), (F.col("total") - dropped).alias("truncated_tokens"), dropped.alias("dropped_tokens"))
 
 
 def quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
