@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html, mixing, neardup, pii, quality, secrets, sql, substrings, token_counts, topk
+from graphloom.llm import bpe, fim, html, mixing, neardup, pii, quality, ranked, secrets, sql, substrings, token_counts, topk, toxicity
 from graphloom.llm.spans import written
 
 #: The rank file and pre-token pattern that op1 and op7 use.
@@ -72,10 +72,25 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.transform(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    digests = {"output_sha256": F.col("fim_output"), "restored_sha256": fim.restored(F.col("fim_output"), F.col("fim_form"))}
+    plain = {"n": "fim_units", "form": "fim_form", "prefix_chars": "fim_prefix_chars", "middle_chars": "fim_middle_chars"}
+    return made.select("doc_id", *[F.col(c).alias(n) for n, c in plain.items()], *[F.sha2(x, 256).alias(n) for n, x in digests.items()])
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked.search(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup)
+    operators = (op1_token_counts, op2_exact_topk, op3_minhash_neardup, op4_mix_sources, op5_html_text, op6_quality_rules, op7_bpe_codec, op8_pii, op9_secrets, op10_substring_dedup, op11_toxicity, op12_fill_in_middle, op13_ranked_search)
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": sql.OP2, "op10_substring_dedup": sql.OP10}
+    return {"op2_exact_topk": sql.OP2, "op10_substring_dedup": sql.OP10, "op12_fill_in_middle": sql.OP12, "op13_ranked_search": sql.OP13}
