@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine in block-max inverted lists, votes weighed by nearness.
 
 1. Examples: at most EXAMPLES labelled documents that ``learn`` allows, the same ones on each run (smallest hash of id).
-2. Features: terms of the examples whose presence and the label depend on each other (log-likelihood ratio of at least
-   LEAST, in SEEN examples or more), at most TERMS of them. Only these are ever broadcast, so that is bounded, too.
+2. Features: terms that speak for toxic: LIFT times as often toxic as the examples are, in SEEN of them or more, and not by
+   chance (log-likelihood ratio of at least LEAST); at most TERMS of them. Examples of one text count once here, as
+   copies are no evidence of their own. Only features are ever broadcast, so that is bounded, too.
 3. One pass over all documents keeps each one's features; document frequencies come from all of them.
 4. An example is a unit vector, equal vectors are one example with its rows' mean label. Each document finds its NEAREST
-   examples by the exact cosine, and their labels vote with the weight of the cosine to the POWER.
+   examples by the exact cosine, and their labels vote with the weight of the cosine to the POWER. All examples together
+   have one vote more, of weight WHOLE, so that far neighbours prove little.
 5. Votes become probabilities by isotonic regression over the examples, each judged without its own row.
 
 Documents are scored one by one, so neither a frequent text nor a long one gathers rows in a task. A document's label is no
@@ -35,9 +37,10 @@ from graphloom.llm.common import small_batches, stored, texts
 
 #: Bounds of what is broadcast: labelled examples, and terms that are features.
 EXAMPLES, TERMS = 1 << 13, 1 << 11
-#: A feature's log-likelihood ratio (15.14: one in ten thousand by chance) and examples at least.
-LEAST, SEEN = 15.14, 4
-NEAREST, POWER = 31, 4.0
+#: A feature's log-likelihood ratio (15.14: one in ten thousand by chance), examples, and share of toxic ones
+#: as a multiple of the whole share, at least.
+LEAST, SEEN, LIFT = 15.14, 4, 2.0
+NEAREST, POWER, WHOLE = 31, 4.0, 0.5
 #: Votes are counted in so many steps for the regression.
 STEPS = 64
 #: From here on a document is called toxic.
@@ -69,6 +72,7 @@ def features(found: DataFrame, most: int = TERMS) -> list[bytes]:
                 own = sorted({t for part in terms(data) for t in part})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([label] * len(own), pa.int32())], ["term", "label"])
 
+    found = found.dropDuplicates(["text"])
     total, toxic = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counted = found.select("text", "label").mapInArrow(run, "term binary, label int").groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
     n, t = F.col("n"), F.col("t")
@@ -79,7 +83,8 @@ def features(found: DataFrame, most: int = TERMS) -> list[bytes]:
     clean = float(total - toxic)
     rest = F.lit(total) - n
     ratio = 2 * (part(t, n, float(toxic)) + part(n - t, n, clean) + part(F.lit(toxic) - t, rest, float(toxic)) + part(rest - (F.lit(toxic) - t), rest, clean))
-    best = counted.filter(n >= SEEN).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST).orderBy(F.col("ratio").desc(), "term").limit(most)
+    speaks = t * float(total) >= n * float(toxic) * LIFT
+    best = counted.filter((n >= SEEN) & speaks).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST).orderBy(F.col("ratio").desc(), "term").limit(most)
     return sorted(bytes(r["term"]) for r in best.select("term").collect())
 
 
@@ -162,7 +167,8 @@ class Model:
             rows, toxic = rows - same, toxic - same * skip[1]
             near, cosines, toxic, rows = (x[rows > 0][:NEAREST] for x in (near, cosines, toxic, rows))
         weight = np.clip(cosines, 0, 1) ** POWER
-        share = float((weight * toxic / rows).sum() / weight.sum()) if len(near) else 0.0
+        mean = self.toxic.sum() / max(1, self.rows.sum())
+        share = float(((weight * toxic / rows).sum() + WHOLE * mean) / (weight.sum() + WHOLE))
         return share, [self.ids[i] for i in near], cosines.tolist()
 
     def probability(self, share: float) -> float:
