@@ -40,7 +40,7 @@ EXAMPLES, TERMS = 1 << 13, 1 << 11
 #: A feature's log-likelihood ratio (15.14: one in ten thousand by chance), examples, and share of toxic ones
 #: as a multiple of the whole share, at least.
 LEAST, SEEN, LIFT = 15.14, 4, 2.0
-NEAREST, POWER, WHOLE = 31, 4.0, 0.5
+NEAREST, POWER, WHOLE = 31, 4.0, 0.1
 #: Votes are counted in so many steps for the regression.
 STEPS = 64
 #: From here on a document is called toxic.
@@ -135,7 +135,7 @@ class Model:
     ids: list[int]
     own: dict[int, tuple[int, int]]  # id of an example: its vector, its label
     blank: int  # the vector without features, or -1
-    bounds: list[float] = field(default_factory=list)  # of votes, ascending, and the probability from each on
+    places: list[float] = field(default_factory=list)  # votes, ascending, and the probabilities there
     levels: list[float] = field(default_factory=list)
 
     def unit(self, own: bytes, tfs: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -172,21 +172,20 @@ class Model:
         return share, [self.ids[i] for i in near], cosines.tolist()
 
     def probability(self, share: float) -> float:
-        """The isotonic level of a vote."""
-        at = int(np.searchsorted(self.bounds, share, "right")) - 1
-        return self.levels[max(at, 0)] if self.levels else share
+        """The isotonic level of a vote, on a straight line between two levels."""
+        return float(np.interp(share, self.places, self.levels)) if self.levels else share
 
 
 def isotonic(values: list[float], rows: list[int], toxic: list[int]) -> tuple[list[float], list[float]]:
-    """From counts by ascending value: where each level of the closest rising step function begins, and the level."""
+    """From counts by ascending value: the closest rising function, as the places where each of its levels begins and ends
+    and the levels there."""
     blocks: list[list[float]] = []
     for v, n, t in zip(values, rows, toxic, strict=True):
-        blocks.append([v, n, t])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            _, n1, t1 = blocks.pop()
-            blocks[-1][1] += n1
-            blocks[-1][2] += t1
-    return [b[0] for b in blocks], [b[2] / b[1] for b in blocks]
+        blocks.append([v, v, n, t])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            _, last, n1, t1 = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + n1, blocks[-1][3] + t1]
+    return [p for b in blocks for p in b[:2]], [b[3] / b[2] for b in blocks for _ in range(2)]
 
 
 def _judged(vectors: DataFrame, model: Model) -> DataFrame:
@@ -234,8 +233,7 @@ def learned(spark: SparkSession, known: DataFrame, own: DataFrame, idf: np.ndarr
     votes = _judged(own, model).join(known.select("id", "label"), "id")
     step = F.round(F.col("share") * STEPS)
     levels = votes.groupBy((step / STEPS).alias("v")).agg(F.count("*").alias("n"), F.sum("label").alias("t")).orderBy("v").collect()  # STEPS rows and one
-    model.bounds, model.levels = isotonic(*zip(*levels, strict=True)) if levels else ([], [])
-    model.bounds = [b - 0.5 / STEPS for b in model.bounds]
+    model.places, model.levels = isotonic(*zip(*levels, strict=True)) if levels else ([], [])
     return model
 
 

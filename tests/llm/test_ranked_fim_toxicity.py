@@ -255,9 +255,9 @@ def test_nearest_examples_by_the_exact_cosine(spark):
         assert {i: c for c, i, _ in cosines}[r.near[0]] == pytest.approx(wanted[0]) if wanted else r.near == []
 
 
-def test_a_rising_step_function():
-    assert toxicity.isotonic([0.0, 0.5, 1.0], [10, 10, 10], [1, 5, 9]) == ([0.0, 0.5, 1.0], [0.1, 0.5, 0.9])
-    assert toxicity.isotonic([0.0, 0.5, 1.0], [10, 10, 10], [4, 2, 9]) == ([0.0, 1.0], [0.3, 0.9])
+def test_a_rising_function():
+    assert toxicity.isotonic([0.0, 0.5, 1.0], [10, 10, 10], [1, 5, 9]) == ([0.0, 0.0, 0.5, 0.5, 1.0, 1.0], [0.1, 0.1, 0.5, 0.5, 0.9, 0.9])
+    assert toxicity.isotonic([0.0, 0.5, 1.0], [10, 10, 10], [4, 2, 9]) == ([0.0, 0.5, 1.0, 1.0], [0.3, 0.3, 0.9, 0.9])
 
 
 def test_toxicity_edges(spark):
