@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import parted_by, perhaps_among, stored
 from graphloom.llm.components import components
-from graphloom.llm.spans import SPAN, blanked, replaced, spans
+from graphloom.llm.spans import SPAN, blanked, chunks, cut, let, replaced, spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: No later start in a run can match when the first fails, so each run is tried once: at its start or after a match.
@@ -98,15 +98,17 @@ def _holders(texts: DataFrame) -> DataFrame:
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, RUN)))
     hashed = split.select("pii_key", "base", "bare", F.array_distinct("raw").alias("raw"), F.array_distinct("words").alias("terms"), runs.alias("runs"))
 
-    def near(span: Column) -> Column:
-        left = F.substring("bare", F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR)))
-        around = _words(F.concat(left, F.lit(" "), F.substring("bare", span["end"] + 1, F.lit(NEAR))))
+    def near(span: Column, parts: Column, length: Column) -> Column:
+        left = cut(parts, F.greatest(span["start"] - NEAR, F.lit(0)), span["start"])
+        right = cut(parts, span["end"], F.least(span["end"] + NEAR, length))
         # words that the edges cut aren't terms of the text, or are others of it
-        return F.struct(F.concat_ws(":", span["kind"], F.lower(span["match"])).alias("entity"), F.array_intersect(around, "terms").alias("terms"))
+        words = F.array_intersect(_words(F.concat(left, F.lit(" "), right)), "terms")
+        return F.struct(F.concat_ws(":", span["kind"], F.lower(span["match"])).alias("entity"), words.alias("terms"))
 
+    beside = let(chunks(F.col("bare")), lambda parts: F.transform("base", lambda span: near(span, parts, F.char_length("bare"))))
     sketch = F.array(*[_least("runs", k) for k in range(SKETCHES)])
     lost, won = F.array_except("raw", "terms").alias("lost"), F.array_except("terms", "raw").alias("won")
-    return hashed.select("pii_key", F.transform("base", near).alias("near"), "terms", lost, won, sketch.alias("sketch"))
+    return hashed.select("pii_key", beside.alias("near"), "terms", lost, won, sketch.alias("sketch"))
 
 
 def _apart(each: DataFrame) -> DataFrame:
