@@ -5,7 +5,10 @@ has an entry (find-first-set in the upper word, then in the lower one); a bucket
 linked list, so equal ranks merge from the left. Entries whose pair has changed meanwhile are stale and skipped.
 A pre-token of n bytes takes O(n) queue operations, however long it is.
 
-Defined results: a null or empty text has no tokens and decodes to no bytes. Other columns pass through untouched.
+Defined results: a null or empty text has no tokens and decodes to no bytes; texts of any length, and single pre-tokens of
+any length, are encoded whole; equal texts get equal ids, and repeated rows stay as they are; of pairs of one rank the
+leftmost merges first; empty tables give no rows. Other columns pass through untouched, but those named like a new
+column, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import others, small_batches
 
 #: Bits in a word of the rank bitmap's lower level.
 WORD = 8
@@ -174,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     path: a rank file that every executor can read. Columns of docs that have the new names are replaced.
     """
     small_batches(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in (text, ids, count)]
+    rest = others(docs, text, ids, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
@@ -191,7 +194,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that ``ids`` stand for as binary column ``out``."""
     small_batches(encoded.sparkSession)
-    rest = [f for f in encoded.schema.fields if f.name != out]
+    rest = others(encoded, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes in an Arrow batch: what a Python worker holds stays small, also where texts are long.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
@@ -58,6 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, *names: str) -> list[T.StructField]:
+    """The fields of df but for those that have one of the names, in whatever case."""
+    taken = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in taken]
+
+
 def _fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, from the given ones."""
     taken, out = {c.lower() for c in df.columns}, []

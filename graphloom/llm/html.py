@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import others, small_batches
 
 WIDTH = 3
 #: A window surges at SURGE characters, or at this share of the page's largest window if that is less.
@@ -256,7 +256,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Replaces the column ``html`` by ``out``: the page's main text (string, never null)."""
     small_batches(pages.sparkSession)
-    rest = [f for f in pages.schema.fields if f.name not in (html, out)]
+    rest = others(pages, html, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

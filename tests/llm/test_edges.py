@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -469,3 +470,14 @@ def test_components_of_long_chains(spark):
 def test_html_is_given_other_columns(spark, folder):
     found = html.extract(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"), out="main")
     assert found.columns == ["page_id", "main"]
+
+
+def test_columns_that_clash_but_for_case(spark):
+    """Columns named like a new one in another case are replaced."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "a b", 3, b"x"), (2, None, 4, None)], "doc_id int, text string, N_Tokens int, Decoded binary")
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    assert coded.columns == ["doc_id", "token_ids", "n_tokens", "decoded"]
+    assert {r.doc_id: (r.n_tokens, bytes(r.decoded)) for r in coded.collect()} == {1: (2, b"a b"), 2: (0, b"")}
+    found = html.extract(spark.createDataFrame([(1, "<p>hello there</p>", "old")], "id int, html string, Text string"))
+    assert [tuple(r) for r in found.collect()] == [(1, "hello there")]
