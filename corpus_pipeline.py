@@ -1,8 +1,9 @@
 """A corpus from raw documents to token ids: five stages, each written as Parquet before the next one reads it.
 
 All stages but the last return the columns of ``documents``, whatever their names. Rows equal in doc_id are one document: the one with the smallest
-hash of its columns stays after the second stage; a null doc_id stays. Null and empty texts fail the quality rules. An
-empty table gives an empty result of the same columns.
+hash of its columns stays after the second stage; a null doc_id stays. Null and empty texts fail the quality rules. Texts
+of any length go through whole. Ties are settled by ids and hashes, so reruns agree. An empty table gives an empty result
+of the same columns. The last stage replaces columns named token_ids or n_tokens, in whatever case.
 """
 
 from __future__ import annotations
