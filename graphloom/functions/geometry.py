@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.shapes import relations
+
 #: rings: for areas, closed; a ring's first number is which polygon it belongs to. flat: x, y, x, y ...
 _BOUNDS = ("xmin", "ymin", "xmax", "ymax", "cx", "cy")
 GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("owner", T.ArrayType(T.IntegerType())), T.StructField("rings", T.ArrayType(T.ArrayType(T.DoubleType()))), *(T.StructField(c, T.DoubleType()) for c in _BOUNDS), T.StructField("srid", T.IntegerType()), T.StructField("plain", T.StringType())])
@@ -147,158 +149,6 @@ def geometry(text: pd.Series) -> pd.DataFrame:
 # ---- exact predicates
 
 
-class Shape:
-    """Points, segments and rings of a parsed geometry."""
-
-    def __init__(self, g):
-        self.kind = g["kind"]
-        self.rings = [np.asarray(r, float).reshape(-1, 2) for r in g["rings"]]
-        self.owner = np.asarray(g["owner"])
-        self.points = np.vstack(self.rings)
-        self.a = np.vstack([r[:-1] for r in self.rings]) if self.kind != "point" else np.empty((0, 2))
-        self.b = np.vstack([r[1:] for r in self.rings]) if self.kind != "point" else np.empty((0, 2))
-        self.scale = max(1.0, np.abs(self.points).max()) * 1e-12
-
-    def ends(self) -> np.ndarray:
-        """A line's boundary: ends that an odd number of its parts have."""
-        found = np.vstack([r[[0, -1]] for r in self.rings])
-        unique, times = np.unique(found, axis=0, return_counts=True)
-        return unique[times % 2 == 1]
-
-    def on_segments(self, p: np.ndarray) -> np.ndarray:
-        if not len(self.a):
-            return np.zeros(len(p), bool)
-        d, e = self.b - self.a, p[:, None, :] - self.a
-        length = np.hypot(d[:, 0], d[:, 1])
-        off = np.abs(d[:, 0] * e[..., 1] - d[:, 1] * e[..., 0]) <= self.scale * np.maximum(length, 1e-300) * 8
-        along = (e * d).sum(axis=2)
-        return (off & (along >= -self.scale * length) & (along <= length**2 + self.scale * length)).any(axis=1)
-
-    def where(self, p: np.ndarray) -> np.ndarray:
-        """Of each point: 0 outside, 1 on the boundary, 2 inside."""
-        if self.kind == "point":
-            return 2 * (np.abs(p[:, None, :] - self.points[None]).max(axis=2) <= self.scale).any(axis=1)
-        on = self.on_segments(p)
-        if self.kind == "line":
-            ends = self.ends()
-            at_end = (np.abs(p[:, None, :] - ends[None]).max(axis=2) <= self.scale).any(axis=1) if len(ends) else np.zeros(len(p), bool)
-            return np.where(at_end, 1, np.where(on, 2, 0))
-        a, b, y = self.a, self.b, p[:, 1, None]
-        crosses = (a[:, 1] > y) != (b[:, 1] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-        inside = (crosses & (p[:, 0, None] < x)).sum(axis=1) % 2 == 1
-        return np.where(on, 1, np.where(inside, 2, 0))
-
-    def pieces(self, other: Shape) -> np.ndarray:
-        """Midpoints of this shape's segments as the other's segments and points cut them."""
-        if not len(self.a):
-            return np.empty((0, 2))
-        a, d = self.a, self.b - self.a
-        cuts: dict[int, list[float]] = {}
-        if len(other.a):
-            f = other.b - other.a
-            w = other.a[None] - a[:, None]
-            cross = d[:, None, 0] * f[None, :, 1] - d[:, None, 1] * f[None, :, 0]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t = (w[..., 0] * f[None, :, 1] - w[..., 1] * f[None, :, 0]) / cross
-                u = (w[..., 0] * d[:, None, 1] - w[..., 1] * d[:, None, 0]) / cross
-            i, j = np.nonzero((cross != 0) & (u >= -1e-12) & (u <= 1 + 1e-12) & (t > 0) & (t < 1))
-            for k, x in zip(i.tolist(), t[i, j].tolist(), strict=True):
-                cuts.setdefault(k, []).append(x)
-        square = np.maximum((d**2).sum(axis=1), 1e-300)
-        e = other.points[None] - a[:, None]
-        along = (e * d[:, None]).sum(axis=2) / square[:, None]
-        near = np.abs(e - along[..., None] * d[:, None]).max(axis=2) <= self.scale * 8
-        i, j = np.nonzero(near & (along > 0) & (along < 1))
-        for k, x in zip(i.tolist(), along[i, j].tolist(), strict=True):
-            cuts.setdefault(k, []).append(x)
-        whole = [k for k in range(len(a)) if k not in cuts]
-        out = [a[whole] + d[whole] / 2]
-        for k, inner in cuts.items():
-            t = np.unique([0.0, 1.0, *inner])
-            t = (t[1:] + t[:-1])[np.diff(t) > 1e-13] / 2
-            out.append(a[k] + t[:, None] * d[k])
-        return np.vstack(out)
-
-    def inner_points(self) -> np.ndarray:
-        """A point inside each polygon of an area: the middle of the widest stretch of a scan line between two heights."""
-        out = []
-        for i in np.unique(self.owner):
-            rings = [r for r, o in zip(self.rings, self.owner, strict=True) if o == i]
-            heights = np.unique(np.concatenate([r[:, 1] for r in rings]))
-            if len(heights) < 2:
-                continue
-            k = int(np.argmax(np.diff(heights)))
-            y = (heights[k] + heights[k + 1]) / 2
-            a, b = np.vstack([r[:-1] for r in rings]), np.vstack([r[1:] for r in rings])
-            hit = (a[:, 1] > y) != (b[:, 1] > y)
-            x = np.sort(a[hit, 0] + (y - a[hit, 1]) * (b[hit, 0] - a[hit, 0]) / (b[hit, 1] - a[hit, 1]))
-            if len(x) >= 2:
-                j = int(np.argmax(x[1::2] - x[0::2]))
-                out.append([(x[2 * j] + x[2 * j + 1]) / 2, y])
-        return np.array(out).reshape(-1, 2)
-
-
-def relation(one: Shape, two: Shape) -> dict[str, bool]:
-    """What of the one lies where of the other, from vertices and from pieces between crossings."""
-
-    pieces = 0
-
-    def parts(s: Shape, t: Shape) -> tuple[np.ndarray, np.ndarray]:
-        """Places in t of samples of s's interior and of s's boundary."""
-        nonlocal pieces
-        if s.kind == "point":
-            return t.where(s.points), np.empty(0, int)
-        middles = t.where(s.pieces(t))
-        pieces = len(middles)
-        if s.kind == "line":
-            own = s.where(s.points)
-            inner = np.concatenate([middles, t.where(s.points[own == 2])])
-            ends = s.ends()
-            return inner, t.where(ends) if len(ends) else np.empty(0, int)
-        return t.where(s.inner_points()), np.concatenate([middles, t.where(s.points)])
-
-    (i2, b2), (i1, b1) = parts(two, one), parts(one, two)  # the last leaves the number of the one's pieces
-    ii = bool((i1 == 2).any() or (i2 == 2).any())
-    if one.kind == two.kind == "area":
-        ii = ii or bool((b1 == 2).any() or (b2 == 2).any())
-    elif "area" in (one.kind, two.kind) and "line" in (one.kind, two.kind):
-        ii = bool((i1 == 2).any()) if one.kind == "line" else bool((i2 == 2).any())
-    elif one.kind == two.kind == "line":
-        ii = ii or _crossing(one, two)
-    meets = ii or bool((np.concatenate([i1, b1, i2, b2]) > 0).any())
-    out1 = bool((np.concatenate([i1, b1]) == 0).any())
-    out2 = bool((np.concatenate([i2, b2]) == 0).any())
-    if one.kind == "area" and two.kind == "area":  # an inner part may stand out although no boundary does: a hole of the other
-        out1, out2 = out1 or bool((b2 == 2).any()), out2 or bool((b1 == 2).any())
-    dims = {"point": 0, "line": 1, "area": 2}
-    d1, d2 = dims[one.kind], dims[two.kind]
-    out1, out2 = out1 or d1 > d2, out2 or d2 > d1
-    shared = ii and (d1 != 1 or d2 != 1 or bool((i1[:pieces] == 2).any()))
-    return {
-        "contains": ii and not out2,
-        "within": ii and not out1,
-        "intersects": meets,
-        "overlaps": d1 == d2 and ii and out1 and out2 and shared,
-        "crosses": ii and ((d1 < d2 and out1) or (d2 < d1 and out2) or (d1 == d2 == 1 and not shared)),
-    }
-
-
-def _crossing(one: Shape, two: Shape) -> bool:
-    """Whether two lines meet at a point that is inside both."""
-    d, f = one.b - one.a, two.b - two.a
-    w = two.a[None] - one.a[:, None]
-    cross = d[:, None, 0] * f[None, :, 1] - d[:, None, 1] * f[None, :, 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (w[..., 0] * f[None, :, 1] - w[..., 1] * f[None, :, 0]) / cross
-        u = (w[..., 0] * d[:, None, 1] - w[..., 1] * d[:, None, 0]) / cross
-    hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    i, _ = np.nonzero(hit)
-    places = one.a[i] + t[hit][:, None] * d[i]
-    return bool(len(places)) and bool(((one.where(places) == 2) & (two.where(places) == 2)).any())
-
-
 def _plainly(name: str, one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
     """The predicate for dots and boxes, by their bounds. Two dots are one or none."""
     a, b = ({c: f[c].to_numpy(float) for c in ("xmin", "ymin", "xmax", "ymax")} for f in (one, two))
@@ -354,16 +204,9 @@ def _predicate(name: str):
             if these.any():
                 out[these] = _lines_and_boxes(name, lines[these], boxes[these], first)
                 plain |= these
-        shapes: dict = {}
         at = np.flatnonzero(meet & ~plain)
-        for k, g, h in zip(at, one.iloc[at].to_dict("records"), two.iloc[at].to_dict("records"), strict=True):
-            pair = []
-            for x in (g, h):
-                key = (x["xmin"], x["ymin"], x["xmax"], x["ymax"], len(x["rings"]), x["kind"], sum(map(len, x["rings"])), x["cx"], x["cy"])
-                if key not in shapes:
-                    shapes[key] = Shape(x)
-                pair.append(shapes[key])
-            out[k] = relation(*pair)[name]
+        sides = (f.iloc[at][["kind", "owner", "rings"]].to_dict("records") for f in (one, two))
+        out[at] = relations(*sides)[name]
         return pd.Series(out, dtype="object").astype("boolean")
 
     return run

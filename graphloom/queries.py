@@ -770,4 +770,4 @@ def rule_selection(spark, sf):
     return spark.createDataFrame(sorted(sizes.items()), "selection string, rules int")
 
 
-from graphloom import queries_operators  # noqa: E402, F401  (adds to the catalogue)
+from graphloom import queries_extended, queries_operators  # noqa: E402, F401  (they add to the catalogue)
