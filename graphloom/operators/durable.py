@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that spark.checkpoint.dir names, below one for the application, and reads it.
+def shared(spark: SparkSession) -> str:
+    """The application's own folder below the one that spark.checkpoint.dir names.
 
     Where it is unset, a local session gets a temporary folder; a cluster has none that all executors see, so that is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

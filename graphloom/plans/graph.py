@@ -26,7 +26,7 @@ from graphloom.operators.spatial import Relation, related, spatial_filter
 from graphloom.plans import rules as selection
 from graphloom.plans.paths import Alt, Inv, Maybe, Path, Plus, Seq, Star
 from graphloom.plans.rules import is_var
-from graphloom.sources.features import distinct_boxes
+from graphloom.sources.answers import Answers, Box
 from graphloom.sources.mapping import Parent, Rule, TriplesMap, rules_of
 from graphloom.sources.paths import iterate, value
 
@@ -38,18 +38,21 @@ def _typed(shape: TermType, x: Column) -> Column:
 class VirtualGraph:
     """maps: the mapping. order: ``static`` (by score), or ``random`` with a seed. push: constants reach the scans.
 
-    most: a remote source is asked by as many values or boxes of the solutions so far; beyond it, it is read as a whole.
+    Remote sources are asked by constants, and by the values or boxes that the solutions so far bind, however many there
+    are: executors ask. answers: what they have answered (several graphs may share it).
     """
 
-    def __init__(self, spark: SparkSession, maps: Sequence[TriplesMap], order: str = "static", seed: int = 42, push: bool = True, select: str = "unification", most: int = 200):
+    def __init__(self, spark: SparkSession, maps: Sequence[TriplesMap], order: str = "static", seed: int = 42, push: bool = True, select: str = "unification", answers: Answers | None = None):
         self.spark, self.order, self.seed, self.push = spark, order, seed, push
         self.maps = {m.name: m for m in maps}
         self.rules = rules_of(list(maps))
         self.choose = {"unification": selection.candidates, "star": selection.by_star, "pattern": selection.by_pattern}[select]
         self.subjects = {m.name: m.subject for m in maps}
-        self.most = most
+        self.answers = answers or Answers()
         self._rows: dict[str, DataFrame] = {}
-        self._ask: dict[str, list[dict[str, str]]] = {}
+        self._ask: dict[str, tuple[str, DataFrame]] = {}
+        self._near: dict[str, Box] = {}
+        self._drafting = False
         self._fresh = 0
 
     # ---- patterns
@@ -63,56 +66,77 @@ class VirtualGraph:
         product that is filtered. smallest: the grid's finest cell for these joins.
         """
         spatial = {f"?{n}": r.constant is not None for r in where for n in r.vars} | (spatial or {})
+        self._near = self._boxes(where)
         plain, paths = [], []
         for s, p, o in patterns:
             o = o if isinstance(o, Const) or is_var(o) else Const.literal(o)
             (paths if isinstance(p, Path) else plain).append((s, p, o))
         stars = self._stars(plain, spatial or {}) if plain else []
-        parts = [self._star(*star) for star in stars] + [self._path(*p) for p in paths]
-        later = [*stars, *([None] * len(paths))]
         left = list(where)
 
-        def filtered(part: Solutions) -> Solutions:
-            """With the constraints, of those left, that the part binds all variables of."""
-            for r in [r for r in left if r.vars <= set(part.vars)]:
-                left.remove(r)
+        def applied(part: Solutions, relations: Sequence[Relation]) -> Solutions:
+            for r in relations:
                 part = spatial_filter(part, r.predicate, r.a, r.b, r.constant, r.metres)
             return part
 
-        parts = [filtered(p) for p in parts]
-        out, rest, later = parts[0], parts[1:], later[1:]
+        def fitting(part: Solutions) -> list[Relation]:
+            """The constraints, of those left, that the part binds all variables of."""
+            own = [r for r in left if r.vars <= set(part.vars)]
+            left[:] = [r for r in left if r not in own]
+            return own
+
+        rest = [(self._draft(star), star) for star in stars] + [(self._path(*p), None) for p in paths]
+        rest = [(part, star, fitting(part)) for part, star in rest]
+
+        def real(part: Solutions, star: tuple | None, own: Sequence[Relation]) -> Solutions:
+            return applied(self._star(*star) if star is not None and self._remote(star) else part, own)
+
+        out = real(*rest.pop(0))
 
         def taken(k: int, relations: Sequence[Relation]) -> Solutions:
             """The k-th of the rest; a remote source is asked by what the solutions so far bind, where it can be."""
             nonlocal out
-            part, star = rest.pop(k), later.pop(k)
-            if star is None or not self.push:
-                return part
-            out, asked = self._asked(out, star, relations)
-            return filtered(asked) if asked is not None else part
+            part, star, own = rest.pop(k)
+            if star is not None and self.push:
+                out, asked = self._asked(out, star, relations)
+                if asked is not None:
+                    return applied(asked, own)
+            return real(part, star, own)
 
         while rest:  # stay connected where the pattern is
-            k = next((k for k, part in enumerate(rest) if set(part.vars) & set(out.vars)), None)
+            k = next((k for k, (part, *_) in enumerate(rest) if set(part.vars) & set(out.vars)), None)
             if k is not None:
                 part = taken(k, ())
-                out = filtered(out.join(part))
+                out = out.join(part)
+                out = applied(out, fitting(out))
                 continue
-            between = [[r for r in left if r.vars <= set(out.vars) | set(part.vars)] for part in rest]
+            between = [[r for r in left if r.vars <= set(out.vars) | set(part.vars)] for part, *_ in rest]
             k = next((k for k, found in enumerate(between) if found), None)
             if k is None:
-                later.pop(0)
-                out = out.join(rest.pop(0))
+                out = out.join(real(*rest.pop(0)))
                 continue
-            left = [r for r in left if r not in between[k]]
+            left[:] = [r for r in left if r not in between[k]]
             part = taken(k, between[k])
-            out = filtered(related(out, part, between[k], smallest))
+            out = related(out, part, between[k], smallest)
+            out = applied(out, fitting(out))
         if left:
             raise ValueError(f"no pattern binds the variables of {left}")
         return out
 
+    def _remote(self, star: tuple) -> bool:
+        return any(r.map.source.remote is not None for part in star[1] for r in part)
+
+    def _draft(self, star: tuple) -> Solutions:
+        """A star's solutions, with no rows of remote sources: these aren't asked before it is known for what."""
+        self._drafting = True
+        try:
+            return self._star(*star)
+        finally:
+            self._drafting = False
+
     def _asked(self, out: Solutions, star: tuple, relations: Sequence[Relation]) -> tuple[Solutions, Solutions | None]:
         """out (written, if it has been looked at) and the star's solutions from a remote source that is asked by values of
-        out's variables or boxes around its geometries; None if the source isn't remote or there are too many of them."""
+        out's variables or by boxes around its geometries; None if the source isn't remote."""
         patterns, chosen = star
         maps = {r.map.name: r.map for part in chosen for r in part}
         m = next(iter(maps.values())) if len(maps) == 1 else None
@@ -127,18 +151,12 @@ class VirtualGraph:
                 continue
             out = replace(out, df=durable(out.df, "asking"))
             if near is None:
-                values = out.df.select(out.term(o[1:]).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(self.most + 1).collect()
-                ask = [{rule.object.path: r["v"]} for r in values]
+                self._ask[m.name] = rule.object.path, out.df.select(out.term(o[1:]).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
             else:
                 other = next(iter(near.vars - {o[1:]}))
                 box = envelope(geometry(out.term(other).cast("string")))
                 box = buffered(box, F.lit(near.metres)) if near.metres is not None else box
-                rows = out.df.select(box.alias("b")).filter("b IS NOT NULL").distinct().limit(self.most + 1).select("b.*").collect()
-                values = rows if len(rows) > self.most else distinct_boxes([tuple(r) for r in rows])
-                ask = [{"bbox": ",".join(map(str, b))} for b in values]
-            if len(values) > self.most:
-                continue
-            self._ask[m.name] = ask
+                self._ask[m.name] = "bbox", out.df.select(box.alias("b")).filter("b IS NOT NULL").distinct()
             try:
                 found = self._star(*star)
             finally:
@@ -146,6 +164,18 @@ class VirtualGraph:
             return out, found if near is None else found.distinct()  # boxes may share features; triples are a set
         return out, None
 
+    def _boxes(self, where: Sequence[Relation]) -> dict[str, Box]:
+        """Boxes around constant geometries, by the variable that has to be there."""
+        found = {}
+        for r in where:
+            if r.constant is not None:
+                box = envelope(geometry(F.lit(r.constant)))
+                box = buffered(box, F.lit(float(r.metres))) if r.metres is not None else box
+                row = self.spark.range(1).select(box.alias("b")).first()["b"]
+                if row is not None:
+                    found[r.a] = tuple(row)
+        return found
+
     def _stars(self, patterns: list, spatial: dict[str, bool]) -> list[tuple]:
         """Patterns and their rules, subject by subject, in order."""
         chosen = dict(zip(map(tuple, patterns), self.choose(patterns, self.rules), strict=True))
@@ -192,16 +222,28 @@ class VirtualGraph:
 
     # ---- scans
 
-    def _source(self, m: TriplesMap) -> DataFrame:
-        if m.source.remote is not None:
-            return iterate(m.source.remote.read(self.spark, m.pushed() if self.push else None, self._ask.get(m.name)), m.source.iterator)
+    def _source(self, m: TriplesMap, parts: Sequence[tuple[tuple, Rule]] = ()) -> DataFrame:
+        """A map's rows; of a remote source those that the patterns' constants, boxes and the values to ask for leave."""
+        remote = m.source.remote
+        if remote is not None and self._drafting:
+            return iterate(self.spark.createDataFrame([], remote.schema), m.source.iterator)
+        if remote is not None:
+            push = m.pushed() if self.push else {}
+            own = [(o, rule.object.path) for (_, _, o), rule in parts if isinstance(rule.object, Ref) and rule.object.path in push]
+            bound = {path: str(o.value) for o, path in own if isinstance(o, Const) and push[path] != "bbox"}
+            boxes = [self._near[o[1:]] for o, path in own if is_var(o) and push[path] == "bbox" and o[1:] in self._near]
+            if m.name in self._ask:
+                rows = self.answers.each(m.source.name, remote, push, bound, *self._ask[m.name])
+            else:
+                rows = self.answers.one(self.spark, m.source.name, remote, push, bound, boxes[0] if boxes else None)
+            return iterate(rows, m.source.iterator)
         if m.source.name not in self._rows:
             self._rows[m.source.name] = iterate(m.source.read(self.spark), m.source.iterator)
         return self._rows[m.source.name]
 
     def _scan(self, m: TriplesMap, parts: list[tuple[tuple, Rule]]) -> Solutions:
         """Rows of one map that answer all the patterns, each by its one rule."""
-        df, conditions, late = self._source(m), [], []
+        df, conditions, late = self._source(m, parts), [], []
         held: dict[str, tuple[TermType, list[Column]]] = {}
         many: list[tuple[str, Column]] = []
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import Ref, Template
+from graphloom.functions.terms import XSD, Ref, Template
+from graphloom.operators.durable import shared
 from graphloom.operators.solutions import Solutions
 from graphloom.operators.spatial import spatial_join
 from graphloom.plans.graph import VirtualGraph
 from graphloom.plans.paths import Plus
 from graphloom.queries import EX, query
+from graphloom.sources.features import publish
 from graphloom.sources.mapping import Source, TriplesMap
 
 # ---- exact relations between shapes that are no boxes
@@ -84,3 +88,23 @@ def path_long_chain(spark, sf):
     rows = Source.sql("step", "SELECT p_partkey AS a, p_partkey + 2 AS b FROM {part} WHERE p_partkey + 2 <= (SELECT max(p_partkey) FROM {part})", {"part": f"{sf}/part.parquet"})
     g = VirtualGraph(spark, [TriplesMap("step", rows, Template("http://ex/step/{a}"), ((EX.next, Template("http://ex/step/{b}")),), unique=True)])
     return g.match((EX["step/1"], Plus(EX.next), "?x")).frame()
+
+
+# ---- services that executors ask
+
+
+@query("SELECT 'http://ex/customer/' || c_custkey AS c, 'http://ex/served/' || o_orderkey AS o, o_totalprice AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING'")
+def dependent_service(spark, sf):
+    """A dependent join: the orders' service, a folder of published pages, is asked for the customers that are left."""
+    g = _served(spark, sf)
+    return g.match(("?c", EX.segment, "BUILDING"), ("?c", EX.balance, "?b"), ("?c", EX.key, "?k"), ("?o", EX.by, "?k"), ("?o", EX.total, "?total")).filter(F.col("b") < 0).select("c", "o", "total").frame()
+
+
+def _served(spark: SparkSession, sf: str) -> VirtualGraph:
+    integer, double = XSD + "integer", XSD + "double"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    url = publish(orders, f"{shared(spark)}/service-{uuid.uuid4().hex}", "o_custkey", "o_orderkey")
+    served = TriplesMap("served", Source.features("served", url, "o_orderkey long, o_custkey long, o_totalprice double, id string"), Template("http://ex/served/{id}"), ((EX.by, Ref("o_custkey", integer)), (EX.total, Ref("o_totalprice", double))), (), True, ((EX.by, "o_custkey"),))
+    rows = Source.sql("indebted", "SELECT * FROM {customer} WHERE c_acctbal < 0", {"customer": f"{sf}/customer.parquet"})
+    own = TriplesMap("customer", rows, Template("http://ex/customer/{c_custkey}"), ((EX.segment, Ref("c_mktsegment")), (EX.balance, Ref("c_acctbal", double)), (EX.key, Ref("c_custkey", integer))), (), True)
+    return VirtualGraph(spark, [own, served])

@@ -5,37 +5,40 @@
 
 A column ``x`` is the feature's ``properties.x``, or its own member of that name (id, geometry as JSON). Equality filters
 and the box reach the URL where ``push`` names their parameters, as ``column=parameter,...``; Spark keeps the filters, as a
-service may ignore them. ``ask``, a JSON list of column (or ``bbox``) -> value, makes one request for each entry instead of
-one for everything: that is how values of another source's solutions are passed on. With ``total`` and ``limit`` known, pages are read by as many tasks; otherwise one task follows
-the next links. A request that fails is an error; ``on_error=empty`` makes it an end of pages.
+service may ignore them. With ``limit``, pages are read by as many tasks as the service says that there are
+(``numberMatched`` in its first answer, or ``total``, if it is known); otherwise one task follows the next links. A request
+that fails is made ``retries`` times more; then it is an error, or an end of pages with ``on_error=empty``.
+
+answers() makes a request for each row of a DataFrame instead, in the tasks that hold the rows. URLs with the scheme
+``file`` are answered from a folder that publish() has written: a features service without a server.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Seconds before a failed request is made again; they double each time.
+WAIT = 0.2
 
-class _Page(InputPartition):
-    """A URL, whether to follow its next links, and (column, value) pairs that features must have."""
-
-    def __init__(self, url: str, follow: bool, held: tuple[tuple[str, str], ...] = ()):
-        super().__init__((url, follow, held))
 
+class _Page(InputPartition):
+    """A URL, and whether to follow its next links."""
 
-def distinct_boxes(boxes: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
-    """Boxes that lie in no other: a request for the outer one brings what the inner one asks for."""
-    holds = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3]
-    out: list[tuple[float, ...]] = []
-    for b in sorted(set(boxes), key=lambda b: (-(b[2] - b[0]) * (b[3] - b[1]), b)):
-        if not any(holds(a, b) for a in out):
-            out.append(b)
-    return out
+    def __init__(self, url: str, follow: bool):
+        super().__init__((url, follow))
 
 
 def with_parameters(url: str, parameters: dict[str, object]) -> str:
@@ -45,6 +48,116 @@ def with_parameters(url: str, parameters: dict[str, object]) -> str:
     return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(query)))
 
 
+def _from_folder(url: str) -> dict:
+    """The answer of a published folder: features equal in all parameters, from offset on, limit at most."""
+    parts = urllib.parse.urlsplit(url)
+    asked = dict(urllib.parse.parse_qsl(parts.query, keep_blank_values=True))
+    at, limit = int(asked.pop("offset", 0)), asked.pop("limit", None)
+    folder = urllib.parse.unquote(parts.path)
+    _, key, buckets = os.path.basename(folder).rsplit("~", 2)
+    wanted = [zlib.crc32(asked[key].encode()) % int(buckets)] if key in asked else range(int(buckets))
+    found = []
+    for bucket in wanted:
+        inside = f"{folder}/bucket={bucket}"
+        for name in sorted(os.listdir(inside)) if os.path.isdir(inside) else ():
+            if name.startswith("part-"):
+                with open(f"{inside}/{name}", encoding="utf-8") as lines:
+                    found += [f for f in map(json.loads, lines) if all(str(f.get("properties", {}).get(k)) == v for k, v in asked.items())]
+    return {"numberMatched": len(found), "features": found[at : at + int(limit) if limit else None]}
+
+
+def publish(rows: DataFrame, path: str, key: str, ids: str, geometry: str | None = None, buckets: int = 64) -> str:
+    """Writes rows as features below path, in buckets of the key's values, and returns the URL that answers for them. All
+    tasks that ask have to see the folder."""
+    properties = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in (ids, geometry)])
+    place = [F.col(f"`{geometry}`").alias("geometry")] if geometry else []
+    bucket = F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % buckets
+    folder = f"{path.rstrip('/')}/features~{key}~{buckets}"
+    rows.select(F.lit("Feature").alias("type"), F.col(f"`{ids}`").cast("string").alias("id"), *place, properties.alias("properties"), bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").json(folder)
+    return "file://" + urllib.parse.quote(folder.removeprefix("file://").removeprefix("file:"))
+
+
+def fetched(url: str, options: Mapping[str, str]) -> dict | None:
+    """A service's answer; None if it can't be had and ``on_error`` says ``empty``."""
+    tries = 1 + int(options.get("retries", 2))
+    for n in range(tries):
+        try:
+            if url.startswith("file:"):
+                return _from_folder(url)
+            with urllib.request.urlopen(url, timeout=float(options.get("timeout", 60))) as answer:
+                return json.load(answer)
+        except (OSError, ValueError):
+            if n + 1 == tries:
+                if options.get("on_error") == "empty":
+                    return None
+                raise
+            time.sleep(WAIT * 2**n)
+    return None
+
+
+def pages(url: str | None, follow: bool, options: Mapping[str, str]) -> Iterator[dict]:
+    """The answer at url and, if follow says so, those that its next links lead to, each once."""
+    seen = set()
+    while url and url not in seen:
+        seen.add(url)
+        page = fetched(url, options)
+        if page is None:
+            return
+        yield page
+        links = [x.get("href") for x in page.get("links", []) if x.get("rel") == "next"]
+        url = urllib.parse.urljoin(url, links[0]) if follow and links else None
+
+
+def cell(feature: dict, name: str, kind: str):
+    """A column of a feature: its property of that name, or its own member."""
+    properties = feature.get("properties") or {}
+    found = properties[name] if name in properties else feature.get(name)
+    if found is None:
+        return None
+    if kind == "string":
+        return found if isinstance(found, str) else json.dumps(found, ensure_ascii=False)
+    return {"long": int, "integer": int, "double": float, "float": float}.get(kind, lambda x: x)(found)
+
+
+def page_urls(url: str, options: Mapping[str, str]) -> list[tuple[str, bool]]:
+    """URLs that together give all features of one, and whether next links are to be followed from them."""
+    limit, total = int(options.get("limit", 0)), int(options.get("total", 0))
+    if not limit:
+        return [(url, True)]
+    if not total:
+        first = fetched(with_parameters(url, {"limit": limit}), options) or {}
+        total = first.get("numberMatched")
+        if not isinstance(total, int):
+            return [(with_parameters(url, {"limit": limit}), True)]
+    return [(with_parameters(url, {"limit": limit, "offset": at}), False) for at in range(0, total, limit)]
+
+
+def answers(requests: DataFrame, url: str, schema: StructType, parameters: Mapping[str, str], options: Mapping[str, str]) -> DataFrame:
+    """Features that a service returns for each request: a map ``ask`` of column (or ``bbox``) -> value.
+
+    requests also has a string ``key`` by whose hash they are dealt to tasks; each task asks for its own, one after the
+    other, and keeps only what has the values asked for, as a service may ignore a parameter.
+    """
+    spark = requests.sparkSession
+    fields = [(f.name, f.dataType.typeName()) for f in schema.fields]
+    arrow, told = to_arrow_schema(schema), dict(options)
+    parameters = dict(parameters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ask in b.column(0).to_pylist():
+                ask = dict(ask)
+                own = with_parameters(url, {parameters.get(c, c): v for c, v in ask.items()}) if ask else url
+                own = with_parameters(own, {"limit": told["limit"]}) if "limit" in told else own
+                for page in pages(own, True, told):
+                    found = [f for f in page.get("features", []) if all(str(cell(f, c, "string")) == v for c, v in ask.items() if c != "bbox")]
+                    columns = [pa.array([cell(f, n, kind) for f in found], arrow.field(n).type) for n, kind in fields]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return requests.repartition(n, "key").select("ask").mapInArrow(run, schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema, self.options, self.asked = schema, options, {}
@@ -62,44 +175,13 @@ class _Reader(DataSourceReader):
         if box := self.options.get("bbox"):
             asked["bbox"] = box
         url = with_parameters(self.options["url"], asked) if asked else self.options["url"]
-        if "ask" in self.options:
-            each = json.loads(self.options["ask"])
-            inside = lambda a: tuple((c, v) for c, v in a.items() if c != "bbox")
-            return [_Page(with_parameters(url, {self.parameters.get(c, c): v for c, v in a.items()}), True, inside(a)) for a in each]
-        limit, total = int(self.options.get("limit", 0)), int(self.options.get("total", 0))
-        if limit and total:
-            return [_Page(with_parameters(url, {"limit": limit, "offset": at}), False) for at in range(0, total, limit)]
-        return [_Page(with_parameters(url, {"limit": limit}) if limit else url, True)]
+        return [_Page(*page) for page in page_urls(url, self.options)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        url, follow, held = partition.value
-        at = [(self.schema.fieldNames().index(c), v) for c, v in held]
-        seen = set()
-        while url and url not in seen:
-            seen.add(url)
-            try:
-                with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", 60))) as answer:
-                    page = json.load(answer)
-            except (OSError, ValueError):
-                if self.options.get("on_error") == "empty":
-                    return
-                raise
+        kinds = [(f.name, f.dataType.typeName()) for f in self.schema.fields]
+        for page in pages(*partition.value, self.options):
             for feature in page.get("features", []):
-                row = tuple(self._cell(feature, f.name) for f in self.schema.fields)
-                if all(row[i] is not None and str(row[i]) == v for i, v in at):  # a service may ignore a parameter
-                    yield row
-            links = [x.get("href") for x in page.get("links", []) if x.get("rel") == "next"]
-            url = urllib.parse.urljoin(url, links[0]) if follow and links else None
-
-    def _cell(self, feature: dict, name: str):
-        properties = feature.get("properties") or {}
-        found = properties[name] if name in properties else feature.get(name)
-        if found is None:
-            return None
-        kind = self.schema[name].dataType.typeName()
-        if kind == "string":
-            return found if isinstance(found, str) else json.dumps(found, ensure_ascii=False)
-        return {"long": int, "integer": int, "double": float, "float": float}.get(kind, lambda x: x)(found)
+                yield tuple(cell(feature, *kind) for kind in kinds)
 
 
 class FeaturesSource(DataSource):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from graphloom.functions.terms import RDF_TYPE, Const, Ref, Template
-from graphloom.sources.features import FeaturesSource
+from graphloom.sources.features import FeaturesSource, answers
 
 
 @dataclass(frozen=True)
@@ -20,18 +20,19 @@ class RemoteFeatures:
     schema: str
     options: tuple[tuple[str, str], ...] = ()
 
-    def read(self, spark: SparkSession, push: dict[str, str] | None = None, ask: list[dict[str, str]] | None = None) -> DataFrame:
-        """push: which columns' equality filters reach the URL, as column -> parameter. ask: requests to make instead of
-        one for everything, each as column (or ``bbox``) -> value."""
+    def read(self, spark: SparkSession, push: dict[str, str] | None = None) -> DataFrame:
+        """push: which columns' equality filters reach the URL, as column -> parameter."""
         spark.dataSource.register(FeaturesSource)
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         told = dict(self.options) | {"url": self.url}
         if push:
             told["push"] = ",".join(f"{c}={p}" for c, p in sorted(push.items()))
-        if ask is not None:
-            told["ask"] = json.dumps(ask)
         return spark.read.format("features").schema(self.schema).options(**told).load()
 
+    def answers(self, requests: DataFrame, push: dict[str, str]) -> DataFrame:
+        """What the service returns for each request (``key``, ``ask``), asked by the tasks that hold the requests."""
+        return answers(requests, self.url, T.StructType.fromDDL(self.schema), push, dict(self.options))
+
 
 @dataclass(frozen=True)
 class Source:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import threading
 import urllib.parse
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -15,7 +16,8 @@ from graphloom.functions.terms import GEO, RDF_TYPE, XSD
 from graphloom.operators.spatial import Relation
 from graphloom.sinks import results
 from graphloom.sources.coverage import coverages, raster_corners
-from graphloom.sources.features import FeaturesSource
+from graphloom.sources.answers import holds, outermost
+from graphloom.sources.features import FeaturesSource, fetched, publish
 
 EX = Namespace("http://ex/")
 FEATURES = [{"id": f"f{i}", "geometry": {"type": "Point", "coordinates": [i, i]}, "properties": {"name": f"n{i % 3}", "area": i * 1.5} | ({"note": "x"} if i == 4 else {})} for i in range(10)]
@@ -40,7 +42,8 @@ def service():
             links = [{"rel": "self", "href": self.path}]
             if at + limit < len(chosen):
                 links.append({"rel": "next", "href": "/items?" + urllib.parse.urlencode(query | {"offset": at + limit, "limit": limit})})
-            body = json.dumps({"features": chosen[at : at + limit], "links": links}).encode()
+            told = {"numberMatched": len(chosen)} if self.path.startswith("/counted") else {}
+            body = json.dumps({"features": chosen[at : at + limit], "links": links} | told).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -99,12 +102,88 @@ def test_values_reach_a_service(spark, service):
     url, asked = service
     pattern = [("?k", EX.called, "?name"), ("?k", Const(RDF_TYPE), EX.Near), ("?t", EX.name, "?name"), ("?t", EX.area, "?area")]
     wanted = {(f"http://ex/near/{k}", f"http://ex/thing/f{i}") for k in (1, 2) for i in (1, 4, 7)}
-    for options, few in (({}, True), ({"most": 1}, False)):
+    del asked[:]
+    rows = _remote(spark, url).match(*pattern).frame().collect()
+    assert {(r.k, r.t) for r in rows} == wanted and len(rows) == 6
+    assert sorted(q.get("name") for q in asked) == ["n1", "n9"]
+
+
+def test_a_constant_box_reaches_a_service(spark, service):
+    url, asked = service
+    del asked[:]
+    inside = Relation("g", predicate="within", constant="POLYGON((2 2, 5 2, 5 5, 2 5, 2 2))")
+    found = _remote(spark, url).match(("?t", EX.area, "?area"), ("?t", Const(GEO + "hasGeometry"), "?g"), where=[inside]).select("t").frame().collect()
+    assert {r.t for r in found} == {"http://ex/thing/f3", "http://ex/thing/f4"}
+    assert {q.get("bbox") for q in asked} == {"2.0,2.0,5.0,5.0"}
+
+
+def test_requests_inside_earlier_ones_are_not_sent(spark, service):
+    url, asked = service
+    g = _remote(spark, url)
+    box = lambda a, b: [Relation("g", predicate="within", constant=f"POLYGON(({a} {a}, {b} {a}, {b} {b}, {a} {b}, {a} {a}))")]
+    star = [("?t", EX.area, "?area"), ("?t", Const(GEO + "hasGeometry"), "?g")]
+
+    def sent(*patterns, **options):
         del asked[:]
-        rows = _remote(spark, url, **options).match(*pattern).frame().collect()
-        assert {(r.k, r.t) for r in rows} == wanted and len(rows) == 6
-        assert asked and all(("name" in q) == few for q in asked)
-    assert {q["name"] for q in asked if "name" in q} <= {"n1", "n9"}
+        rows = g.match(*patterns, **options).select("t").frame().distinct().collect()
+        return len({json.dumps(q) for q in asked if "offset" not in q}), len(rows)
+
+    assert sent(*star, where=box(1, 7)) == (1, 5)
+    assert sent(*star, where=box(2, 6)) == (0, 3)  # inside the first
+    assert sent(*star, where=box(5, 9)) == (1, 3)  # across its edge
+    called = [("?k", EX.called, "?name"), ("?t", EX.name, "?name"), ("?t", EX.area, "?area")]
+    assert sent(*called) == (2, 3) and sent(*called) == (0, 3)
+    assert sent(("?t", EX.name, "n1"), ("?t", EX.area, "?area")) == (1, 3)  # a constant of a new kind
+    assert sent(("?t", EX.name, "n1"), ("?t", EX.area, "?area")) == (0, 3)
+    assert sent(("?t", EX.area, "?area")) == (1, 10)  # everything
+    assert sent(*star, where=box(0, 99)) == (0, 9) and sent(*called) == (0, 3)
+    g.answers.forget()
+    assert sent(*called) == (2, 3)
+
+
+def test_outermost_boxes(spark):
+    rng = random.Random(8)
+    made = set()
+    for _ in range(150):
+        x, y, w, h = rng.randint(-40, 40), rng.randint(-40, 40), rng.choice((0, 1, 3, 9, 30)), rng.choice((0, 1, 3, 9, 30))
+        made.add((float(x), float(y), float(x + w), float(y + h)))
+    kind = "b struct<xmin: double, ymin: double, xmax: double, ymax: double>"
+    some = sorted(made)[::3]
+    left = [b for b in made if b not in some]
+    for earlier, boxes in ((None, sorted(made)), (some, left)):
+        had = None if earlier is None else spark.createDataFrame([(b,) for b in earlier], kind)
+        got = {tuple(r.b) for r in outermost(spark.createDataFrame([(b,) for b in boxes], kind), had).collect()}
+        assert got == {b for b in boxes if not any(a != b and holds(a, b) for a in [*boxes, *(earlier or ())])}
+
+
+def test_pages_by_what_a_service_counts(spark, service):
+    """Pages are read in parallel without a typed total."""
+    url, asked = service
+    del asked[:]
+    df = reader(spark, url + "/counted", limit="3").load()
+    assert df.rdd.getNumPartitions() == 4
+    del asked[:]
+    assert sorted(r.id for r in df.collect()) == sorted(f["id"] for f in FEATURES)
+    assert {q.get("offset") for q in asked} >= {"0", "3", "6", "9"}
+
+
+def test_a_failed_request_is_made_again(spark, service):
+    url, asked = service
+    del asked[:]
+    with pytest.raises(OSError):
+        fetched(url + "/broken", {"retries": "2"})
+    assert len(asked) == 3 and fetched(url + "/broken", {"retries": "0", "on_error": "empty"}) is None
+
+
+def test_a_published_folder_answers(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i % 5}", i * 1.5, None if i == 3 else "é") for i in range(40)], "i long, name string, area double, note string")
+    url = publish(rows, str(tmp_path / "a b"), "name", "i", buckets=4)
+    assert sorted(f["id"] for f in fetched(url + "?name=n3", {})["features"]) == sorted(str(i) for i in range(3, 40, 5))
+    assert fetched(url + "?limit=7&offset=35", {})["numberMatched"] == 40 and len(fetched(url + "?limit=7&offset=35", {})["features"]) == 5
+    assert fetched(url + "?name=nothing", {})["features"] == []
+    spark.dataSource.register(FeaturesSource)
+    read = spark.read.format("features").schema("id string, i long, name string, area double").options(url=url, limit="11").load()
+    assert read.rdd.getNumPartitions() == 4 and read.agg(F.sum("area")).first()[0] == sum(i * 1.5 for i in range(40))
 
 
 def test_boxes_reach_a_service(spark, service):
