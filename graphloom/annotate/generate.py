@@ -85,20 +85,40 @@ def _plain(df: DataFrame, collection: str) -> list[tuple[str, str, str]]:
     return walk(df.schema, "")
 
 
+#: Characters and how N-Triples writes them.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _unescaped(text: Column) -> Column:
+    """What an N-Triples literal's text stands for: all escapes are undone in one pass, from left to right."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\(?s:.)|[^\\]+"), F.lit(0))
+
+    def one(t: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(t, F.lit(3), F.lit(8)), 8, "0")), "UTF-32")
+        plain = F.substring(t, F.lit(2), F.lit(1))
+        for mark, written in _ESCAPES.items():
+            plain = F.when(t == written, F.lit(mark)).otherwise(plain)
+        return F.when(~F.startswith(t, F.lit("\\")), t).when(t.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), code).otherwise(plain)
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
 def turtle(triples: DataFrame) -> DataFrame:
     """One N-Triples line (which Turtle readers take too) for each triple of texts; what looks like an IRI is one."""
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    text = F.replace(F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    text = F.col("o")
+    for mark, written in _ESCAPES.items():  # the backslash first
+        text = F.replace(text, F.lit(mark), F.lit(written))
     o = F.when(F.col("o").rlike(r"^[a-z][a-z0-9+.-]*:[^\s<>\"]*$"), iri(F.col("o"))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
     return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), o, F.lit(".")).alias("line"))
 
 
 def read_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     """Triples (s, p, o as DYNAMIC terms) from N-Triples lines; other lines are left out."""
-    pattern = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
+    pattern = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*+)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
     part = lambda i: F.regexp_extract(column, pattern, i)
     some = lambda c: F.when(c != "", c)
-    plain = F.replace(F.replace(F.replace(part(5), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    plain = _unescaped(part(5))
     s = F.struct(F.when(F.startswith(part(1), F.lit("_:")), "bnode").otherwise("iri").alias("kind"), F.regexp_replace(part(1), "^<|>$", "").alias("value"))
     o = F.struct(
         F.when(part(3) != "", "iri").when(part(4) != "", "bnode").otherwise("literal").alias("kind"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -112,3 +113,43 @@ def ordered(planned: DataFrame, completed: DataFrame, keys: Sequence[str], seed:
 def append(rows: DataFrame, path: str, kind: str = "json") -> None:
     """Adds rows to a log of JSON lines, CSV with a header, or Parquet."""
     rows.write.mode("append").options(header="true").format(kind).save(path)
+
+
+class RunLog:
+    """A log of runs in versions. Rows are appended to the current version; resume() writes a new one with what is retained,
+    and only then says so in the manifest: a reader sees the one or the other, and a crash between leaves the old one. Old
+    versions stay as the archive."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def version(self) -> int:
+        """The current version; 0 before anything has been resumed."""
+        try:
+            found = self.spark.read.schema("version int").json(f"{self.path}/manifest")
+            return found.agg(F.max("version")).first()[0] or 0
+        except AnalysisException:
+            return 0
+
+    def at(self, version: int) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={version}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self.at(self.version())
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select(*self.at(0).columns).write.mode("append").parquet(f"{self.path}/version={self.version()}")
+
+    def resume(self, keys: Sequence[str], retained: Column | None = None, latest: str = "execution_order") -> DataFrame:
+        """Keeps one row for each key (the one with the largest ``latest``), of those that retained holds for (by default the
+        successful runs), as a new version, and returns it."""
+        now = self.version()
+        kept = self.read().filter(retained if retained is not None else F.col("status") == "success")
+        columns = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+        one = kept.groupBy(*keys).agg(F.max_by(columns, F.struct(F.col(latest), F.xxhash64(columns))).alias("row")).select("row.*")
+        one.write.mode("overwrite").parquet(f"{self.path}/version={now + 1}")
+        self.spark.createDataFrame([(now + 1,)], "version int").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        return self.read()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.geometry import geometry
 from graphloom.functions.scalars import local_name
 from graphloom.functions.terms import GEO
 from graphloom.operators.solutions import Solutions
@@ -52,9 +53,42 @@ def features(triples: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     return place.join(own, "s", "left").select(F.col("s").alias("id"), "geometry", label.alias("label"), "properties")
 
 
+def _text(x: Column) -> Column:
+    """A string as JSON writes it."""
+    return F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+
+
+def geometry_json(g: Column) -> Column:
+    """A parsed geometry as a GeoJSON object's text; null for none."""
+    pairs = lambda ring: F.transform(F.sequence(F.lit(0), (F.size(ring) / 2 - 1).cast("int")), lambda i: F.array(F.get(ring, 2 * i), F.get(ring, 2 * i + 1)))
+    parts = F.transform(g["rings"], pairs)
+    many, areas = F.size(g["rings"]) > 1, F.array_max(g["owner"]) > 0
+    by_area = F.transform(F.sequence(F.lit(0), F.array_max(g["owner"])), lambda k: F.filter(parts, lambda _, i: F.get(g["owner"], i) == k))
+    first = F.get(parts, F.lit(0))
+    told = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(coordinates), F.lit("}"))
+    points = F.transform(parts, lambda p: F.get(p, F.lit(0)))
+    return (
+        F.when((g["kind"] == "point") & many, told("MultiPoint", points))
+        .when(g["kind"] == "point", told("Point", F.get(first, F.lit(0))))
+        .when((g["kind"] == "line") & many, told("MultiLineString", parts))
+        .when(g["kind"] == "line", told("LineString", first))
+        .when(areas, told("MultiPolygon", by_area))
+        .when(g["kind"] == "area", told("Polygon", parts))
+    )
+
+
 def feature_json(found: DataFrame) -> DataFrame:
-    """Features as GeoJSON texts; a property of one value is that value."""
-    return found.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "id", "geometry", F.col("properties").alias("properties"), "label")).alias("feature"))
+    """Features as GeoJSON texts: the geometry is an object (null where its text can't be read), a property of one value is
+    that value, of several a list; the label is a property where no property has that name."""
+    value = lambda v: F.when(F.size(v) == 1, _text(F.get(v, F.lit(0)))).otherwise(F.to_json(v))
+    entry = lambda k, v: F.concat(_text(k), F.lit(":"), v)
+    own = F.transform(F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))), lambda e: entry(e["key"], value(e["value"])))
+    named = F.coalesce(F.map_contains_key("properties", "label"), F.lit(False))
+    label = F.when(named | F.col("label").isNull(), F.array().cast("array<string>")).otherwise(F.array(entry(F.lit("label"), _text(F.col("label")))))
+    parsed = found.withColumn("geometry", geometry(F.col("geometry")))
+    place = F.coalesce(geometry_json(F.col("geometry")), F.lit("null"))
+    text = F.concat(F.lit('{"type":"Feature","id":'), _text(F.col("id")), F.lit(',"geometry":'), place, F.lit(',"properties":{'), F.array_join(F.concat(own, label), ","), F.lit("}}"))
+    return parsed.select(text.alias("feature"))
 
 
 def legend(found: DataFrame, by: str = "class") -> DataFrame:

@@ -196,3 +196,50 @@ class FeaturesSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, dict(self.options))
+
+
+class _CollectionsReader(DataSourceReader):
+    """Two levels: the service's list of collections, then the pages of each, as many as it says that there are."""
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.schema, self.options = schema, options
+
+    def partitions(self) -> list[InputPartition]:
+        base = self.options["url"].rstrip("/")
+        told = fetched(base + "/collections?f=json", self.options) or {}
+        chosen = set(filter(None, self.options.get("select", "").split(",")))
+        found = [c for c in told.get("collections", []) if not chosen or c["id"] in chosen]
+        if self.options.get("items") != "true":
+            return [InputPartition(("list", c)) for c in found]
+        parts = []
+        for c in found:
+            url = f"{base}/collections/{urllib.parse.quote(c['id'])}/items?f=json"
+            parts += [InputPartition((c["id"], page)) for page in page_urls(url, {"limit": "1000"} | self.options)]
+        return parts
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        name, what = partition.value
+        kinds = [(f.name, f.dataType.typeName()) for f in self.schema.fields]
+        if name == "list":
+            about = what | {"title": what.get("title", what["id"]), "spatial": (what.get("extent") or {}).get("spatial")}
+            yield tuple(cell(about, *kind) for kind in kinds)
+            return
+        for page in pages(*what, self.options):
+            for feature in page.get("features", []):
+                yield tuple(name if n == "collection" else cell(feature, n, kind) for n, kind in kinds)
+
+
+class CollectionsSource(DataSource):
+    """The format ``collections``: a features service's collections (id, title, description, spatial), or with ``items=true``
+    the features of all of them with the name of their ``collection``. select: ids, with commas between."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "collections"
+
+    def schema(self) -> str:
+        items = self.options.get("items") == "true"
+        return "collection string, id string, geometry string" if items else "id string, title string, description string, spatial string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _CollectionsReader(schema, dict(self.options))
