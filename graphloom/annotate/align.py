@@ -82,9 +82,11 @@ def axioms(proposed: DataFrame, known: DataFrame) -> DataFrame:
     return held.select("s", "p", "o").distinct()
 
 
-def rewritten(maps: Sequence[TriplesMap], accepted: dict[str, str]) -> list[TriplesMap]:
-    """Mappings with classes and predicates replaced by what they were aligned with."""
-    new = lambda iri: accepted.get(iri, iri)
+def rewritten(maps: Sequence[TriplesMap], accepted: dict[str, str], reset: dict[str, str] | None = None) -> list[TriplesMap]:
+    """Mappings with classes and predicates replaced by what they were aligned with. reset: local IRI -> what it was aligned
+    with before; that is undone first, so that mappings may be aligned again."""
+    back = {old: local for local, old in (reset or {}).items()}
+    new = lambda iri: accepted.get(back.get(iri, iri), back.get(iri, iri))
     name = lambda p: str(getattr(p, "value", p))
     objects = lambda m: tuple((new(name(p)), Const(new(str(o.value))) if isinstance(o, Const) and o.kind == "iri" else o) for p, o in m.objects)
     return [replace(m, classes=tuple(map(new, m.classes)), objects=objects(m), push=tuple((new(name(p)), k) for p, k in m.push)) for m in maps]

@@ -90,3 +90,30 @@ def report(found: DataFrame, decisions: DataFrame) -> DataFrame:
     statistics = F.struct(F.size("properties").alias("properties"), aligned.alias("aligned"))
     text = F.to_json(F.struct("cls", "title", "description", "equivalent", "decision", statistics.alias("statistics"), "properties"), {"ignoreNullFields": "false"})
     return whole.select("cls", text.alias("report"))
+
+
+#: How many classes, entities and properties a sample has, and how many properties a proposal is shown.
+SAMPLE = {"class": 100, "entity": 120, "property": 100}
+
+
+def mentioned(triples: DataFrame) -> DataFrame:
+    """kind (class, property, entity), iri: what an ontology declares or uses as such; entities are classes and properties."""
+    kind = lambda *names: F.col("o").isin(list(names))
+    typed, below, domain = F.col("p") == RDF_TYPE, F.col("p") == RDFS + "subClassOf", F.col("p") == RDFS + "domain"
+    is_class = typed & kind(OWL + "Class", OWL + "class", RDFS + "Class")
+    is_property = typed & kind(RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty")
+    some = lambda where, c, k: F.when(where, F.struct(F.lit(k).alias("kind"), F.col(c).alias("iri")))
+    told = [some(is_class | below, "s", "class"), some(below | domain, "o", "class"), some(is_property | domain, "s", "property")]
+    each = triples.select(F.explode(F.array_compact(F.array(*told))).alias("m")).select("m.*").filter(~F.startswith("iri", F.lit("_:"))).distinct()
+    return each.union(each.select(F.lit("entity").alias("kind"), "iri")).distinct()
+
+
+def samples(triples: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """kind, iri, label, comment of the first classes, properties and entities by IRI, ``most`` of each kind."""
+    found = mentioned(triples)
+    parts = [found.filter(F.col("kind") == k).orderBy("iri").limit(n) for k, n in (SAMPLE | (most or {})).items()]
+    chosen = parts[0].union(parts[1]).union(parts[2])
+    for p, name in ((RDFS + "label", "label"), (RDFS + "comment", "comment")):
+        told = _of(triples, p, "iri", name).groupBy("iri").agg(F.min(name).alias(name))
+        chosen = chosen.join(told, "iri", "left")
+    return chosen.select("kind", "iri", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("comment", F.lit("")).alias("comment"))

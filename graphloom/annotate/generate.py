@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.geometry import bbox_parse, bbox_wkt
 from graphloom.functions.terms import GEO, RDF_TYPE, XSD, Ref, Template
 from graphloom.sources.mapping import Source, TriplesMap
 
@@ -43,25 +46,36 @@ def queryables(collections: DataFrame, allowed: list[str] | None = None) -> Data
 
 
 def ontology(rows: DataFrame, namespace: str) -> DataFrame:
-    """Triples (s, p, o as texts) of classes below geo:Feature and of properties with label, range and domains."""
+    """Triples (s, p, o as texts) of classes below geo:Feature and of properties with label, range and domains.
+
+    rows: collection, property, type, and perhaps title and description of the collection, and bbox (xmin,ymin,xmax,ymax)
+    with crs: then the class has a comment, and its collection of features a bounding box.
+    """
     ns = F.lit(namespace)
+    more = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "description", "bbox", "crs")}
+    rows = rows.select("collection", "property", "type", *[x.alias(c) for c, x in more.items()])
     cls, prop = F.concat(ns, F.col("collection")), F.concat(ns, F.element_at(F.split("property", r"\."), -1))
-    classes = rows.select(cls.alias("s"), F.col("collection").alias("name")).distinct()
-    told = lambda df, p, o: df.select("s", F.lit(p).alias("p"), o.alias("o"))
+    whole = F.concat(cls, F.lit("_collection"))
+    classes = rows.select(cls.alias("s"), F.coalesce("title", "collection").alias("name"), "description", "bbox", "crs", whole.alias("whole")).distinct()
+    told = lambda df, p, o, s="s": df.filter(o.isNotNull()).select(F.col(s).alias("s"), F.lit(p).alias("p"), o.alias("o"))
     properties = rows.select(prop.alias("s"), F.element_at(F.split("property", r"\."), -1).alias("name"), datatype_of(F.col("type")).alias("range"), cls.alias("domain"))
+    node = classes.withColumn("node", F.concat(F.lit("_:box_"), F.substring(F.sha2("whole", 256), 1, 16)))
+    bounded = node.filter("bbox IS NOT NULL AND crs IS NOT NULL")
+    wkt = F.concat(F.lit("<"), F.col("crs"), F.lit("> "), bbox_wkt(bbox_parse(F.col("bbox"))))
     parts = [
         told(classes, RDF_TYPE, F.lit(OWL + "Class")),
         told(classes, RDFS + "subClassOf", F.lit(GEO + "Feature")),
         told(classes, RDFS + "label", F.col("name")),
+        told(classes, RDFS + "comment", F.col("description")),
+        told(bounded, RDF_TYPE, F.lit(GEO + "FeatureCollection"), "whole"),
+        told(bounded, GEO + "hasBoundingBox", F.col("node"), "whole"),
+        told(bounded, GEO + "asWKT", wkt, "node"),
         told(properties, RDF_TYPE, F.lit(OWL + "DatatypeProperty")),
         told(properties, RDFS + "label", F.col("name")),
         told(properties, RDFS + "range", F.col("range")),
         told(properties, RDFS + "domain", F.col("domain")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.distinct()
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def mapping(df: DataFrame, source: Source, namespace: str, key: str, unique: bool = True) -> TriplesMap:

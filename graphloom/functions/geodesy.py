@@ -54,9 +54,23 @@ def metres(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -
     return pd.Series(inverse(*(s.to_numpy(float) for s in (lat1, lon1, lat2, lon2))))
 
 
+#: Codes of geographic systems, whose coordinates are degrees; those of other systems are taken for metres (or for what
+#: ``unit`` says that one of them is in metres).
+GEOGRAPHIC = (4001, 4999)
+
+
+def projected(srid: Column) -> Column:
+    """Whether a system's coordinates are lengths. No system is the geographic one."""
+    return F.coalesce((srid > 0) & ~srid.between(*GEOGRAPHIC), F.lit(False))
+
+
 def distance(one: Column, two: Column) -> Column:
-    """Metres between the centroids of two parsed geometries, x as longitude and y as latitude."""
-    return metres(one["cy"], one["cx"], two["cy"], two["cx"])
+    """Metres between the centroids of two parsed geometries: of one projected system in its plane, else with x as longitude and
+    y as latitude."""
+    flat = projected(one["srid"]) & (one["srid"] == two["srid"])
+    plane = F.hypot(one["cx"] - two["cx"], one["cy"] - two["cy"])
+    at = lambda g, c: F.when(~flat, g[c])
+    return F.when(flat, plane).otherwise(metres(at(one, "cy"), at(one, "cx"), at(two, "cy"), at(two, "cx")))
 
 
 def degrees(distance: Column, latitude: Column) -> tuple[Column, Column]:
@@ -68,13 +82,17 @@ def degrees(distance: Column, latitude: Column) -> tuple[Column, Column]:
     return F.least(F.degrees(distance / across), F.lit(360.0)), F.least(F.degrees(distance / meridian), F.lit(180.0))
 
 
-def buffered(box: Column, distance: Column) -> Column:
-    """A box in degrees widened by metres, enough at each of its latitudes: safe to select by."""
+def buffered(box: Column, distance: Column, srid: Column | None = None, unit: float = 1.0) -> Column:
+    """A box widened by metres: in degrees enough at each of its latitudes, so that it is safe to select by; in a projected
+    system by as many of its units. unit: metres in one of these."""
     widest = F.greatest(F.abs(box["ymin"]), F.abs(box["ymax"]))
     _, dy = degrees(distance, F.lit(0.0))  # a degree of latitude is shortest at the equator
     dx, _ = degrees(distance, F.least(widest + dy, F.lit(90.0)))
     slack = 1 + 1e-6
-    return F.struct((box["xmin"] - dx * slack).alias("xmin"), (box["ymin"] - dy * slack).alias("ymin"), (box["xmax"] + dx * slack).alias("xmax"), (box["ymax"] + dy * slack).alias("ymax"))
+    dx, dy = dx * slack, dy * slack
+    if srid is not None:
+        dx, dy = (F.when(projected(srid), distance / unit).otherwise(d) for d in (dx, dy))
+    return F.struct((box["xmin"] - dx).alias("xmin"), (box["ymin"] - dy).alias("ymin"), (box["xmax"] + dx).alias("xmax"), (box["ymax"] + dy).alias("ymax"))
 
 
 def quarter_meridian() -> float:

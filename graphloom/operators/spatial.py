@@ -89,7 +89,7 @@ def spatial_join(left: Solutions, right: Solutions, a: str, b: str, predicate: s
         if within_metres is None:
             return df.withColumn(box, envelope(F.col(g)))
         centre = F.when(F.col(g)["kind"].isNotNull(), F.struct(*[F.col(g)[c].alias(n) for c, n in (("cx", "xmin"), ("cy", "ymin"), ("cx", "xmax"), ("cy", "ymax"))]))
-        return df.withColumn(box, F.when(centre.isNotNull(), buffered(centre, F.lit(float(within_metres)))) if box == "a" else centre)
+        return df.withColumn(box, F.when(centre.isNotNull(), buffered(centre, F.lit(float(within_metres)), F.col(g)["srid"])) if box == "a" else centre)
 
     pairs = candidate_pairs(side(left, a, "a", "a_geometry"), side(right, b, "b", "b_geometry"), smallest)
     equal = left._pairs(right, shared)

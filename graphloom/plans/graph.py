@@ -154,9 +154,10 @@ class VirtualGraph:
                 self._ask[m.name] = rule.object.path, out.df.select(out.term(o[1:]).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
             else:
                 other = next(iter(near.vars - {o[1:]}))
-                box = envelope(geometry(out.term(other).cast("string")))
-                box = buffered(box, F.lit(near.metres)) if near.metres is not None else box
-                self._ask[m.name] = "bbox", out.df.select(box.alias("b")).filter("b IS NOT NULL").distinct()
+                parsed = out.df.select(geometry(out.term(other).cast("string")).alias("g"))
+                box = envelope(F.col("g"))
+                box = F.when(box.isNotNull(), buffered(box, F.lit(float(near.metres)), F.col("g.srid"))) if near.metres is not None else box
+                self._ask[m.name] = "bbox", parsed.select(box.alias("b")).filter("b IS NOT NULL").distinct()
             try:
                 found = self._star(*star)
             finally:
@@ -169,9 +170,10 @@ class VirtualGraph:
         found = {}
         for r in where:
             if r.constant is not None:
-                box = envelope(geometry(F.lit(r.constant)))
-                box = buffered(box, F.lit(float(r.metres))) if r.metres is not None else box
-                row = self.spark.range(1).select(box.alias("b")).first()["b"]
+                box = envelope(F.col("g"))
+                box = buffered(box, F.lit(float(r.metres)), F.col("g.srid")) if r.metres is not None else box
+                row = self.spark.range(1).select(geometry(F.lit(r.constant)).alias("g")).filter("g.kind IS NOT NULL").select(box.alias("b")).first()
+                row = row and row["b"]
                 if row is not None:
                     found[r.a] = tuple(row)
         return found

@@ -48,8 +48,9 @@ def _derived(sf: str, name: str, table: str, sql: str) -> Source:
 
 
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """A grid of 8 x 8 boxes of side 10 around the origin, as WKT."""
-    cell = spark.range(64).select(F.col("id").alias("box_id"), ((F.col("id") % 8 - 4) * 10).cast("double").alias("x"), (F.floor(F.col("id") / 8) - 4).cast("double").alias("y"))
+    """The boxes of a grid of 8 x 8, of side 10 around the origin, that customers' keys fall into; as WKT."""
+    held = spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") % 64).alias("id")).distinct()
+    cell = held.select(F.col("id").alias("box_id"), ((F.col("id") % 8 - 4) * 10).cast("double").alias("x"), (F.floor(F.col("id") / 8) - 4).cast("double").alias("y"))
     box = F.struct(F.col("x").alias("xmin"), (F.col("y") * 10).alias("ymin"), (F.col("x") + 10).alias("xmax"), (F.col("y") * 10 + 10).alias("ymax"))
     return cell.select("box_id", F.floor(F.col("box_id") / 8).alias("row"), box.alias("box"), geo.bbox_wkt(box).alias("wkt"))
 
@@ -460,7 +461,7 @@ def _place(g: VirtualGraph, name: str, kind: Const) -> Solutions:
     return g.match((f"?{name}", TYPE, kind), (f"?{name}", Const(GEO + "hasGeometry"), f"?g{name}"))
 
 
-_GRID = "(SELECT i AS box_id, (i % 8 - 4) * 10.0 AS x, (i // 8 - 4) * 10.0 AS y FROM range(64) t(i)) b"
+_GRID = "(SELECT i AS box_id, (i % 8 - 4) * 10.0 AS x, (i // 8 - 4) * 10.0 AS y FROM (SELECT DISTINCT c_custkey % 64 AS i FROM customer) t) b"
 _POINT = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS px, CAST(embedding[2] AS DOUBLE) * 100 AS py FROM embeddings) p"
 _SQUARE = "(SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 100, 3) AS px, round(CAST(embedding[2] AS DOUBLE) * 100, 3) AS py FROM embeddings) p"
 

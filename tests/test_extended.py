@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import Namespace, Ref, Source, Template, TriplesMap
-from graphloom.annotate import discover, generate
-from graphloom.functions import validation
+from graphloom.annotate import align, discover, generate
+from graphloom.functions import geodesy, validation
 from graphloom.functions.geometry import geometry
 from graphloom.operators import runs, vectors
 from graphloom.plans.rules import candidates
@@ -229,3 +229,33 @@ def test_many_random_chains():
                 chains.append(chosen)
         wanted = [{r.map.name for r in (c[i] for c in chains)} for i in range(3)]
         assert [{r.map.name for r in part} for part in candidates(pattern, found)] == wanted
+
+
+def test_buffers_and_distances_in_a_plane(spark):
+    rows = [("SRID=25830;POINT(500000 4000000)", "SRID=25830;POINT(500300 4000400)"), ("POINT(0 0)", "POINT(0 1)"), ("SRID=4258;POINT(0 0)", "SRID=4258;POINT(0 1)"), ("SRID=25830;POINT(1 1)", "SRID=25831;POINT(1 1)")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"p": geometry("a"), "q": geometry("b")})
+    box = F.struct(*[F.col("p")[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    wide = geodesy.buffered(box, F.lit(100.0), F.col("p.srid"))
+    got = {r.a: r for r in df.select("a", geodesy.distance(F.col("p"), F.col("q")).alias("d"), wide.alias("w"), geodesy.buffered(box, F.lit(100.0), F.col("p.srid"), 0.3048).alias("f")).collect()}
+    flat = got["SRID=25830;POINT(500000 4000000)"]
+    assert flat.d == pytest.approx(500) and tuple(flat.w) == (499900, 3999900, 500100, 4000100) and flat.f.xmax == pytest.approx(500000 + 100 / 0.3048)
+    for a in ("POINT(0 0)", "SRID=4258;POINT(0 0)"):
+        assert 110_000 < got[a].d < 111_000 and 0.0008 < got[a].w.xmax < 0.001
+
+
+def test_ontologies_with_comments_and_boxes(spark):
+    rows = spark.createDataFrame([("rivers", "name", "string", "Rivers", "All of them", "0,1,2,3", "http://crs/84"), ("rivers", "length", "number", "Rivers", "All of them", "0,1,2,3", "http://crs/84"), ("lakes", "name", "string", "Lakes", None, None, None)], "collection string, property string, type string, title string, description string, bbox string, crs string")
+    got = {tuple(r) for r in generate.ontology(rows, "http://ex/").collect()}
+    of = lambda s, p: {o for a, b, o in got if a == s and b.endswith(p)}
+    assert of("http://ex/rivers", "label") == {"Rivers"} and of("http://ex/rivers", "comment") == {"All of them"} and of("http://ex/lakes", "comment") == set()
+    (node,) = of("http://ex/rivers_collection", "hasBoundingBox")
+    assert of(node, "asWKT") == {"<http://crs/84> POLYGON((0.0 1.0, 2.0 1.0, 2.0 3.0, 0.0 3.0, 0.0 1.0))"}
+    assert of("http://ex/name", "domain") == {"http://ex/rivers", "http://ex/lakes"} and not of("http://ex/lakes_collection", "hasBoundingBox")
+    sample = discover.samples(generate.ontology(rows, "http://ex/"), {"property": 1}).collect()
+    assert {(r.kind, r.iri) for r in sample} == {("class", "http://ex/lakes"), ("class", "http://ex/rivers"), ("class", "http://www.opengis.net/ont/geosparql#Feature"), ("property", "http://ex/length")} | {("entity", x) for x in ("http://ex/lakes", "http://ex/rivers", "http://ex/name", "http://ex/length", "http://www.opengis.net/ont/geosparql#Feature")}
+
+
+def test_mappings_aligned_again():
+    m = TriplesMap("m", Source.frame("m", lambda s: s.range(1)), Template("http://ex/m/{id}"), (("http://s/name", Ref("id")), ("http://ex/x", Ref("id"))), ("http://s/Old",))
+    (again,) = align.rewritten([m], {"http://ex/name": "http://t/label", "http://ex/x": "http://t/x"}, {"http://ex/name": "http://s/name", "http://ex/C": "http://s/Old"})
+    assert [p for p, _ in again.objects] == ["http://t/label", "http://t/x"] and again.classes == ("http://ex/C",)
