@@ -108,7 +108,7 @@ def _served(spark: SparkSession, sf: str) -> VirtualGraph:
     integer, double = XSD + "integer", XSD + "double"
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
     url = publish(orders, f"{shared(spark)}/service-{uuid.uuid4().hex}", "o_custkey", "o_orderkey")
-    served = TriplesMap("served", Source.features("served", url, "o_orderkey long, o_custkey long, o_totalprice double, id string"), Template("http://ex/served/{id}"), ((EX.by, Ref("o_custkey", integer)), (EX.total, Ref("o_totalprice", double))), (), True, ((EX.by, "o_custkey"),))
+    served = TriplesMap("served", Source.features("served", url, "o_orderkey long, o_custkey long, o_totalprice double, id string", many="20"), Template("http://ex/served/{id}"), ((EX.by, Ref("o_custkey", integer)), (EX.total, Ref("o_totalprice", double))), (), True, ((EX.by, "o_custkey"),))
     rows = Source.sql("indebted", "SELECT * FROM {customer} WHERE c_acctbal < 0", {"customer": f"{sf}/customer.parquet"})
     own = TriplesMap("customer", rows, Template("http://ex/customer/{c_custkey}"), ((EX.segment, Ref("c_mktsegment")), (EX.balance, Ref("c_acctbal", double)), (EX.key, Ref("c_custkey", integer))), (), True)
     return VirtualGraph(spark, [own, served])

@@ -9,7 +9,8 @@ service may ignore them. With ``limit``, pages are read by as many tasks as the
 (``numberMatched`` in its first answer, or ``total``, if it is known); otherwise one task follows the next links. A request
 that fails is made ``retries`` times more; then it is an error, or an end of pages with ``on_error=empty``.
 
-answers() makes a request for each row of a DataFrame instead, in the tasks that hold the rows. URLs with the scheme
+answers() makes requests for the rows of a DataFrame instead, in the tasks that hold the rows: one for each, or with
+``many`` one for so many values of a column, if the service takes lists (with commas, or with what ``between`` says). URLs with the scheme
 ``file`` are answered from a folder that publish() has written: a features service without a server.
 """
 
@@ -49,20 +50,23 @@ def with_parameters(url: str, parameters: dict[str, object]) -> str:
 
 
 def _from_folder(url: str) -> dict:
-    """The answer of a published folder: features equal in all parameters, from offset on, limit at most."""
+    """The answer of a published folder: features equal in all parameters, from offset on, limit at most. between: what stands
+    between the values of a list."""
     parts = urllib.parse.urlsplit(url)
     asked = dict(urllib.parse.parse_qsl(parts.query, keep_blank_values=True))
     at, limit = int(asked.pop("offset", 0)), asked.pop("limit", None)
     folder = urllib.parse.unquote(parts.path)
     _, key, buckets = os.path.basename(folder).rsplit("~", 2)
-    wanted = [zlib.crc32(asked[key].encode()) % int(buckets)] if key in asked else range(int(buckets))
+    between = asked.pop("between", None)
+    asked = {k: set(v.split(between)) if between else {v} for k, v in asked.items()}
+    wanted = sorted({zlib.crc32(v.encode()) % int(buckets) for v in asked[key]}) if key in asked else range(int(buckets))
     found = []
     for bucket in wanted:
         inside = f"{folder}/bucket={bucket}"
         for name in sorted(os.listdir(inside)) if os.path.isdir(inside) else ():
             if name.startswith("part-"):
                 with open(f"{inside}/{name}", encoding="utf-8") as lines:
-                    found += [f for f in map(json.loads, lines) if all(str(f.get("properties", {}).get(k)) == v for k, v in asked.items())]
+                    found += [f for f in map(json.loads, lines) if all(str(f.get("properties", {}).get(k)) in v for k, v in asked.items())]
     return {"numberMatched": len(found), "features": found[at : at + int(limit) if limit else None]}
 
 
@@ -143,14 +147,27 @@ def answers(requests: DataFrame, url: str, schema: StructType, parameters: Mappi
     arrow, told = to_arrow_schema(schema), dict(options)
     parameters = dict(parameters)
 
+    def together(asks: list[dict[str, str]]) -> Iterator[dict[str, list[str]]]:
+        """Requests that differ in the value of one column only, as one for ``many`` values."""
+        many = int(told.get("many", 1))
+        groups: dict[tuple, list[str]] = {}
+        for ask in asks:
+            (column, value), *more = ask.items() if ask else [("", "")]  # the first is what the solutions bind
+            groups.setdefault((column if column != "bbox" else f"bbox {value}", *sorted(more)), []).append(value)
+        for (column, *more), values in groups.items():
+            column = column.split(" ")[0]
+            for at in range(0, len(values), many):
+                yield ({column: values[at : at + many]} if column else {}) | {c: [v] for c, v in more}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = told.get("between", ",")
         for b in batches:
-            for ask in b.column(0).to_pylist():
-                ask = dict(ask)
-                own = with_parameters(url, {parameters.get(c, c): v for c, v in ask.items()}) if ask else url
+            for ask in together([dict(x) for x in b.column(0).to_pylist()]):
+                own = with_parameters(url, {parameters.get(c, c): between.join(v) for c, v in ask.items()}) if ask else url
+                own = with_parameters(own, {"between": between}) if url.startswith("file:") and "many" in told else own
                 own = with_parameters(own, {"limit": told["limit"]}) if "limit" in told else own
                 for page in pages(own, True, told):
-                    found = [f for f in page.get("features", []) if all(str(cell(f, c, "string")) == v for c, v in ask.items() if c != "bbox")]
+                    found = [f for f in page.get("features", []) if all(str(cell(f, c, "string")) in v for c, v in ask.items() if c != "bbox")]
                     columns = [pa.array([cell(f, n, kind) for f in found], arrow.field(n).type) for n, kind in fields]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

@@ -34,7 +34,7 @@ def service():
             if self.path.startswith("/broken"):
                 self.send_error(500)
                 return
-            chosen = [f for f in FEATURES if "name" not in query or f["properties"]["name"] == query["name"]]
+            chosen = [f for f in FEATURES if "name" not in query or f["properties"]["name"] in query["name"].split("|")]
             if "bbox" in query:
                 x0, y0, x1, y1 = map(float, query["bbox"].split(","))
                 chosen = [f for f in chosen if x0 <= f["geometry"]["coordinates"][0] <= x1 and y0 <= f["geometry"]["coordinates"][1] <= y1]
@@ -108,6 +108,17 @@ def test_values_reach_a_service(spark, service):
     assert sorted(q.get("name") for q in asked) == ["n1", "n9"]
 
 
+def test_values_are_asked_for_together(spark, service):
+    """A service that takes lists is asked for many values at once."""
+    url, asked = service
+    del asked[:]
+    remote = Source.features("items", url + "/items", "id string, name string", many="2", between="|", limit="20").remote
+    keys = spark.createDataFrame([(n, {"name": n}) for n in ("n0", "n1", "n2", "n7", "n8")], "key string, ask map<string,string>").withColumn("key", F.lit("one task"))
+    got = remote.answers(keys, {"name": "name"}).collect()
+    assert sorted(r.id for r in got) == sorted(f["id"] for f in FEATURES)
+    assert sorted(len(q["name"].split("|")) for q in asked) == [1, 2, 2] and len({v for q in asked for v in q["name"].split("|")}) == 5
+
+
 def test_a_constant_box_reaches_a_service(spark, service):
     url, asked = service
     del asked[:]
