@@ -30,9 +30,9 @@ from graphloom.llm.common import others, small_batches
 #: Bits in a word of the rank bitmap's lower level.
 WORD = 8
 LOW = (1 << WORD) - 1
-#: Pre-tokens that a worker remembers in each of two generations (about 30 MB in both; a worker keeps them after its task).
+#: Pre-tokens that a worker remembers in each of two generations (about 120 MB in both; a worker keeps them after its task).
 #: Longer ones than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 1 << 16, 48
+MEMO, MEMO_CHARS = 1 << 18, 48
 #: Pre-tokens taken from a text at a time.
 BLOCK = 100_000
 
