@@ -2,16 +2,22 @@
 
 1. Markup is stripped to lines, one for each block element; inline elements don't break lines.
 2. A line's length is that of its text outside hidden elements; lines in menus, headers, footers, sidebars, notices,
-   adverts, forms and comments have length 0, and so have lines that are mostly links. Class names and ids are only
+   forms and comments have length 0, and so have lines that are mostly links. Class names and ids are only
    hints: a wrapper that holds an article, a main element or the page's heading isn't hidden by one, and in an article
-   a weak hint (``related-work``) doesn't hide text in which the distribution surges.
+   a weak hint (``related-work``) doesn't hide text in which the distribution surges. A class that speaks of adverts
+   hides nothing by itself: its element's windows are counted apart from the rest, at an ADVERT-th of their length.
 3. Lengths are summed over windows of WIDTH lines. Text begins where the sum surges to a threshold and ends where it
    dives to 0. Article and main elements bound windows: no window crosses their edges, and in one where the sum surges
-   all stretches between dives are text, so that short lines at its edges stay. Elsewhere a stretch needs its own surge.
+   all stretches between dives are text, so that short lines at its edges stay. In such an element windows dive, too,
+   where WIDTH lines on end are labels: fewer than PLAIN characters that end no sentence (``Advertisement``, ``Follow
+   us``), or mostly links; items of lists and tables, and the page's heading, are no labels. Elsewhere a stretch needs
+   its own surge, to the whole of SURGE if an article surges.
 4. All stretches of the page stay, in page order, with the links inside them; none is dropped or cut.
 
 Every page takes this way. What the method can't see: outside articles, a short paragraph that WIDTH lines without
-length part from the body, if it has fewer characters than the threshold.
+length part from the body, if it has fewer characters than the threshold; in articles, fewer than WIDTH labels on end
+between paragraphs, which stay as subheadings would, and WIDTH lines of verse shorter than PLAIN, which go unless the
+whole article is of that kind.
 
 Defined results: null or empty html, or a page without text, gives an empty string; repeated rows are treated alike;
 texts of any length take time and memory in proportion; markup that breaks off ends the text there; a character reference
@@ -36,6 +42,11 @@ SURGE, SURGE_SHARE = 86, 0.2
 #: A line with more than this share of link text has length 0, unless it has PLAIN characters outside links.
 LINKED, PLAIN = 0.5, 20
 
+#: The divisor of lengths where a class speaks of adverts.
+ADVERT = 10
+#: The end of a sentence, with quotes and brackets that close after it.
+SENTENCE = regex.compile(r"[\p{Sentence_Terminal}:;…]\p{P}*\Z")
+
 #: A quote counts only as an attribute value's delimiter, after '='; else '>' ends a tag, if any '>' follows.
 TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+|[^>]*+)>|<[!?/][^>]*+>|<(?=[a-zA-Z!/?])[^>]*+\Z""", regex.S)
 ATTRIBUTE = regex.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -46,11 +57,14 @@ RAW = frozenset("script style noscript template iframe svg textarea title object
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 HIDDEN = frozenset("nav footer aside form menu dialog button select head".split())
 SPACE = frozenset("br td th".split())
+#: Elements whose short lines are text, not labels.
+ITEMS = frozenset("h1 li dt dd pre caption figcaption option summary table tbody tfoot thead tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Parts of class names and ids that mark what isn't the article, wherever they stand ...
-STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager".split())
+STRONG = frozenset("cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager".split())
 #: ... and such as articles have, too.
 WEAK = frozenset("banner nav navbar navigation menu submenu header masthead topbar footer sidebar aside rail widget widgets notice notices alert related recommended recommendations toolbar search copyright legal disclaimer skip".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 TALK = frozenset("comment comments commentlist disqus respond replies".split())
 WHOLE = frozenset("html body main".split())
 
@@ -58,21 +72,22 @@ WHOLE = frozenset("html body main".split())
 class _Hint:
     """An element whose class, id or role hints that it isn't the article."""
 
-    __slots__ = ("parent", "weak", "exact", "placed", "wraps", "first", "last", "chars", "hides")
+    __slots__ = ("parent", "weak", "exact", "placed", "advert", "wraps", "first", "last", "chars", "hides", "apart")
 
-    def __init__(self, parent: int, weak: bool, exact: bool, placed: bool, line: int):
-        self.parent, self.weak, self.exact, self.placed, self.wraps = parent, weak, exact, placed, False
+    def __init__(self, parent: int, weak: bool, exact: bool, placed: bool, advert: bool, line: int):
+        self.parent, self.weak, self.exact, self.placed, self.advert, self.wraps = parent, weak, exact, placed, advert, False
         self.first = self.last = line
         self.chars, self.hides = 0, True
+        self.apart = 0  # the outermost hint that counts apart, 0 if another hides it or none does
 
 
 class _Page:
-    """Lines of a page. A line: its article or main element (0: none) and its pieces; a piece: text, in a link, hidden
+    """Lines of a page. A line: its article or main element (0: none), its block's tag and its pieces; a piece: text, in a link, hidden
     by an element's kind, and the innermost hint it stands in (0: none)."""
 
     def __init__(self, page: str):
-        self.lines: list[tuple[int, list[tuple[str, bool, bool, int]]]] = []
-        self.hints = [_Hint(0, False, False, False, 0)]
+        self.lines: list[tuple[int, str, list[tuple[str, bool, bool, int]]]] = []
+        self.hints = [_Hint(0, False, False, False, False, 0)]
         self.places = 0
         self.stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # tag, hidden, talk, place, hint
         self.at: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are
@@ -115,7 +130,7 @@ class _Page:
 
     def _flush(self) -> None:
         if self.pieces:
-            self.lines.append((self.stack[-1][3], self.pieces))
+            self.lines.append((self.stack[-1][3], self.stack[self.blocks[-1]][0] if self.blocks else "", self.pieces))
             self.pieces = []
 
     def _pop(self) -> None:
@@ -164,9 +179,9 @@ class _Page:
         if tag in HIDDEN or tag == "header" and not place:
             hidden = True
         elif tag not in WHOLE and not (tag[0] == "h" and tag[1:].isdigit()):
-            strong = talks or bool(parts & STRONG) or named.get("role") in ROLES
-            if strong or parts & WEAK:
-                self.hints.append(_Hint(hint, not strong, bool(whole & WEAK), place > 0, len(self.lines)))
+            strong, advert = talks or bool(parts & STRONG) or named.get("role") in ROLES, bool(parts & ADVERTS)
+            if strong or advert or parts & WEAK:
+                self.hints.append(_Hint(hint, not (strong or advert), bool(whole & WEAK), place > 0, advert and not strong, len(self.lines)))
                 hint = len(self.hints) - 1
         if tag in ("article", "main") and not place and not hidden and not talk and not talks:
             self.places += 1
@@ -180,7 +195,7 @@ class _Page:
     def _decide(self) -> None:
         """Which hints hide their element."""
         total, used = 0, set()
-        for place, pieces in self.lines:
+        for place, _, pieces in self.lines:
             for text, _, hidden, hint in pieces:
                 n = 0 if hidden else len(text.strip())
                 total += n
@@ -189,7 +204,7 @@ class _Page:
                     used.add(place)
         for h in reversed(self.hints[1:]):
             self.hints[h.parent].chars += h.chars
-        plain = [self._length(pieces, None) for _, pieces in self.lines]
+        plain = [self._length(pieces) for _, _, pieces in self.lines]
         for h in self.hints[1:]:
             if h.wraps:
                 h.hides = False
@@ -199,26 +214,55 @@ class _Page:
                 inside = plain[h.first : h.last]
                 h.hides = max((sum(inside[i : i + WIDTH]) for i in range(len(inside))), default=0) < SURGE
         self.hints[0].hides = False
-        for h in self.hints[1:]:
-            h.hides = h.hides or self.hints[h.parent].hides
+        for i, h in enumerate(self.hints[1:], 1):
+            above = self.hints[h.parent]
+            if above.hides:
+                h.hides, h.apart = True, above.apart if h.advert or h.wraps or not h.hides else 0
+            elif h.hides and h.advert:
+                h.apart = i
 
     @staticmethod
-    def _length(pieces: list, hints: list | None) -> int:
-        shown = [(" ".join(t.split()), link) for t, link, hidden, hint in pieces if not (hidden or hints and hints[hint].hides)]
+    def _length(pieces: list) -> int:
+        shown = [(" ".join(t.split()), link) for t, link, hidden, _ in pieces if not hidden]
         n, linked = sum(len(t) for t, _ in shown), sum(len(t) for t, link in shown if link)
         return n if linked <= LINKED * n else n - linked if n - linked >= PLAIN else 0
 
-    def measured(self) -> list[tuple[str, int, int]]:
-        """Text without what is hidden (empty if all is), length in the distribution, and element of each line."""
+    def measured(self) -> list[_Line]:
+        """The lines that hold more than white space."""
         out = []
-        for place, pieces in self.lines:
-            if any(not t.isspace() for t, _, _, _ in pieces):
-                text = " ".join("".join(unescape(t) for t, _, hidden, hint in pieces if not (hidden or self.hints[hint].hides)).split())
-                out.append((text, self._length(pieces, self.hints) if text else 0, place))
+        for place, tag, pieces in self.lines:
+            if all(t.isspace() for t, _, _, _ in pieces):
+                continue
+            body = [p for p in pieces if not (p[2] or self.hints[p[3]].hides)]
+            apart = next((self.hints[h].apart for _, _, hidden, h in pieces if not hidden and self.hints[h].apart), 0)
+            line = _Line(_joined(body), 0, place, tag, apart)
+            line.length = self._length(body) if line.text else 0
+            if apart:
+                line.both = _joined([p for p in pieces if not p[2] and (self.hints[p[3]].apart or not self.hints[p[3]].hides)])
+                line.advert = self._length([p for p in pieces if self.hints[p[3]].apart]) / ADVERT
+            out.append(line)
         return out
 
 
-def stretches(length: list[int]) -> list[tuple[int, int]]:
+def _joined(pieces: list) -> str:
+    return " ".join("".join(unescape(t) for t, _, _, _ in pieces).split())
+
+
+class _Line:
+    """Text without what is hidden (empty if all is), its length in the distribution, its article or main element, its
+    block's tag, and the hint that is counted apart in it, with the text that has both and the length of that part."""
+
+    __slots__ = ("text", "length", "place", "tag", "apart", "both", "advert")
+
+    def __init__(self, text: str, length: int, place: int, tag: str, apart: int):
+        self.text, self.length, self.place, self.tag, self.apart = text, length, place, tag, apart
+        self.both, self.advert = "", 0.0
+
+    def is_label(self) -> bool:
+        return not self.length or self.tag not in ITEMS and len(self.text) < PLAIN and not SENTENCE.search(self.text)
+
+
+def stretches(length: list) -> list[tuple[int, int]]:
     """First and end of the stretches of lines that a dive (WIDTH lines without length) bounds."""
     out: list[tuple[int, int]] = []
     for i, n in enumerate(length):
@@ -230,27 +274,55 @@ def stretches(length: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def without_labels(part: list[_Line]) -> list[int]:
+    """Lengths of an element's lines, 0 where WIDTH lines with text on end are labels. In an element of labels only,
+    all keep their length."""
+    length = [line.length for line in part]
+    shown = [i for i, line in enumerate(part) if line.text]
+    labels = [part[i].is_label() for i in shown]
+    if all(label or part[i].tag == "h1" for i, label in zip(shown, labels, strict=True)):
+        return length
+    first = 0
+    for at in range(len(shown) + 1):
+        if at == len(shown) or not labels[at]:
+            if at - first >= WIDTH:
+                for i in shown[first:at]:
+                    length[i] = 0
+            first = at + 1
+    return length
+
+
+def _runs(lines: list[_Line], key) -> list[tuple[int, int]]:
+    bounds = [i for i in range(len(lines)) if not i or key(lines[i]) != key(lines[i - 1])]
+    return list(zip(bounds, [*bounds, len(lines)][1:], strict=True))
+
+
 def main_text(page: str) -> str:
     """The lines between surge and dive, joined by newlines."""
     found = _Page(page).measured()
-    bounds = [i for i in range(len(found)) if not i or found[i][2] != found[i - 1][2]]
-    parts = [found[a:z] for a, z in zip(bounds, [*bounds[1:], len(found)], strict=False)]
-    sums = lambda length: max((sum(length[i : i + WIDTH]) for i in range(len(length))), default=0)
-    peaks = [sums([n for _, n, _ in part]) for part in parts]
+    parts = _runs(found, lambda line: line.place)
+    peak = lambda length: max((sum(length[i : i + WIDTH]) for i in range(len(length))), default=0)
+    peaks = [peak([line.length for line in found[a:z]]) for a, z in parts]
     threshold = min(SURGE, SURGE_SHARE * max(peaks, default=0))
-    kept: list[str] = []
-    for part, peak in zip(parts, peaks, strict=True):
-        if not peak or peak < threshold:
+    framed = any(found[a].place and n and n >= threshold for (a, _), n in zip(parts, peaks, strict=True))
+    kept: dict[int, str] = {}
+    for (first, end), n in zip(parts, peaks, strict=True):
+        part, element = found[first:end], found[first].place
+        least = threshold if element or not framed else SURGE
+        if not n or n < least:
             continue
-        length = [n for _, n, _ in part]
-        element = part[0][2]
+        length = without_labels(part) if element else [line.length for line in part]
         for a, z in stretches(length):
             if element:  # its edges bound the first and last stretch
                 a, z = (0 if a < WIDTH else a), (len(part) if len(part) - z < WIDTH else z)
-            elif sums(length[a:z]) < threshold:
+            elif peak(length[a:z]) < least:
                 continue
-            kept += [text for text, _, _ in part[a:z] if text]
-    return "\n".join(kept)
+            kept |= {first + i: part[i].text for i in range(a, z)}
+    for first, end in _runs(found, lambda line: line.apart):
+        if found[first].apart:
+            length = [line.advert for line in found[first:end]]
+            kept |= {first + i: found[first + i].both for a, z in stretches(length) if peak(length[a:z]) >= SURGE for i in range(a, z)}
+    return "\n".join(kept[i] for i in sorted(kept) if kept[i])
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

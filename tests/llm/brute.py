@@ -237,6 +237,28 @@ class _Dom(HTMLParser):
         self.path[-1][2].append(unescape(f"&#{name};"))
 
 
+def article_text(page):
+    """All blocks of the page's article elements; nothing in them is hidden and no length counts."""
+    dom = _Dom()
+    dom.feed(page)
+    dom.close()
+    out = [""]
+
+    def walk(node, inside):
+        for child in node[2]:
+            if isinstance(child, str):
+                out[-1] += child if inside else ""
+            elif child[0] not in ("script", "style"):
+                block = child[0] in dom.BLOCKS
+                out.extend([""] * block)
+                out[-1] += " " * (child[0] == "br")
+                walk(child, inside or child[0] == "article")
+                out.extend([""] * block)
+
+    walk(dom.root, False)
+    return "\n".join(t for t in (" ".join(x.split()) for x in out) if t)
+
+
 def main_text(page, width=3, surge=86, share=0.2):
     """Line-block distribution over a parsed tree, for pages whose other parts are nav, footer, header, aside, form and
     the class ``ad``, and that have no links in the text."""

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, pii
+from graphloom.llm import html, mixing, pii
 from graphloom.llm import queries as q
 from tests import duck
 from tests.llm import brute
@@ -75,6 +75,19 @@ def test_op5(spark, small):
     assert {r.page_id: (r.url, r.text, r.n_chars) for r in rows} == {i: (u, t, len(t)) for i, (u, h) in pages.items() for t in [brute.main_text(h)]}
 
 
+def test_op5_windows_decide(spark, small, monkeypatch):
+    """Every given page is its article, by a version without any rule of hiding; without a surge to reach, what stands
+    before the article comes in, whatever its class."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in q.op5_html_text(spark, small).collect()}
+    assert got == {i: brute.article_text(h) for i, h in pages.items()}
+    monkeypatch.setattr(html, "SURGE", 0)
+    assert all(html.main_text(h) != got[i] for i, h in pages.items())
+    monkeypatch.setattr(html, "SURGE", 86)
+    monkeypatch.setattr(html, "ADVERTS", frozenset())
+    assert sum(html.main_text(h) != got[i] for i, h in pages.items()) * 20 < len(pages)
+
+
 def test_op6(spark, small, docs):
     rows = q.op6_quality_rules(spark, small).collect()
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows}

@@ -214,6 +214,33 @@ def test_main_text_by_distribution(page, text):
     assert html.main_text(page) == text
 
 
+WORDS = [f"word{i}" for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ("<p>Advertisement</p>" + "".join(f"<p>{w}</p>" for w in WORDS) + "<p>Follow us</p>", []),
+        ("<h3>Read on</h3><p><a href='x'>Another story</a></p><div><a href='y'>One more</a></div>", []),
+        ("<ul>" + "".join(f"<li>{w}</li>" for w in WORDS) + "</ul>", WORDS),
+        ("<table>" + "".join(f"<tr><td>{w}</td><td>1</td></tr>" for w in WORDS) + "</table>", [f"{w} 1" for w in WORDS]),
+        ("<h2>Chapter</h2><h3>Part</h3>", ["Chapter", "Part"]),
+        ("<p>No.</p><p>“Why?”</p><p>好。</p><p>(So!)</p>", ["No.", "“Why?”", "好。", "(So!)"]),
+        ("<div class='promo'>buy</div><p>in between.</p><div class='ads'><p>and this</p></div>", ["in between."]),
+        ("<div class='promo'><p>" + "one long line of text. " * 60 + "</p></div>", [("one long line of text. " * 60).strip()]),
+        ("<div class='cookies'><p>" + "one long line of text. " * 60 + "</p></div>", []),
+        ("<p>start <span class='ad'>buy</span> end.</p>", ["start end."]),
+    ],
+)
+def test_windows_inside_articles(inside, kept):
+    """Dives in an article: runs of labels go, whatever their class; lists, rows and short sentences stay."""
+    assert html.main_text(f"<article><h1>T</h1><p>{STORY}</p>{inside}<p>{STORY}</p><p>End</p></article>").split("\n") == ["T", STORY.strip(), *kept, STORY.strip(), "End"]
+
+
+def test_article_of_labels():
+    assert html.main_text("<article><h1>Verse</h1><p>one</p><p>two</p><p>three</p><p>four</p></article>") == "Verse\none\ntwo\nthree\nfour"
+
+
 @pytest.mark.parametrize("tag", ["<img alt=Bob's>", '<b title="5" tall">', "<b 'x>", '<i title="a > b">', "<u title='it\"s'>", '<b title="x>'])
 def test_stray_quotes_in_tags(tag):
     after = "goes on here. " * 20
