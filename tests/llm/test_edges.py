@@ -508,3 +508,22 @@ def test_columns_that_clash_but_for_case(spark):
     assert {r.doc_id: (r.n_tokens, bytes(r.decoded)) for r in coded.collect()} == {1: (2, b"a b"), 2: (0, b"")}
     found = html.extract(spark.createDataFrame([(1, "<p>hello there</p>", "old")], "id int, html string, Text string"))
     assert [tuple(r) for r in found.collect()] == [(1, "hello there")]
+
+
+def test_pii_copies_and_common_footers(spark):
+    """A term of two documents that share an entity and a footer of 40 words is judged as without the footer; one of a
+    text and its changed copy isn't listed."""
+    footer, entity = prose(99, 40), "write to team@example.org today"
+    marks = [f"qz{a}{b}mark" for a in "abcde" for b in "fgh"]
+
+    def listed(end):
+        texts = [prose(1000 + i, 400) + f" {entity} " + " ".join(m for k, m in enumerate(marks) if i in (k, 199 - k)) + " " + end for i in range(200)]
+        changed = prose(5000, 400).split()
+        texts += [" ".join(changed) + f" qzcopied {entity} {end}", " ".join(changed[:50] + ["new"] * 30 + changed[80:]) + f" qzcopied {entity} {end}"]
+        docs = spark.createDataFrame([(t,) for t in texts + [prose(9000 + i, 400) for i in range(1000)]], "text string").repartition(8)
+        everywhere, _ = pii.disclosing(docs, pii.stored(pii._holders(docs), "holders"))
+        return {r.term for r in everywhere.collect()}
+
+    with_footer = listed(footer)
+    assert with_footer >= set(marks) and "qzcopied" not in with_footer
+    assert listed("") >= set(marks)
