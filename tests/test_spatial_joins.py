@@ -5,7 +5,8 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from graphloom import queries
+from graphloom import queries, queries_extended  # noqa: F401
+from graphloom.operators import spatial
 from tests import duck
 
 
@@ -31,3 +32,13 @@ def test_distance_at_the_limit(spark, tmp_path, name):
     places = [(1, 0, [-0.07293, -0.06092]), (2, 0, [-0.0509403199, -0.0520491786])]
     spark.createDataFrame(places, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert len(compared(spark, tmp_path, name)) == 1
+
+
+def test_places_are_compared_once(spark, tmp_path, monkeypatch):
+    """1,440 customers in 720 places, and 20 suppliers in one: as many candidates as pairs of places."""
+    spark.range(1440).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(20).selectExpr("720 * id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    met, candidate_pairs = [], spatial.candidate_pairs
+    monkeypatch.setattr(spatial, "candidate_pairs", lambda *args: met.append(candidate_pairs(*args)) or met[-1])
+    assert compared(spark, tmp_path, "spatial_areas_overlap")
+    assert met[0].count() < 720
