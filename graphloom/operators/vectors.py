@@ -2,7 +2,8 @@
 
 Both sides are packed into tiles of unit vectors and dealt by an equi-join: each entity tile goes to one group, each term
 tile to all, so that every term meets every entity once, in a product of two tiles. A task passes on the best of each tile
-only, and a window ranks what is left. Nothing is collected or broadcast, and each side is read once.
+only, and a window ranks what is left. Nothing is collected or broadcast (the copies of the term tiles look small to the optimiser, so the join says that it
+shuffles), and each side is read once.
 
 stored_index() keeps the entities' side as tiles of vectors that lie near each other, each with its centroid and radius: a
 search reads the tiles, not the vectors, and leaves products out that by these bounds can't reach the threshold or the k-th
@@ -89,7 +90,7 @@ def nearest(terms: DataFrame, entities: DataFrame, k: int = TOP_K, threshold: fl
     groups = max(1, min(n, packed["e"].count()))  # tiles, not rows
     dealt_t = packed["t"].withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt_e = packed["e"].withColumn("group", F.pmod(F.xxhash64("e_rows"), F.lit(groups)).cast("int"))
-    pairs = dealt_t.join(dealt_e, ["dim", "group"]).select("dim", "t_ids", "t_rows", "e_ids", "e_rows")
+    pairs = dealt_t.join(dealt_e.hint("merge"), ["dim", "group"]).select("dim", "t_ids", "t_rows", "e_ids", "e_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,9 +168,10 @@ def nearest_in(index: DataFrame, terms: DataFrame, k: int = TOP_K, threshold: fl
     plain = terms.select(F.col(f"`{term}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     packed = durable(tiles(plain, TERM_TILE), "vector-tiles").select("dim", F.col("ids").alias("t_ids"), F.col("rows").alias("t_rows"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt_t = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt_e = index.withColumn("group", F.pmod(F.xxhash64("centre", "ids"), F.lit(n)).cast("int"))
-    pairs = dealt_t.join(dealt_e, ["dim", "group"]).select("dim", "t_ids", "t_rows", "ids", "rows", "centre", "radius")
+    groups = max(1, min(n, index.count()))  # tiles, not rows
+    dealt_t = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt_e = index.withColumn("group", F.pmod(F.xxhash64("centre", "ids"), F.lit(groups)).cast("int"))
+    pairs = dealt_t.join(dealt_e.hint("merge"), ["dim", "group"]).select("dim", "t_ids", "t_rows", "ids", "rows", "centre", "radius")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}  # of a tile of terms: each one's k best scores so far

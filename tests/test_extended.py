@@ -259,3 +259,13 @@ def test_mappings_aligned_again():
     m = TriplesMap("m", Source.frame("m", lambda s: s.range(1)), Template("http://ex/m/{id}"), (("http://s/name", Ref("id")), ("http://ex/x", Ref("id"))), ("http://s/Old",))
     (again,) = align.rewritten([m], {"http://ex/name": "http://t/label", "http://ex/x": "http://t/x"}, {"http://ex/name": "http://s/name", "http://ex/C": "http://s/Old"})
     assert [p for p, _ in again.objects] == ["http://t/label", "http://t/x"] and again.classes == ("http://ex/C",)
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_tiles_are_never_broadcast(spark, tmp_path, stored):
+    """Copies of the terms' tiles, one for each group, would go through the driver."""
+    entities = spark.range(64).select(F.col("id").alias("entity"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    terms = entities.withColumnRenamed("entity", "term")
+    found = vectors.nearest_in(vectors.stored_index(entities, str(tmp_path / "index")), terms) if stored else vectors.nearest(terms, entities)
+    assert found.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
