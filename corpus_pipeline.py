@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """token_ids (little-endian unsigned 32-bit integers) and n_tokens in place of the text."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
 STAGES = [("quality rules", quality_rules), ("minhash near-dedup", near_dedup), ("pii", personal_data), ("mixing sources", mix_sources), ("byte-level bpe", byte_bpe)]

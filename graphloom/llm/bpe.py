@@ -30,7 +30,8 @@ from graphloom.llm.common import others, small_batches
 #: Bits in a word of the rank bitmap's lower level.
 WORD = 8
 LOW = (1 << WORD) - 1
-#: Pre-tokens that a worker remembers in each of two generations (about 120 MB in both; a worker keeps them after its task).
+#: Pre-tokens that a worker remembers in each of two generations (about 120 MB in both; a worker keeps them after its task,
+#: unless it is told not to).
 #: Longer ones than MEMO_CHARS are not kept.
 MEMO, MEMO_CHARS = 1 << 18, 48
 #: Pre-tokens taken from a text at a time.
@@ -63,6 +64,10 @@ class _Memo(dict):
             self[piece] = packed
         return packed
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class ByteBPE:
     """Encoder and decoder for one rank file and one pre-token pattern."""
@@ -76,10 +81,19 @@ class ByteBPE:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.two[token[0] << 8 | token[1]] = rank
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
+        self.bits = [1 << i for i in range(max(LOW + 1, len(self.leaf)))]
         self.memo = _Memo(self.encode_piece)
         self.tokens = {rank: token for token, rank in ranks.items()}
 
+    def _push(self, rank: int, i: int) -> None:
+        """Adds a position to a bucket that has some. A single position waits bare, as most do."""
+        held = self.buckets[rank]
+        if held.__class__ is int:
+            self.buckets[rank] = [held, i] if held < i else [i, held]
+        else:
+            heappush(held, i)
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         ranks = self.ranks
@@ -90,23 +104,27 @@ class ByteBPE:
         rank_of, longest = ranks.get, self.longest
         following, before, pair = list(range(1, n + 2)), list(range(-1, n + 1)), [-1] * (n + 1)
         leaf, buckets, top = self.leaf, self.buckets, 0
-        two = self.two
+        two, bits, push = self.two, self.bits, self._push
         for i in range(n - 1):
             r = two[piece[i] << 8 | piece[i + 1]]
             if r >= 0:
                 pair[i] = r
                 if r in buckets:
-                    buckets[r].append(i)
+                    push(r, i)
                 else:
-                    buckets[r] = [i]
-                    leaf[r >> WORD] |= 1 << (r & LOW)
-                    top |= 1 << (r >> WORD)
+                    buckets[r] = i
+                    leaf[r >> WORD] |= bits[r & LOW]
+                    top |= bits[r >> WORD]
         while top:
             t = (top & -top).bit_length() - 1
             word = leaf[t]
             r = (t << WORD) | ((word & -word).bit_length() - 1)
-            waiting = buckets[r]
-            i = heappop(waiting)
+            i = buckets[r]
+            if i.__class__ is int:
+                waiting = None
+            else:
+                waiting = i
+                i = heappop(waiting)
             if not waiting:
                 del buckets[r]
                 leaf[t] = word = word & (word - 1)
@@ -121,21 +139,21 @@ class ByteBPE:
             if k < n and (z := following[k]) - i <= longest and (r := rank_of(piece[i:z])) is not None:
                 pair[i] = r
                 if r in buckets:
-                    heappush(buckets[r], i)
+                    push(r, i)
                 else:
-                    buckets[r] = [i]
-                    leaf[r >> WORD] |= 1 << (r & LOW)
-                    top |= 1 << (r >> WORD)
+                    buckets[r] = i
+                    leaf[r >> WORD] |= bits[r & LOW]
+                    top |= bits[r >> WORD]
             if (i := before[i]) >= 0:
                 pair[i] = -1
                 if k - i <= longest and (r := rank_of(piece[i:k])) is not None:
                     pair[i] = r
                     if r in buckets:
-                        heappush(buckets[r], i)
+                        push(r, i)
                     else:
-                        buckets[r] = [i]
-                        leaf[r >> WORD] |= 1 << (r & LOW)
-                        top |= 1 << (r >> WORD)
+                        buckets[r] = i
+                        leaf[r >> WORD] |= bits[r & LOW]
+                        top |= bits[r >> WORD]
         ids, i = [], 0
         while i < n:
             j = following[i]
@@ -157,8 +175,7 @@ class ByteBPE:
         return len(self.encode(text)) // 4
 
     def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 _loaded: dict[tuple[str, str], ByteBPE] = {}
@@ -171,10 +188,11 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", keep: bool = True) -> DataFrame:
     """Replaces the column ``text`` by ``ids`` (binary, packed little-endian unsigned 32-bit) and ``count`` (long).
 
-    path: a rank file that every executor can read. Columns of docs that have the new names are replaced.
+    path: a rank file that every executor can read. Columns of docs that have the new names are replaced. keep: whether
+    workers remember pre-tokens beyond a task, which is faster; else their memory is free for what comes after.
     """
     small_batches(docs.sparkSession)
     rest = others(docs, text, ids, count)
@@ -186,6 +204,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             columns = [b.column(b.schema.get_field_index(f.name)) for f in rest]
             columns += [pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), ids, count])
+        if not keep:
+            bpe.memo.forget()
 
     schema = T.StructType([*rest, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())])
     return docs.select(*[f"`{f.name}`" for f in rest], f"`{text}`").mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -527,3 +528,22 @@ def test_pii_copies_and_common_footers(spark):
     with_footer = listed(footer)
     assert with_footer >= set(marks) and "qzcopied" not in with_footer
     assert listed("") >= set(marks)
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_encoder_forgets_after_a_task(spark, keep):
+    """Workers outlive their tasks: what they remember stays only where that is wanted."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(i, f"unheard{i} ofwords{i}") for i in range(300)], "doc_id long, text string").coalesce(1)
+    again = bpe.encode(docs, path, pattern, keep=keep).localCheckpoint()
+    codec = bpe.ByteBPE(bpe.read_ranks(path), pattern)
+    assert {r.doc_id: bytes(r.token_ids) for r in again.collect()} == {i: codec.encode(f"unheard{i} ofwords{i}") for i in range(300)}
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max([len(c.memo) for c in bpe._loaded.values()], default=0)])], ["held"])
+
+    found = docs.limit(1).coalesce(1).mapInArrow(held, "held long").first()["held"]
+    assert keep or found == 0
+    codec.memo.forget()
+    assert not codec.memo and not codec.memo.older
