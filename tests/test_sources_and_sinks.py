@@ -197,6 +197,26 @@ def test_a_published_folder_answers(spark, tmp_path):
     assert read.rdd.getNumPartitions() == 4 and read.agg(F.sum("area")).first()[0] == sum(i * 1.5 for i in range(40))
 
 
+def test_a_published_folder_reads_little_for_a_value(spark, tmp_path, monkeypatch):
+    """A value's features are found by halving its bucket, so what is read hardly grows with the folder."""
+    parsed = []
+    loads = json.loads
+    for n, folder in ((400, "a"), (8000, "b")):
+        rows = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % (n // 4)).alias("k"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("note"))
+        url = publish(rows.union(spark.createDataFrame([(-1, None, "no key")], rows.schema)), str(tmp_path / folder), "k", "i", buckets=3)
+        monkeypatch.setattr("graphloom.sources.features.json.loads", lambda line: parsed.append(1) or loads(line))
+        values = [0, 1, 7, 50, n // 4 - 1]
+        del parsed[:]
+        got = fetched(url + "?between=|&k=" + "|".join(map(str, [*values, n, "None"])), {})["features"]
+        assert len(parsed) == 4 * len(values)
+        monkeypatch.undo()
+        assert sorted(int(f["id"]) for f in got) == sorted(v + j * (n // 4) for v in values for j in range(4))
+        assert all(f["properties"]["note"] == "é" * (int(f["id"]) % 50) and set(f) == {"type", "id", "properties"} for f in got)
+        every = [fetched(f"{url}?k={v}", {})["features"] for v in range(0, n // 4, 7)]
+        assert [sorted(int(f["id"]) for f in fs) for fs in every] == [[v + j * (n // 4) for j in range(4)] for v in range(0, n // 4, 7)]
+        assert {f["id"] for f in fetched(url, {})["features"]} == {str(i) for i in range(-1, n)}
+
+
 def test_boxes_reach_a_service(spark, service):
     """Boxes that lie in others aren't asked for."""
     url, asked = service
