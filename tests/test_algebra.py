@@ -101,6 +101,67 @@ def test_one_scan_for_a_star(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "c_acctbal" not in plan and "http://ex/n/" not in plan
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_repeated_subjects(spark):
+    """Where subjects repeat, what their IRIs fix is read with another pattern, without a self-join; the rows are those of joined sets."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(1, 2, 11, None), pick(1, 2, 12, None), pick(0.5, 1.5, -0.0, 0.0, None), pick("x", "y", None), pick("1", "11", "2"), pick("1", "11", "2")) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a long, b int, q double, f string, s string, t string")
+    order, first = Template("http://ex/o/{a}"), Template("http://ex/o/{s}")
+    line = TriplesMap("line", Source.frame("line", lambda _: df), Template("http://ex/l/{a}_{b}"), ((EX.of, order), (EX.number, Ref("b", XSD + "integer")), (EX.q, Ref("q", XSD + "double")), (EX.flag, Ref("f"))), (EX.Line.value,))
+    pair = TriplesMap("pair", Source.frame("pair", lambda _: df), Template("http://ex/p/{s}{t}"), ((EX.of, first), (EX.flag, Ref("f"))))  # 1 and 11, 11 and 1 are one IRI
+
+    def wanted(subject, *objects):
+        sets = [{(subject(r), o(r)) for r in rows if subject(r) is not None and o(r) is not None} for o in objects]
+        found = [(x, o) for x, o in sets[0]]
+        for more in sets[1:]:
+            found = [(*t, o) for t in found for x, o in more if x == t[0]]
+        return Counter(found)
+
+    s = lambda r: f"http://ex/l/{r[0]}_{r[1]}" if None not in r[:2] else None
+    o, b, q, f = lambda r: r[0] and f"http://ex/o/{r[0]}", lambda r: r[1], lambda r: r[2], lambda r: r[3]
+    g = VirtualGraph(spark, [line, pair])
+    for joins, names, patterns, parts in (
+        (0, "loq", [("?l", EX.of, "?o"), ("?l", EX.q, "?q")], (o, q)),
+        (0, "lqo", [("?l", EX.q, "?q"), ("?l", TYPE, EX.Line), ("?l", EX.of, "?o")], (q, o)),
+        (0, "lon", [("?l", EX.of, "?o"), ("?l", EX.number, "?n")], (o, b)),
+        (1, "loqf", [("?l", EX.of, "?o"), ("?l", EX.number, "?n"), ("?l", EX.q, "?q"), ("?l", EX.flag, "?f")], (o, q, f)),
+        (1, "lqf", [("?l", EX.number, "?n"), ("?l", EX.q, "?q"), ("?l", EX.flag, "?f")], (q, f)),
+    ):
+        found = g.match(*patterns)
+        assert bag(found, names) == wanted(s, *parts) and _plan(found.frame()).count("Join") == joins
+    found = g.match(("?l", EX.of, EX["o/11"]), ("?l", EX.q, "?q"), ("?l", TYPE, EX.Line))
+    assert bag(found, "lq") == Counter({x: 1 for x in wanted(s, q) if x[0].startswith("http://ex/l/11_")})
+    assert bag(VirtualGraph(spark, [pair]).match(("?l", EX.of, "?o"), ("?l", EX.flag, "?f")), "lof") == wanted(lambda r: f"http://ex/p/{r[4]}{r[5]}", lambda r: f"http://ex/o/{r[4]}", f)
+
+
+def test_joined_rows_stay_in_many_parts(spark, monkeypatch):
+    """Rows of few keys compress to little; they are dealt to a number of parts that grows with the rows, and that stays."""
+    lines = spark.range(40000).select((F.col("id") % 9000).alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") % 7).cast("double").alias("q"))
+    line = TriplesMap("line", Source.frame("line", lambda _: lines), Template("http://ex/l/{a}_{b}"), ((EX.of, Template("http://ex/o/{a}")), (EX.q, Ref("q", XSD + "double"))))
+
+    def counted(orders):
+        order = TriplesMap("order", Source.frame("order", lambda _: spark.range(orders).select("id", (F.col("id") % 3).alias("s"))), Template("http://ex/o/{id}"), ((EX.status, Ref("s", XSD + "integer")),), (), True)
+        found = VirtualGraph(spark, [line, order]).match(("?l", EX.of, "?o"), ("?l", EX.q, "?q"), ("?o", EX.status, "?s"))
+        return found.group(["o", "s", "q"], lines=F.count(F.lit(1))).frame()
+
+    want = Counter((f"http://ex/o/{a}", a % 3, q) for a, b, q in {(i % 9000, i % 2, float(i % 7)) for i in range(40000)})
+    at = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part, parts in ((1 << 19, at), (4700, max(at, 9))):
+        monkeypatch.setattr("graphloom.plans.graph._PART", part)
+        monkeypatch.setattr("graphloom.plans.graph._KEYS", 1000)
+        df = counted(9000)
+        assert f", {parts}), REPARTITION_BY_NUM" in _plan(df)
+        assert Counter({(r.o, r.s, r.q): r.lines for r in df.collect()}) == want
+    df = counted(500)
+    assert "REPARTITION_BY_NUM" not in _plan(df)
+    assert Counter({(r.o, r.s, r.q): r.lines for r in df.collect()}) == Counter({k: n for k, n in want.items() if int(k[0].split("/")[-1]) < 500})
+
+
 def test_inline_and_dynamic(spark):
     one = Solutions.values(spark, ["x"], [[EX.a], ["text"], [5]])
     two = Solutions.values(spark, ["x"], [[EX.a], [Const.literal("http://ex/a")], [Const.literal(5)], [Const.literal("5")]])
