@@ -85,3 +85,10 @@ def test_distances_of_repeated_places_in_cuts(spark, monkeypatch):
     got = sorted(tuple(r) for r in found.frame().select("a", "b", "g_h_metres").collect())
     assert [r[:2] for r in got] == [r[:2] for r in wanted] and len(got) > 100
     assert all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(got, wanted, strict=True))
+
+
+def test_areas_are_keys_of_distances(spark, tmp_path, monkeypatch):
+    """Points near a patch, some of them in its area: no pair is filtered by a predicate after the join."""
+    places(spark, tmp_path, [(22 + i / 10, i % 5) for i in range(-20, 20)], [27])
+    monkeypatch.setattr(spatial, "spatial_filter", lambda *args, **more: pytest.fail("filtered pair by pair"))
+    assert len(compared(spark, tmp_path, "shape_q03")) > 100
