@@ -92,3 +92,11 @@ def test_areas_are_keys_of_distances(spark, tmp_path, monkeypatch):
     places(spark, tmp_path, [(22 + i / 10, i % 5) for i in range(-20, 20)], [27])
     monkeypatch.setattr(spatial, "spatial_filter", lambda *args, **more: pytest.fail("filtered pair by pair"))
     assert len(compared(spark, tmp_path, "shape_q03")) > 100
+
+
+def test_observations_come_last(spark, tmp_path, monkeypatch):
+    """200 clicks in an area of 12 places: what spatial joins write doesn't grow with the clicks."""
+    places(spark, tmp_path, [(-9 + i / 4, -9 + i / 4) for i in range(12)], [27] * 200 + [70])
+    rows = written(monkeypatch)
+    assert len(compared(spark, tmp_path, "shape_q07")) > 1000
+    assert max(rows) <= 100
